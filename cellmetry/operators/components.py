@@ -132,7 +132,7 @@ def pixel_regions(
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full else [])
     moved = border.select(
         image,
-        F.col(column).alias("_v"),
+        F.col(column).alias("_from"),
         F.col("region").alias("a"),
         F.explode(
             F.array(
@@ -142,10 +142,10 @@ def pixel_regions(
                 ]
             )
         ).alias("_to"),
-    ).select(image, "_v", "a", "_to.y", "_to.x")
+    ).select(image, "_from", "a", "_to.y", "_to.x")
     edges = (
         moved.join(border.select(image, "y", "x", column, F.col("region").alias("b")), [image, "y", "x"])
-        .filter((F.col("_v") == F.col(column)) & (F.col("a") != F.col("b")))
+        .filter((F.col("_from") == F.col(column)) & (F.col("a") != F.col("b")))
         .select(image, "a", "b")
     )
     roots = _contract(edges, image)

@@ -27,26 +27,50 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="vector").transform(df)
 
 
-def _best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int):
+def _cached_vectors(df: DataFrame, features: list[str]) -> DataFrame:
+    """Cached vectors in few partitions when the table is small.
+
+    Every iteration schedules one task per partition, which dominates on small tables.
+    """
+    vectors = assemble(df, features).select("vector")
+    wanted = max(1, vectors.count() // 100_000)
+    if wanted < vectors.rdd.getNumPartitions():
+        vectors = vectors.coalesce(wanted)
+    return vectors.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, variance: float):
+    """Lowest cost over the restarts; stops once centres move little for the data's spread."""
     best = None
     for step in range(restarts):
-        model = KMeans(k=k, seed=seed + step, featuresCol="vector", maxIter=300, tol=1e-4).fit(
-            vectors
-        )
+        model = KMeans(
+            k=k,
+            seed=seed + step,
+            featuresCol="vector",
+            maxIter=300,
+            tol=float(np.sqrt(1e-4 * variance / k)),
+        ).fit(vectors)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     return best
 
 
+def _variations(df: DataFrame, features: list[str]) -> tuple[float, float]:
+    """(mean variance, total variation) of the features."""
+    row = df.agg(F.count("*").alias("n"), *[F.var_pop(c).alias(c) for c in features]).first()
+    total = sum(row[c] for c in features)
+    return total / len(features), total * row["n"]
+
+
 def kmeans(
     df: DataFrame, features: list[str], k: int = 5, restarts: int = 10, seed: int = 42
 ) -> DataFrame:
     """Cluster of each row on min-max scaled features, best of several restarts."""
-    vectors = assemble(minmax_scale(df, features), features).persist(StorageLevel.MEMORY_AND_DISK)
-    model = _best_kmeans(vectors, k, restarts, seed)
+    scaled = minmax_scale(df, features)
+    vectors = _cached_vectors(scaled, features)
+    model = _best_kmeans(vectors, k, restarts, seed, _variations(scaled, features)[0])
     vectors.unpersist()
-    scaled = assemble(minmax_scale(df, features), features)
-    return model.transform(scaled).select(
+    return model.transform(assemble(scaled, features)).select(
         *[c for c in df.columns if c not in features],
         F.col("prediction").cast("bigint").alias("cluster"),
     )
@@ -57,13 +81,12 @@ def kmeans_elbow(
 ) -> DataFrame:
     """Inertia for 1..largest clusters; one cluster is the total variation."""
     scaled = minmax_scale(df, features)
-    vectors = assemble(scaled, features).persist(StorageLevel.MEMORY_AND_DISK)
-    row = scaled.agg(
-        *[(F.var_pop(c) * F.count(c)).alias(c) for c in features]
-    ).first()
-    costs = [(1, float(sum(row)))]
+    vectors = _cached_vectors(scaled, features)
+    variance, total = _variations(scaled, features)
+    costs = [(1, float(total))]
     for k in range(2, largest + 1):
-        costs.append((k, float(_best_kmeans(vectors, k, restarts, seed).summary.trainingCost)))
+        model = _best_kmeans(vectors, k, restarts, seed, variance)
+        costs.append((k, float(model.summary.trainingCost)))
     vectors.unpersist()
     return df.sparkSession.createDataFrame(costs, "k bigint, inertia double")
 
@@ -286,20 +309,24 @@ def feature_importance(df: DataFrame, model, features: list[str]) -> DataFrame:
 
 
 def fold_models(
-    df: DataFrame, features: list[str], key: str, k: int = 5, n_classes: int = 4, task: str = "classification"
-) -> list[tuple[int, object, DataFrame]]:
+    df: DataFrame,
+    features: list[str],
+    key: str,
+    k: int = 5,
+    n_classes: int = 4,
+    task: str = "classification",
+) -> tuple[DataFrame, list]:
     """One tree per fold with leaves of at least a tenth of the weight.
 
-    Returns (fold, model, scored rows with part).
+    Returns the (round, part) table of all folds and the models in fold order.
     """
     folded = assemble(stratified_kfold(df, key, k=k), features).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     rounds = kfold_expand(folded, k)
-    out = []
+    models = []
     for fold in range(k):
-        rows = rounds.filter(F.col("round") == fold)
-        train = rows.filter("part = 'train'")
+        train = folded.filter(F.col("fold") != fold)
         if task == "classification":
             learner = DecisionTreeClassifier(
                 featuresCol="vector",
@@ -313,38 +340,60 @@ def fold_models(
             learner = DecisionTreeRegressor(
                 featuresCol="vector", labelCol="label", minWeightFractionPerNode=0.1, seed=0
             )
-        model = learner.fit(train)
-        out.append((fold, model, model.transform(rows)))
+        models.append(learner.fit(train))
+    return rounds, models
+
+
+def _scored_folds(rounds: DataFrame, models: list, name: str) -> DataFrame:
+    scored = [
+        model.setPredictionCol(name)
+        .transform(rounds.filter(F.col("round") == fold))
+        .select("round", "part", "label", name)
+        for fold, model in enumerate(models)
+    ]
+    out = scored[0]
+    for other in scored[1:]:
+        out = out.unionByName(other)
     return out
 
 
 def cv_tree(
     df: DataFrame, features: list[str], key: str, k: int = 5, n_classes: int = 4
 ) -> DataFrame:
-    """Per fold and part: accuracy and macro F1 of a classifier, MSE of a regressor."""
-    out = None
-    classified = fold_models(df, features, key, k, n_classes)
-    regressed = fold_models(df, features, key, k, n_classes, "regression")
-    for (fold, _, scored), (_, _, estimated) in zip(classified, regressed):
-        for part in ("train", "val"):
-            here = scored.filter(F.col("part") == part).withColumn(
-                "prediction", F.col("prediction").cast("bigint")
-            )
-            confusion = evaluate.confusion_matrix(here, n_classes, "label", "prediction")
-            accuracy = evaluate.classification_report(confusion).select("accuracy")
-            f1 = evaluate.macro_f1(confusion)
-            mse = evaluate.mean_squared_error(
-                estimated.filter(F.col("part") == part), "label", "prediction"
+    """Per fold and part: accuracy and macro F1 of a classifier, MSE of a regressor.
+
+    The folds are scored as one table and reduced to counts before any metric.
+    """
+    fold = ["round", "part"]
+    counts = (
+        _scored_folds(*fold_models(df, features, key, k, n_classes), "prediction")
+        .groupBy(*fold, "label", F.col("prediction").cast("bigint").alias("predicted"))
+        .agg(F.count("*").alias("n"))
+    )
+    hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = counts.select(
+        *fold,
+        F.explode(
+            F.array(
+                F.struct(F.col("label").alias("c"), F.col("n").alias("s"), F.lit(0).alias("p"), hit.alias("t")),
+                F.struct(F.col("predicted").alias("c"), F.lit(0).alias("s"), F.col("n").alias("p"), F.lit(0).alias("t")),
             )
-            tag = [F.lit(fold).cast("bigint").alias("fold"), F.lit(part).alias("part")]
-            rows = [
-                accuracy.select(*tag, F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-                f1.select(*tag, F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
-                mse.select(*tag, F.lit("mse").alias("metric"), F.col("mse").alias("value")),
-            ]
-            for r in rows:
-                out = r if out is None else out.unionByName(r)
-    return out
+        ).alias("e"),
+    )
+    per_class = sides.groupBy(*fold, "e.c").agg(
+        F.sum("e.s").alias("s"), F.sum("e.p").alias("p"), F.sum("e.t").alias("t")
+    )
+    classified = per_class.groupBy(*fold).agg(
+        (F.sum("t") / F.sum("s")).alias("accuracy"),
+        F.avg(2.0 * F.col("t") / (F.col("s") + F.col("p"))).alias("macro_f1"),
+    )
+    gap = F.col("label") - F.col("estimate")
+    regressed = (
+        _scored_folds(*fold_models(df, features, key, k, n_classes, "regression"), "estimate")
+        .groupBy(*fold)
+        .agg(F.avg(gap * gap).alias("mse"))
+    )
+    return classified.join(regressed, fold).withColumnRenamed("round", "fold")
 
 
 def tree_rules(
@@ -352,7 +401,8 @@ def tree_rules(
 ) -> DataFrame:
     """Text rules of each fold's tree, one row per line."""
     rows = []
-    for fold, model, _ in fold_models(df, features, key, k, n_classes):
+    _rounds, models = fold_models(df, features, key, k, n_classes)
+    for fold, model in enumerate(models):
         text = model.toDebugString
         for number, name in reversed(list(enumerate(features))):
             text = text.replace(f"feature {number} ", f"{name} ")
@@ -366,7 +416,7 @@ def fold_feature_frequency(
     """How many folds' trees use each feature, and which."""
     used = [
         (fold, features[int(i)])
-        for fold, model, _ in fold_models(df, features, key, k, n_classes)
+        for fold, model in enumerate(fold_models(df, features, key, k, n_classes)[1])
         for i in np.flatnonzero(model.featureImportances.toArray())
     ]
     rows = df.sparkSession.createDataFrame(used, "fold bigint, feature string")

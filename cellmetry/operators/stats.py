@@ -38,7 +38,7 @@ def tied_ranks(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
 
 
 def _class_ranks(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Per feature and class: n, rank sum; per feature: N and the tie term."""
+    """Per feature and class: n, rank sum; per feature: all rows and the tie term."""
     rows = feature_rows(df, features, label)
     ranks = _value_ranks(rows)
     by_class = (
@@ -54,15 +54,15 @@ def _class_ranks(df: DataFrame, features: list[str], label: str) -> DataFrame:
     )
     t = F.col("n").cast("double")
     ties = ranks.groupBy("feature").agg(
-        F.max("total").cast("double").alias("N"), F.sum(t * t * t - t).alias("ties")
+        F.max("total").cast("double").alias("n_all"), F.sum(t * t * t - t).alias("ties")
     )
     return by_class.join(ties, "feature")
 
 
 def kruskal_wallis(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """H statistic with tie correction and its p value, one row per feature."""
-    n_all = F.col("N")
-    summed = _class_ranks(df, features, label).groupBy("feature", "N", "ties").agg(
+    n_all = F.col("n_all")
+    summed = _class_ranks(df, features, label).groupBy("feature", "n_all", "ties").agg(
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_sum"),
         F.count("*").alias("_k"),
     )
@@ -86,7 +86,7 @@ def dunn_posthoc(
     ranks = _class_ranks(df, features, label)
     picked = kruskal_wallis(df, features, label).filter(F.col("p_value") < level)
     means = ranks.join(picked, "feature", "left_semi").select(
-        "feature", "N", "ties", label, "n", (F.col("rank_sum") / F.col("n")).alias("mean")
+        "feature", "n_all", "ties", label, "n", (F.col("rank_sum") / F.col("n")).alias("mean")
     )
     other = means.select(
         "feature",
@@ -95,7 +95,7 @@ def dunn_posthoc(
         F.col("mean").alias("_mb"),
     )
     paired = means.join(other, "feature").filter(F.col(label) < F.col("class_b"))
-    n_all = F.col("N")
+    n_all = F.col("n_all")
     base = n_all * (n_all + 1) / 12.0 - F.col("ties") / (12.0 * (n_all - 1))
     tested = paired.withColumn(
         "z", (F.col("mean") - F.col("_mb")) / F.sqrt(base * (1.0 / F.col("n") + 1.0 / F.col("_nb")))

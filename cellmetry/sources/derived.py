@@ -208,3 +208,23 @@ def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         "file_name", F.expr("case when doc_id % 3 = 0 then upper(file_name) else file_name end")
     )
     return docs, other
+
+
+def disk_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of 24 points for every disk of ``pixels``."""
+    images = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 8 as image_id").distinct()
+    disks = _spread(images, "image_id").select(
+        "image_id", F.explode(F.expr("sequence(1L, 16L)")).alias("obj")
+    )
+    radius = "sqrt(cast(20 + 4 * (image_id % 5) as double))"
+    ring = (
+        "transform(sequence(0L, 23L), i -> named_struct("
+        f"'x', cast(8 + 16 * ((obj - 1) % 4) + floor({radius} * cos(2 * pi() * i / 24) + 0.5) as bigint),"
+        f"'y', cast(8 + 16 * ((obj - 1) div 4) + floor({radius} * sin(2 * pi() * i / 24) + 0.5) as bigint)))"
+    )
+    return disks.select(
+        "image_id",
+        F.concat(F.lit("img"), "image_id", F.lit(".tif")).alias("image_name"),
+        "obj",
+        F.expr(ring).alias("contour"),
+    )
