@@ -123,46 +123,6 @@ def point_side(edges: Column, px: Column, py: Column) -> Column:
     )
 
 
-def row_fill(edges: Column, y: Column) -> Column:
-    """Sorted x values covered by the ring on the pixel row ``y``, border included.
-
-    Crossings of the half-open edges pair up from left to right; the end points
-    of each span are exact integer quotients.  Vertices and flat edges on the row
-    are added so that the border always counts.
-    """
-    crossing = F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y))
-
-    def place(e: Column) -> Column:
-        rise = e["y2"] - e["y1"]
-        run = (y - e["y1"]) * (e["x2"] - e["x1"])
-        num = F.when(rise > 0, run).otherwise(-run)
-        den = F.abs(rise)
-        low = e["x1"] + (num - F.pmod(num, den)) / den
-        exact = F.pmod(num, den) == 0
-        return F.struct(
-            (e["x1"] + num / den).alias("at"),
-            low.cast("bigint").alias("floor"),
-            F.when(exact, low).otherwise(low + 1).cast("bigint").alias("ceil"),
-        )
-
-    ends = F.array_sort(F.transform(crossing, place))
-    starts = F.filter(ends, lambda _, i: i % 2 == 0)
-    stops = F.filter(ends, lambda _, i: i % 2 == 1)
-    spans = F.zip_with(
-        starts,
-        stops,
-        lambda a, b: F.when(
-            a["ceil"] <= b["floor"], F.sequence(a["ceil"], b["floor"])
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    flat = F.transform(
-        F.filter(edges, lambda e: (e["y1"] == y) & (e["y2"] == y)),
-        lambda e: F.sequence(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])),
-    )
-    corners = F.transform(F.filter(edges, lambda e: e["y1"] == y), lambda e: F.array(e["x1"]))
-    return F.array_sort(F.array_distinct(F.flatten(F.concat(spans, flat, corners))))
-
-
 def parse_contour_text(text: Column) -> Column:
     """Text form ``[[[x y]] [[x y]] ...]`` to a contour; null when the text is malformed."""
     shape = r"^\s*\[\s*(\[\s*\[\s*-?\d+\s+-?\d+\s*\]\s*\]\s*)+\]\s*$"

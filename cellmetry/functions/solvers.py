@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 _ELLIPSE_POINTS = 5
 
@@ -227,6 +227,60 @@ def closest_vertices(
     return pd.DataFrame(rows, columns=["distance2", "ax", "ay", "bx", "by"])
 
 
+def _spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint spans (y, first x, last x) of the pixels a ring covers, border included.
+
+    On each pixel row the crossings of half-open edges pair up from left to right;
+    span ends are whole-number quotients, so they are exact.  Vertices and flat
+    edges are added, then touching spans of a row are merged.
+    """
+    x2, y2 = np.roll(x, -1), np.roll(y, -1)
+    lines = np.arange(y.min(), y.max() + 1)
+    rows, edges = [], []
+    chunk = max(1, 4_000_000 // len(x))
+    for k in range(0, len(lines), chunk):
+        part = lines[k : k + chunk, None]
+        r, e = np.nonzero((y > part) != (y2 > part))
+        rows.append(r + k)
+        edges.append(e)
+    row, edge = np.concatenate(rows), np.concatenate(edges)
+    rise = y2[edge] - y[edge]
+    over = (lines[row] - y[edge]) * (x2[edge] - x[edge]) * np.sign(rise)
+    rise = np.abs(rise)
+    order = np.lexsort((x[edge] + over / rise, row))
+    low = (x[edge] + over // rise)[order]
+    high = (x[edge] - (-over) // rise)[order]
+    at = lines[row[order]]
+    flat = y == y2
+    ys = np.concatenate([at[0::2], y[flat], y])
+    first = np.concatenate([high[0::2], np.minimum(x, x2)[flat], x])
+    last = np.concatenate([low[1::2], np.maximum(x, x2)[flat], x])
+    some = first <= last
+    ys, first, last = ys[some], first[some], last[some]
+    wide = last.max() - first.min() + 2
+    start, stop = ys * wide + first - first.min(), ys * wide + last - first.min()
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    head = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    tail = np.r_[head[1:] - 1, len(start) - 1]
+    return ys[order][head], first[order][head], reach[tail] - ys[order][head] * wide + first.min()
+
+
+@F.pandas_udf(ArrayType(_struct(LongType(), "y", "first", "last")))
+def ring_spans(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """Covered pixel spans of each ring."""
+
+    def spans(x, y):
+        if x is None or len(x) == 0:
+            return []
+        return [
+            {"y": a, "first": b, "last": c}
+            for a, b, c in zip(*(v.tolist() for v in _spans(np.asarray(x), np.asarray(y))))
+        ]
+
+    return pd.Series([spans(x, y) for x, y in zip(xs, ys)])
+
+
 @F.pandas_udf(DoubleType())
 def chi_square_tail(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution for whole degrees of freedom."""

@@ -111,7 +111,7 @@ def pixel_regions(
     def work(tile: Tile, keys: dict) -> pd.DataFrame:
         values = tile.core(tile.grid(column, -1))
         first = _tile_regions(values, full)
-        name = (first // tile.side + tile.top) * ROW + first % tile.side + tile.first
+        name = (first // tile.width + tile.top) * ROW + first % tile.width + tile.first
         return tile.rows_out(keys, **{column: values, "region": name})
 
     local = cut_lineage(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cellmetry.operators import evaluate
 from cellmetry.operators.splits import holdout_split, kfold_expand, stratified_kfold
+from cellmetry.operators.tiles import by_task
 from cellmetry.operators.stats import minmax_scale, standard_scale
 
 BLOCK = 512  # points per block in the exact silhouette
@@ -175,7 +176,8 @@ def _distance_sums(
 
     kind = df.schema[key].dataType.simpleString()
     return (
-        placed.groupBy("_low", "_high")
+        by_task(placed, "_low", "_high")
+        .groupBy("_low", "_high")
         .applyInPandas(
             compare, f"subset int, key {kind}, label bigint, other bigint, total double"
         )

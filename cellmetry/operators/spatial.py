@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.functions import contour as ring
-from cellmetry.functions.solvers import closest_vertices
+from cellmetry.functions.solvers import closest_vertices, ring_spans
 from cellmetry.operators.relational import prefix_columns
+from cellmetry.operators.tiles import by_task
 
 GRID = 64  # side of a grid cell in pixels
 CHUNK = 512  # objects per chunk in the pair distance step
@@ -229,7 +230,8 @@ def pair_distance_counts(
         .withColumn("_high", F.greatest("_chunk", "_other"))
         .drop("_chunks", "_other")
     )
-    counted = placed.groupBy(image, "_low", "_high").applyInPandas(
+    unit = [image, "_low", "_high"]
+    counted = by_task(placed, *unit).groupBy(*unit).applyInPandas(
         _count_distances, "label_a bigint, label_b bigint, d2 bigint, n bigint"
     )
     return (
@@ -279,15 +281,12 @@ def polygon_rasterize(
 ) -> DataFrame:
     """Pixels (y, x) covered by each ring, border included.
 
-    Rows are generated from the ring itself, one scan line at a time, so filling
-    needs no join with a pixel table.
+    Spans are generated from the ring itself, so filling needs no join with a pixel
+    table and no shuffle.
     """
-    lines = objects.select(
-        image,
-        key,
-        ring.ring_edges(F.col("contour")).alias("_edges"),
-        F.explode(
-            F.sequence(F.array_min(F.col("contour.y")), F.array_max(F.col("contour.y")))
-        ).alias("y"),
+    spans = objects.select(
+        image, key, F.explode(ring_spans(F.col("contour.x"), F.col("contour.y"))).alias("_s")
+    )
+    return spans.select(
+        image, key, F.col("_s.y").alias("y"), F.explode(F.sequence("_s.first", "_s.last")).alias("x")
     )
-    return lines.select(image, key, "y", F.explode(ring.row_fill(F.col("_edges"), F.col("y"))).alias("x"))

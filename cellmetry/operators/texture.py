@@ -38,31 +38,46 @@ def intensity_features(
 ) -> DataFrame:
     """Wide intensity features.  ``areas`` gives (image, obj, area) of the contour.
 
-    One aggregate over all channels; the exact median is safe because a channel has
-    at most 256 levels, so its buffer is a small count table.
+    Pixels are first counted per (object, channel, level).  A channel has at most 256
+    levels, so the exact median and all sums come from short count tables and no
+    large object is held in one buffer.
     """
-    stats = []
-    for c in channels:
-        v = F.col(c)
-        stats += [
-            F.avg(v).alias(f"{c}_mean"),
-            F.median(v).alias(f"{c}_median"),
-            F.max(v).cast("double").alias(f"{c}_max"),
-            F.min(v).cast("double").alias(f"{c}_min"),
-            F.sum(v).cast("double").alias(f"{c}_sum"),
-        ]
-    summed = pixels.filter(F.col(obj) > 0).groupBy(image, obj).agg(*stats)
-    joined = summed.join(areas.select(image, obj, "area"), [image, obj])
-    density = [
-        F.try_divide(F.col(f"{c}_sum"), F.col("area")).alias(f"{c}_int_density") for c in channels
-    ]
+    levels = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).alias("v")) for k, c in enumerate(channels)])
+    )
+    counts = (
+        pixels.filter(F.col(obj) > 0)
+        .select(image, obj, levels.alias("_e"))
+        .groupBy(image, obj, F.col("_e.c").alias("c"), F.col("_e.v").alias("v"))
+        .agg(F.count("*").alias("n"))
+    )
+    stats = counts.groupBy(image, obj, "c").agg(
+        F.sum(F.col("v") * F.col("n")).cast("double").alias("sum"),
+        F.sum("n").alias("n"),
+        F.max("v").cast("double").alias("max"),
+        F.min("v").cast("double").alias("min"),
+        F.expr("percentile(v, 0.5, n)").alias("median"),
+    )
+    wide = stats.groupBy(image, obj).agg(
+        F.first("n").alias("_n"),
+        *[
+            F.expr(f"max(case when c = {k} then `{m}` end) as `{c}_{m}`")
+            for k, c in enumerate(channels)
+            for m in ("sum", "max", "min", "median")
+        ],
+    )
+    joined = wide.join(areas.select(image, obj, "area"), [image, obj])
     return joined.select(
         image,
         obj,
         *[
             x
-            for k, c in enumerate(channels)
-            for x in [*[f"{c}_{m}" for m in INTENSITY_METRICS[:-1]], density[k]]
+            for c in channels
+            for x in (
+                (F.col(f"{c}_sum") / F.col("_n")).alias(f"{c}_mean"),
+                *[f"{c}_{m}" for m in ("median", "max", "min", "sum")],
+                F.try_divide(F.col(f"{c}_sum"), F.col("area")).alias(f"{c}_int_density"),
+            )
         ],
     )
 
@@ -245,11 +260,9 @@ def pivot_channels(
     for c in channels:
         for m in metrics:
             for d in distances or [None]:
-                here = F.col("channel") == c
-                if d is not None:
-                    here = here & (F.col("d") == d)
+                here = f"channel = '{c}'" + ("" if d is None else f" and d = {d}")
                 name = f"{c}_{infix}_{m}" + ("" if d is None else f"_d{d}")
-                wide.append(F.max(F.when(here, F.col(m))).alias(name))
+                wide.append(F.expr(f"max(case when {here} then `{m}` end) as {name}"))
     return df.groupBy(image, obj).agg(*wide)
 
 

@@ -21,31 +21,36 @@ RING = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
 
 
 class Tile:
-    """Dense arrays of one tile with its margin."""
+    """Dense arrays of one tile with its margin, cut to the pixels it holds."""
 
     def __init__(self, pdf: pd.DataFrame, side: int, margin: tuple[int, int, int, int]):
-        self.up, self.down, self.left, self.right = margin
-        self.side = side
-        self.top = int(pdf["_ty"].iat[0]) * side
-        self.first = int(pdf["_tx"].iat[0]) * side
-        self.rows = pdf["y"].to_numpy() - self.top + self.up
-        self.cols = pdf["x"].to_numpy() - self.first + self.left
+        self.up, down, self.left, right = margin
+        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+        own = (y // side == pdf["_ty"].iat[0]) & (x // side == pdf["_tx"].iat[0])
+        self.empty = not own.any()
+        if self.empty:
+            return
+        self.top, self.first = int(y[own].min()), int(x[own].min())
+        self.height = int(y[own].max()) - self.top + 1
+        self.width = int(x[own].max()) - self.first + 1
+        self.shape = (self.height + self.up + down, self.width + self.left + right)
+        rows, cols = y - self.top + self.up, x - self.first + self.left
+        self.near = (rows >= 0) & (rows < self.shape[0]) & (cols >= 0) & (cols < self.shape[1])
+        self.rows, self.cols = rows[self.near], cols[self.near]
         self.pdf = pdf
-        self.shape = (side + self.up + self.down, side + self.left + self.right)
         self.present = np.zeros(self.shape, dtype=bool)
         self.present[self.rows, self.cols] = True
         self.core_rows, self.core_cols = np.nonzero(self.core(self.present))
 
     def grid(self, column: str, fill: int) -> np.ndarray:
         out = np.full(self.shape, fill, dtype=np.int64)
-        out[self.rows, self.cols] = self.pdf[column].to_numpy()
+        out[self.rows, self.cols] = self.pdf[column].to_numpy()[self.near]
         return out
 
     def core(self, values: np.ndarray, dy: int = 0, dx: int = 0) -> np.ndarray:
         """The tile proper, read at an offset within the margin."""
-        return values[
-            self.up + dy : self.up + dy + self.side, self.left + dx : self.left + dx + self.side
-        ]
+        top, first = self.up + dy, self.left + dx
+        return values[top : top + self.height, first : first + self.width]
 
     def rows_out(self, keys: dict, **values: np.ndarray) -> pd.DataFrame:
         """One row per present core pixel."""
@@ -57,6 +62,15 @@ class Tile:
         return pd.DataFrame(data)
 
 
+def by_task(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions of a fixed number.
+
+    The cost of a group lies in the array work, not in its bytes, so the partitions
+    must not be merged by size.  The grouping that follows needs no second shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def over_tiles(
     pixels: DataFrame,
     work: Callable[[Tile, dict], pd.DataFrame],
@@ -79,10 +93,15 @@ def over_tiles(
         .withColumn("_tx", F.explode(tiles("x", left, right)))
     )
 
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return work(Tile(pdf, side, margin), {image: pdf[image].iat[0]})
+        tile = Tile(pdf, side, margin)
+        if tile.empty:
+            return pd.DataFrame(columns=names)
+        return work(tile, {image: pdf[image].iat[0]})
 
-    return placed.groupBy(image, "_ty", "_tx").applyInPandas(run, schema)
+    return by_task(placed, image, "_ty", "_tx").groupBy(image, "_ty", "_tx").applyInPandas(run, schema)
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
