@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, ShortType, StructField, StructType
 
 _ELLIPSE_POINTS = 5
 
@@ -281,6 +281,29 @@ def ring_spans(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return pd.Series([spans(x, y) for x, y in zip(xs, ys)])
 
 
+@F.pandas_udf(ArrayType(ShortType()))
+def equalising_curve(
+    levels: pd.Series, counts: pd.Series, area: pd.Series, clip_limit: pd.Series
+) -> pd.Series:
+    """Contrast-limited curve (256 values) of each tile from its level counts.
+
+    The excess over the clip goes evenly to all levels, its rest to evenly spaced ones.
+    """
+
+    def curve(v, n, pixels, limit):
+        clip = max(int(limit * pixels / 256), 1)
+        bins = np.zeros(256, dtype=np.int64)
+        bins[np.asarray(v, dtype=np.int64)] = n
+        excess = int(np.maximum(bins - clip, 0).sum())
+        batch, rest = divmod(excess, 256)
+        bins = np.minimum(bins, clip) + batch
+        if rest:
+            bins[:: max(256 // rest, 1)][:rest] += 1
+        return np.minimum(np.rint(np.cumsum(bins) * (255.0 / pixels)), 255).astype(np.int16)
+
+    return pd.Series([curve(*row) for row in zip(levels, counts, area, clip_limit)])
+
+
 @F.pandas_udf(DoubleType())
 def chi_square_tail(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution for whole degrees of freedom."""

@@ -2,7 +2,7 @@
 
 Regions are first labelled inside tiles; only pixels on tile borders, about one in
 a hundred, are joined to find which tile regions belong together.  That small graph
-is contracted to stars in rounds, and each round is checkpointed.
+is contracted to stars in rounds, and each round is written to the shared folder.
 """
 
 from __future__ import annotations

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmetry.functions.solvers import equalising_curve
+
 
 def channel_blend(
     a: DataFrame, b: DataFrame, value: str = "v", image: str = "image_id"
@@ -168,29 +170,34 @@ def resize_bilinear(
     summed before the shuffle.
     """
 
-    def targets(axis: str, length: str, count: int) -> Column:
+    def reach(axis: str, length: str, count: int) -> Column:
         scale = F.col(length).cast("double") / F.lit(float(count))
-        near = F.sequence(
-            F.greatest(F.floor((F.col(axis) - 0.5) / scale - 0.5) - 1, F.lit(0)).cast("bigint"),
-            F.least(F.ceil((F.col(axis) + 1.5) / scale - 0.5) + 1, F.lit(count - 1)).cast("bigint"),
+        low = F.floor((F.col(axis) - 0.5) / scale - 0.5)
+        high = F.ceil((F.col(axis) + 1.5) / scale - 0.5)
+        return F.explode(
+            F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.lit(count - 1)))
         )
 
-        def weigh(t: Column) -> Column:
-            at = F.least(
-                F.greatest((t + 0.5) * scale - 0.5, F.lit(0.0)), F.col(length).cast("double") - 1.0
-            )
-            return F.struct(t.alias("t"), (1.0 - F.abs(at - F.col(axis))).alias("w"))
-
-        return F.filter(F.transform(near, weigh), lambda e: e["w"] > 0)
+    def weight(target: str, axis: str, length: str, count: int) -> Column:
+        size_ = F.col(length).cast("double")
+        at = (F.col(target) + 0.5) * (size_ / F.lit(float(count))) - 0.5
+        return 1.0 - F.abs(F.least(F.greatest(at, F.lit(0.0)), size_ - 1.0) - F.col(axis))
 
     sized = pixels.select(image, "y", "x", F.col(column).alias("_v")).join(
         image_sizes(pixels, image), image
     )
-    reached = sized.select(
-        image, "_v", "x", "width", F.explode(targets("y", "height", size[0])).alias("_ty")
-    ).select(image, "_v", "_ty", F.explode(targets("x", "width", size[1])).alias("_tx"))
-    return reached.groupBy(image, F.col("_ty.t").alias("y"), F.col("_tx.t").alias("x")).agg(
-        F.sum(F.col("_ty.w") * F.col("_tx.w") * F.col("_v")).alias(column)
+    rows = (
+        sized.withColumn("_ty", reach("y", "height", size[0]))
+        .withColumn("_wy", weight("_ty", "y", "height", size[0]))
+        .filter(F.col("_wy") > 0)
+    )
+    both = (
+        rows.withColumn("_tx", reach("x", "width", size[1]))
+        .withColumn("_wx", weight("_tx", "x", "width", size[1]))
+        .filter(F.col("_wx") > 0)
+    )
+    return both.groupBy(image, F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(
+        F.sum(F.col("_wy") * F.col("_wx") * F.col("_v")).alias(column)
     )
 
 
@@ -203,11 +210,10 @@ def clahe(
 ) -> DataFrame:
     """Contrast-limited equalisation on a grid of tiles.
 
-    Histograms are clipped, the excess is spread evenly and its rest over evenly
-    spaced levels, a running sum over 256 levels gives each tile's curve, and a
-    pixel blends the curves of its four nearest tiles.  Curves travel packed by the
-    cell between four tile centres, so the pixel table is joined once.  Image sides
-    must be multiples of ``tiles``.
+    Each tile's level counts give its curve, and a pixel blends the curves of its four
+    nearest tiles.  Curves travel packed by the cell between four tile centres, so the
+    pixel table is joined once and an image spreads over many keys.  Image sides must
+    be multiples of ``tiles``.
     """
     sized = pixels.join(image_sizes(pixels, image), image)
     high, wide = F.col("height") / tiles, F.col("width") / tiles
@@ -217,41 +223,17 @@ def clahe(
         .groupBy(image, "_ty", "_tx", F.col(column).alias("_v"))
         .agg(F.count("*").alias("_n"), F.first(high * wide).alias("_area"))
     )
-    clip = F.greatest(F.floor(clip_limit * F.col("_area") / 256), F.lit(1))
     # one row per tile: at most 256 (level, count) entries
     packed = seen.groupBy(image, "_ty", "_tx").agg(
-        F.map_from_entries(F.collect_list(F.struct("_v", "_n"))).alias("_h"),
-        F.first("_area").alias("_area"),
-        F.sum(F.greatest(F.col("_n") - clip, F.lit(0))).alias("_excess"),
+        F.collect_list(F.struct("_v", "_n")).alias("_h"), F.first("_area").alias("_area")
     )
-    batch = F.floor(F.col("_excess") / 256)
-    rest = F.col("_excess") - batch * 256
-    step = F.greatest(F.floor(256 / F.greatest(rest, F.lit(1))), F.lit(1))
-    levels = F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))
-    clipped = packed.withColumns({"_clip": clip, "_batch": batch, "_rest": rest, "_step": step})
-    filled = F.transform(
-        levels,
-        lambda v: (
-            F.least(F.coalesce(F.col("_h")[v], F.lit(0)), F.col("_clip"))
-            + F.col("_batch")
-            + F.when(
-                (F.pmod(v, F.col("_step")) == 0)
-                & (F.floor(v / F.col("_step")) < F.col("_rest")),
-                1,
-            ).otherwise(0)
-        ).cast("double"),
-    )
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("curve"))
-
-    def grow(acc: Column, h: Column) -> Column:
-        total = acc["sum"] + h
-        level = F.least(
-            F.bround(total * (F.lit(255.0) / F.col("_area")), 0), F.lit(255.0)
-        ).cast("bigint")
-        return F.struct(total.alias("sum"), F.concat(acc["curve"], F.array(level)).alias("curve"))
-
-    curves = clipped.select(
-        image, "_ty", "_tx", F.aggregate(filled, start, grow, lambda acc: acc["curve"]).alias("_curve")
+    curves = packed.select(
+        image,
+        "_ty",
+        "_tx",
+        equalising_curve(
+            F.col("_h._v"), F.col("_h._n"), F.col("_area"), F.lit(clip_limit)
+        ).alias("_curve"),
     )
     # a tile serves the cells (ty, ty+1) x (tx, tx+1); edge tiles also the outer cells
     last = tiles - 1

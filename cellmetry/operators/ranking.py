@@ -75,8 +75,8 @@ def shuffled_row_number(
 def sorted_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """1-based row number over the whole table in any total order.
 
-    Range partitions are the buckets; they are checkpointed so that a lost
-    executor cannot redraw their borders.
+    Range partitions are the buckets; they are written out so that a lost executor
+    cannot redraw their borders.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut_lineage(

@@ -40,10 +40,11 @@ def nucleus_parents(
     image: str = "image_id",
     nucleus: str = "nucleus_id",
     parent: str = "object_id",
+    point: tuple[str, str] = ("px", "py"),
     grid: int = GRID,
 ) -> DataFrame:
     """First cytoplasm (by ``parent`` order) of the image whose ring holds the nucleus
-    centre (px, py), border included; nuclei without parent drop out.
+    centre ``point``, border included; nuclei without parent drop out.
 
     Columns: image, nucleus, parent.
     """
@@ -59,10 +60,10 @@ def nucleus_parents(
     points = nuclei.select(
         image,
         nucleus,
-        "px",
-        "py",
-        _cell(F.col("py"), grid).alias("_cell_y"),
-        _cell(F.col("px"), grid).alias("_cell_x"),
+        F.col(point[0]).alias("px"),
+        F.col(point[1]).alias("py"),
+        _cell(F.col(point[1]), grid).alias("_cell_y"),
+        _cell(F.col(point[0]), grid).alias("_cell_x"),
     )
     near = points.join(rings, [image, "_cell_y", "_cell_x"]).filter(
         F.col("px").between(F.col("_box.x"), F.col("_box.x") + F.col("_box.w") - 1)
@@ -78,9 +79,10 @@ def link_objects(
     image: str = "image_id",
     nucleus: str = "nucleus_id",
     parent: str = "object_id",
+    point: tuple[str, str] = ("px", "py"),
 ) -> DataFrame:
     """One row per nucleus with a parent: all ``cyto_*`` and all ``nuc_*`` columns."""
-    links = nucleus_parents(nuclei, cytoplasms, image, nucleus, parent)
+    links = nucleus_parents(nuclei, cytoplasms, image, nucleus, parent, point)
     cyto = prefix_columns(cytoplasms, "cyto_")
     nuc = prefix_columns(nuclei, "nuc_")
     with_nucleus = links.withColumnsRenamed(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmetry.operators.tiles import glcm_pairs, lbp_counts
+from cellmetry.operators.tiles import by_task, glcm_pairs, lbp_counts
+from cellmetry.session import cut_lineage
 
 # Settings and names of the texture features.
 DISTANCES = [3, 6, 9, 18]
@@ -51,12 +52,24 @@ def intensity_features(
         .groupBy(image, obj, F.col("_e.c").alias("c"), F.col("_e.v").alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    stats = counts.groupBy(image, obj, "c").agg(
+    # at most 256 rows per channel meet here, so one exchange serves window and sums
+    placed = by_task(counts, image, obj)
+    level = Window.partitionBy(image, obj, "c")
+    running = placed.withColumns(
+        {"_upto": F.sum("n").over(level.orderBy("v")), "_all": F.sum("n").over(level)}
+    )
+
+    def at(position: Column) -> Column:
+        here = (F.col("_upto") > position) & (F.col("_upto") - F.col("n") <= position)
+        return F.max(F.when(here, F.col("v")))
+
+    middle = (F.col("_all") - 1) / 2.0
+    stats = running.groupBy(image, obj, "c").agg(
         F.sum(F.col("v") * F.col("n")).cast("double").alias("sum"),
         F.sum("n").alias("n"),
         F.max("v").cast("double").alias("max"),
         F.min("v").cast("double").alias("min"),
-        F.expr("percentile(v, 0.5, n)").alias("median"),
+        ((at(F.floor(middle)) + at(F.ceil(middle))) / 2.0).alias("median"),
     )
     wide = stats.groupBy(image, obj).agg(
         F.first("n").alias("_n"),
@@ -170,7 +183,11 @@ def glcm_features(
 
 
 def lbp_histogram(counts: DataFrame, image: str = "image_id", obj: str = "obj") -> DataFrame:
-    """Share of each code per object, with empty codes up to the largest of the image."""
+    """Share of each code per object, with empty codes up to the largest of the image.
+
+    The counts feed both sides, so the small table is written once.
+    """
+    counts = cut_lineage(counts)
     top = counts.groupBy(image, "channel").agg(F.max("code").alias("_top"))
     own = (
         counts.filter(F.col(obj) > 0)

@@ -349,7 +349,7 @@ def glcm_pairs(
         place = place.reshape(here.shape)
         levels_of = [np.minimum(tile.grid(c, 0) * levels // 256, levels - 1) for c in channels]
         parts = []
-        for d, a, dy, dx in offsets:
+        for at, (_, _, dy, dx) in enumerate(offsets):
             pair = (here > 0) & (tile.core(labels, dy, dx) == here)
             if not pair.any():
                 continue
@@ -362,38 +362,37 @@ def glcm_pairs(
                     n = np.bincount(cell)
                     hit = np.flatnonzero(n)
                     n = n[hit]
-                parts.append((number, d, a, hit, n))
+                kind = (number * len(offsets) + at) * square
+                parts.append((ids[hit // square], kind + hit % square, n))
         if not parts:
-            return pd.DataFrame(columns=[image, obj, "c", "d", "angle", "i", "j", "n"]).astype(
-                "int64"
-            )
-        sizes = [len(p[3]) for p in parts]
-        hit = np.concatenate([p[3] for p in parts])
-        return pd.DataFrame(
-            {
-                image: keys[image],
-                obj: ids[hit // square],
-                "c": np.repeat([p[0] for p in parts], sizes),
-                "d": np.repeat([p[1] for p in parts], sizes),
-                "angle": np.repeat([p[2] for p in parts], sizes),
-                "i": hit % square // levels,
-                "j": hit % levels,
-                "n": np.concatenate([p[4] for p in parts]),
-            }
-        )
+            return pd.DataFrame(columns=[image, obj, "cell", "n"])
+        owner, cell, n = (np.concatenate(p) for p in zip(*parts))
+        return pd.DataFrame({image: keys[image], obj: owner, "cell": cell, "n": n})
 
+    # channel, offset and both levels share one number until the counts are merged
     counted = over_tiles(
         pixels.filter(F.col(obj) > 0),
         work,
-        f"{image} bigint, {obj} bigint, c int, d bigint, angle bigint, i bigint, j bigint, n bigint",
+        f"{image} bigint, {obj} bigint, cell int, n bigint",
         [obj, *channels],
         margin,
         image,
         side,
     )
-    return (
-        counted.groupBy(image, obj, "c", "d", "angle", "i", "j")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("channel", F.array(*[F.lit(c) for c in channels])[F.col("c")])
-        .select(image, obj, "channel", "d", "angle", "i", "j", "n")
+    merged = counted.groupBy(image, obj, "cell").agg(F.sum("n").alias("n"))
+    kind = F.floor(F.col("cell") / square).cast("int")
+    offset = kind % len(offsets)
+
+    def pick(values: list, at: Column) -> Column:
+        return F.array(*[F.lit(v) for v in values])[at]
+
+    return merged.select(
+        image,
+        obj,
+        pick(channels, F.floor(kind / len(offsets)).cast("int")).alias("channel"),
+        pick([o[0] for o in offsets], offset).cast("bigint").alias("d"),
+        pick([o[1] for o in offsets], offset).cast("bigint").alias("angle"),
+        (F.floor(F.col("cell") / levels) % levels).alias("i"),
+        (F.col("cell") % levels).cast("bigint").alias("j"),
+        "n",
     )

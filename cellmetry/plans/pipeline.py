@@ -9,6 +9,7 @@ from cellmetry.functions.names import CHANNELS, SHAPE_COLUMNS
 from cellmetry.operators import geometry, relational as rel, spatial, texture
 from cellmetry.plans.registry import check, query, r6, sq
 from cellmetry.plans.shapes import _BOXES, _ELLIPSE, _HULL, _PARENT_POINTS, _PARENTS, _RADII, _side
+from cellmetry.session import cut_lineage
 from cellmetry.sources import derived
 
 
@@ -26,10 +27,14 @@ def objects_table(
 
 
 def labelled_cells(cytoplasms: DataFrame, nuclei: DataFrame, votes: DataFrame) -> DataFrame:
-    """Shapes, parent join, annotator consensus and class as one plan."""
-    cells = rel.min_area_filter(geometry.morpho_features(cytoplasms.drop("label")))
-    cores = rel.min_area_filter(geometry.morpho_features(nuclei))
-    linked = spatial.link_objects(cores, cells)
+    """Shapes, parent join, annotator consensus and class.
+
+    Both object tables feed the containment test and the linked row, so their shape
+    features are worked out once and written to the shared folder.
+    """
+    cells = rel.min_area_filter(cut_lineage(geometry.morpho_features(cytoplasms.drop("label"))))
+    cores = rel.min_area_filter(cut_lineage(geometry.morpho_features(nuclei)))
+    linked = spatial.link_objects(cores, cells, point=("cx_coords", "cy_coords"))
     keyed = linked.withColumnsRenamed(
         {"cyto_image_name": "image_name", "cyto_object_id": "cyto_id"}
     )
@@ -56,6 +61,10 @@ def flagship(spark, sf: str) -> DataFrame:
 
 query("class_profile")(flagship)
 
+_CENTRE_POINTS = _PARENT_POINTS.replace("px, py, e.*", "q.cx AS px, q.cy AS py, e.*").replace(
+    "FROM nuc n", "FROM nuc n JOIN nucl_p q ON q.vec_id = n.nucleus_id"
+)
+
 
 @query(
     "labelled_cells",
@@ -69,7 +78,7 @@ query("class_profile")(flagship)
         FROM parents p JOIN majority m ON m.vec_id = p.parent
         JOIN cyto_p c ON c.vec_id = p.parent JOIN nucl_p q ON q.vec_id = p.nucleus_id
         JOIN boxes b ON b.vec_id = p.parent JOIN fitted f ON f.vec_id = p.parent""",
-        ("sides", _side("cyto_e", _PARENT_POINTS)),
+        ("sides", _side("cyto_e", _CENTRE_POINTS)),
         ("parents", _PARENTS),
         *_ELLIPSE,
         ("hull", _HULL),

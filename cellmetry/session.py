@@ -26,23 +26,24 @@ def local_session(cpus: int = 8, app: str = "cellmetry") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder the cluster names in ``spark.checkpoint.dir``.
 
     A folder of our own is set only where none is configured, as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellmetry-checkpoint-"))
-    return df.checkpoint()
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellmetry-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back.
+
+    It is computed once, survives lost executors, and later steps read only the
+    columns they need.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
