@@ -215,7 +215,7 @@ def _closest(ax, ay, bx, by) -> tuple[int, int, int]:
 
 
 @F.pandas_udf(_struct(LongType(), "distance2", "ax", "ay", "bx", "by"))
-def closest_vertices(
+def _closest_vertices(
     ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series
 ) -> pd.DataFrame:
     """Closest vertex pair of two rings given as four list columns."""
@@ -227,6 +227,15 @@ def closest_vertices(
     return pd.DataFrame(rows, columns=["distance2", "ax", "ay", "bx", "by"])
 
 
+def closest_vertices(a: Column, b: Column) -> Column:
+    """Closest vertex pair of two contours.
+
+    Declared non-deterministic only so that a filter on the result does not make
+    Spark work it out twice.
+    """
+    return _closest_vertices.asNondeterministic()(a["x"], a["y"], b["x"], b["y"])
+
+
 def _spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Disjoint spans (y, first x, last x) of the pixels a ring covers, border included.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from cellmetry.operators import evaluate
 from cellmetry.operators.splits import holdout_split, kfold_expand, stratified_kfold
-from cellmetry.operators.tiles import by_task
 from cellmetry.operators.stats import minmax_scale, standard_scale
+from cellmetry.operators.tiles import by_task
 
 BLOCK = 512  # points per block in the exact silhouette
+PARALLEL_FITS = 8  # independent model fits submitted at the same time
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -40,20 +43,19 @@ def _cached_vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _best_kmeans(vectors: DataFrame, k: int, restarts: int, seed: int, variance: float):
-    """Lowest cost over the restarts; stops once centres move little for the data's spread."""
-    best = None
-    for step in range(restarts):
-        model = KMeans(
-            k=k,
-            seed=seed + step,
-            featuresCol="vector",
-            maxIter=300,
-            tol=float(np.sqrt(1e-4 * variance / k)),
-        ).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def _side_by_side(jobs: list) -> list:
+    """Run independent fits from a few threads, results in order."""
+    with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
+        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+
+
+def _fit_kmeans(vectors: DataFrame, k: int, seed: int, variance: float):
+    """One model; stops once centres move little for the data's spread."""
+    learner = KMeans(
+        k=k, seed=seed, featuresCol="vector", maxIter=300, tol=float(np.sqrt(1e-4 * variance / k))
+    )
+    model = learner.fit(vectors)
+    return model.summary.trainingCost, model
 
 
 def _variations(df: DataFrame, features: list[str]) -> tuple[float, float]:
@@ -69,7 +71,11 @@ def kmeans(
     """Cluster of each row on min-max scaled features, best of several restarts."""
     scaled = minmax_scale(df, features)
     vectors = _cached_vectors(scaled, features)
-    model = _best_kmeans(vectors, k, restarts, seed, _variations(scaled, features)[0])
+    variance, _total = _variations(scaled, features)
+    fits = _side_by_side(
+        [partial(_fit_kmeans, vectors, k, seed + step, variance) for step in range(restarts)]
+    )
+    _cost, model = min(fits, key=lambda fit: fit[0])
     vectors.unpersist()
     return model.transform(assemble(scaled, features)).select(
         *[c for c in df.columns if c not in features],
@@ -84,10 +90,14 @@ def kmeans_elbow(
     scaled = minmax_scale(df, features)
     vectors = _cached_vectors(scaled, features)
     variance, total = _variations(scaled, features)
-    costs = [(1, float(total))]
-    for k in range(2, largest + 1):
-        model = _best_kmeans(vectors, k, restarts, seed, variance)
-        costs.append((k, float(model.summary.trainingCost)))
+    tasks = [(k, step) for k in range(2, largest + 1) for step in range(restarts)]
+    fits = _side_by_side(
+        [partial(_fit_kmeans, vectors, k, seed + step, variance) for k, step in tasks]
+    )
+    lowest: dict[int, float] = {1: float(total)}
+    for (k, _step), (cost, _model) in zip(tasks, fits):
+        lowest[k] = min(cost, lowest.get(k, cost))
+    costs = sorted(lowest.items())
     vectors.unpersist()
     return df.sparkSession.createDataFrame(costs, "k bigint, inertia double")
 
@@ -326,8 +336,8 @@ def fold_models(
         StorageLevel.MEMORY_AND_DISK
     )
     rounds = kfold_expand(folded, k)
-    models = []
-    for fold in range(k):
+
+    def fit(fold: int):
         train = folded.filter(F.col("fold") != fold)
         if task == "classification":
             learner = DecisionTreeClassifier(
@@ -342,8 +352,9 @@ def fold_models(
             learner = DecisionTreeRegressor(
                 featuresCol="vector", labelCol="label", minWeightFractionPerNode=0.1, seed=0
             )
-        models.append(learner.fit(train))
-    return rounds, models
+        return learner.fit(train)
+
+    return rounds, _side_by_side([partial(fit, fold) for fold in range(k)])
 
 
 def _scored_folds(rounds: DataFrame, models: list, name: str) -> DataFrame:

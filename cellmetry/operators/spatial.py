@@ -135,10 +135,7 @@ def contour_min_distance(
         & (gap("x", "w") * gap("x", "w") + gap("y", "h") * gap("y", "h") <= max_gap * max_gap)
     )
     return (
-        near.withColumn(
-            "_best",
-            closest_vertices(F.col("_ca.x"), F.col("_ca.y"), F.col("_cb.x"), F.col("_cb.y")),
-        )
+        near.withColumn("_best", closest_vertices(F.col("_ca"), F.col("_cb")))
         .filter(F.col("_best.distance2") <= max_gap * max_gap)
         .select(
             image,

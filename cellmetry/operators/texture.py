@@ -299,26 +299,15 @@ def texture_features(
     pixels: DataFrame, channels: list[str], image: str = "image_id", obj: str = "obj"
 ) -> DataFrame:
     """All LBP and GLCM columns per object."""
-    lbp = pivot_channels(
-        lbp_metrics(lbp_histogram(lbp_counts(pixels, channels, obj, image), image, obj), image, obj),
-        channels,
-        LBP_METRICS,
-        "lbp",
-        image,
-        obj,
+    metrics = lbp_metrics(
+        lbp_histogram(lbp_counts(pixels, channels, obj, image), image, obj), image, obj
     )
-    glcm = pivot_channels(
-        glcm_features(
-            glcm_pairs(pixels, channels, DISTANCES, ANGLES, LEVELS, obj, image),
-            object_channels(pixels, channels, image, obj),
-            image=image,
-            obj=obj,
-        ),
-        channels,
-        GLCM_PROPERTIES,
-        "glcm",
-        image,
-        obj,
-        DISTANCES,
+    glcm = glcm_features(
+        glcm_pairs(pixels, channels, DISTANCES, ANGLES, LEVELS, obj, image),
+        metrics.select(image, obj, "channel"),
+        image=image,
+        obj=obj,
+    )
+    return pivot_channels(metrics, channels, LBP_METRICS, "lbp", image, obj).join(
+        pivot_channels(glcm, channels, GLCM_PROPERTIES, "glcm", image, obj, DISTANCES), [image, obj]
     )
-    return lbp.join(glcm, [image, obj])
