@@ -217,49 +217,54 @@ def lbp_histogram(counts: DataFrame, image: str = "image_id", obj: str = "obj")
 
 
 def lbp_metrics(histogram: DataFrame, image: str = "image_id", obj: str = "obj") -> DataFrame:
-    """Seven metrics of each histogram; empty codes take part in the entropy."""
+    """Seven metrics of each histogram; empty codes take part in the entropy.
+
+    The ten codes become ten columns, so every metric is plain arithmetic on a row.
+    """
     keys = [image, obj, "channel"]
-    # a histogram has at most ten codes, so it fits in one array per object
-    packed = histogram.groupBy(*keys).agg(
-        F.collect_list(F.struct("code", "p")).alias("_h")
+    codes = range(10)
+    spread = histogram.groupBy(*keys).agg(
+        F.max("code").alias("_top"),
+        (F.sum("p") + TINY).alias("_sum"),
+        *[F.sum(F.when(F.col("code") == k, F.col("p")).otherwise(0.0)).alias(f"_p{k}") for k in codes],
+    )
+    shares = spread.select(
+        *keys, "_top", *[(F.col(f"_p{k}") / F.col("_sum")).alias(f"_h{k}") for k in codes]
     )
 
     def total(of) -> Column:
-        return F.aggregate(F.col("_h"), F.lit(0.0), lambda acc, e: acc + of(e))
-
-    scaled = packed.withColumn("_sum", total(lambda e: e["p"])).withColumn(
-        "_h",
-        F.transform(
-            "_h",
-            lambda e: F.struct(
-                e["code"].cast("double").alias("code"),
-                (e["p"] / (F.col("_sum") + TINY)).alias("p"),
-            ),
-        ),
-    )
-    centred = scaled.withColumn("mean_code", total(lambda e: e["code"] * e["p"]))
+        return sum((of(k, F.col(f"_h{k}")) for k in codes[1:]), of(0, F.col("_h0")))
 
     def moment(power: int) -> Column:
-        def term(e: Column) -> Column:
-            gap = e["code"] - F.col("mean_code")
-            product = e["p"]
+        def term(k: int, h: Column) -> Column:
+            gap = F.lit(float(k)) - F.col("mean_code")
             for _ in range(power):
-                product = product * gap
-            return product
+                h = h * gap
+            return h
 
         return total(term)
 
-    return (
-        centred.withColumns({"var_code": moment(2), "asm": total(lambda e: e["p"] * e["p"])})
-        .withColumns(
-            {
-                "skewness": moment(3) / (F.pow("var_code", F.lit(1.5)) + TINY),
-                "kurtosis": moment(4) / (F.col("var_code") * F.col("var_code") + TINY),
-                "entropy": -total(lambda e: (e["p"] + TINY) * F.log(e["p"] + TINY)),
-                "energy": F.sqrt("asm"),
-            }
-        )
-        .select(*keys, *LBP_METRICS)
+    def surprise(k: int, h: Column) -> Column:
+        return F.when(F.lit(k) <= F.col("_top"), -(h + TINY) * F.log(h + TINY)).otherwise(0.0)
+
+    centred = shares.withColumn("mean_code", total(lambda k, h: h * float(k)))
+    return centred.withColumns(
+        {
+            "entropy": total(surprise),
+            "asm": total(lambda _, h: h * h),
+            "var_code": moment(2),
+            "_m3": moment(3),
+            "_m4": moment(4),
+        }
+    ).select(
+        *keys,
+        "entropy",
+        F.sqrt("asm").alias("energy"),
+        "asm",
+        "mean_code",
+        "var_code",
+        (F.col("_m3") / (F.pow("var_code", F.lit(1.5)) + TINY)).alias("skewness"),
+        (F.col("_m4") / (F.col("var_code") * F.col("var_code") + TINY)).alias("kurtosis"),
     )
 
 
