@@ -1,8 +1,9 @@
-"""Session helpers: a local session for tests and the shared checkpoint folder."""
+"""Session helpers: a local session for tests, shipped code and the shared folder."""
 
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,15 +31,35 @@ def local_session(cpus: int = 8, app: str = "cellmetry") -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where none is configured, as in local tests.
+    A folder of our own is set only for a local master without a configured one, as in
+    tests.  On a cluster a missing setting is an error: a machine's own folder would
+    hide each executor's files from the others.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellmetry-checkpoint-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable where the Python tasks run, on any master."""
+    context = spark.sparkContext
+    if getattr(context, "_cellmetry_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="cellmetry-code-"), "cellmetry-code"),
+        "zip",
+        os.path.dirname(package),
+        os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    context._cellmetry_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it back.
 
