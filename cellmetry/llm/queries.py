@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import simhash
+from cellmetry.llm import decontaminate, mixing, simhash
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,17 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op8_fair_mixing", mixing.MIX_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.fair_mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query("op9_decontamination", decontaminate.CONTAINED_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contained_items(docs, items).drop("text_hash")
+
+
 @query("op10_simhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
