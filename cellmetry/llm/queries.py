@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, simhash
+from cellmetry.llm import decontaminate, mixing, simhash, token_file
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op2_token_file")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_file.read_documents(token_file.write_tokens(table(spark, sf_dir, "documents"), path))
+
+
 @query("op8_fair_mixing", mixing.MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).drop("source")
