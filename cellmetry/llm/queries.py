@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, simhash, token_file
+from cellmetry.llm import decontaminate, mixing, quality, simhash, token_file
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(token_file.write_tokens(table(spark, sf_dir, "documents"), path))
 
 
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(docs, quality.train_quality(docs, labels))
+
+
 @query("op8_fair_mixing", mixing.MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).drop("source")
