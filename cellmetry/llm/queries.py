@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, quality, simhash, token_file
+from cellmetry.llm import decontaminate, mixing, quality, simhash, token_file, warc
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("op1_warc_salvage", warc.WARC_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op2_token_file")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -25,7 +25,7 @@ class Output:
         store.create_dir(at, recursive=True)
         name = f"{stem}-{uuid.uuid4().hex}{suffix}"
         self.path = f"{folder.rstrip('/')}/{name}"
-        self.stream = store.open_output_stream(f"{at.rstrip('/')}/{name}")
+        self.stream = store.open_output_stream(f"{at.rstrip('/')}/{name}", compression=None)
 
 
 def open_input(path: str) -> pa.NativeFile:
