@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, quality, simhash, token_file, warc
+from cellmetry.llm import decontaminate, mixing, quality, secrets, simhash, token_file, warc
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(token_file.write_tokens(table(spark, sf_dir, "documents"), path))
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
