@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, quality, secrets, simhash, token_file, warc
+from cellmetry.llm import decontaminate, mixing, quality, secrets, simhash, token_counts, token_file, warc
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.train_quality(docs, labels))
 
 
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count_tokens(docs, ranks, public_tokenizers.PATTERN)
+
+
 @query("op8_fair_mixing", mixing.MIX_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_mix(table(spark, sf_dir, "documents")).drop("source")
