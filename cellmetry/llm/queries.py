@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmetry.llm import decontaminate, mixing, quality, secrets, simhash, token_counts, token_file, warc
+from cellmetry.llm import (
+    decontaminate,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    token_counts,
+    token_file,
+    toxicity,
+    warc,
+)
 from cellmetry.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +51,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.toxicity_scores(docs, toxicity.train_toxicity(docs, labels))
+
+
 @query("op6_quality_classifier")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

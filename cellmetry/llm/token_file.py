@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -26,8 +27,8 @@ from cellmetry.session import cut_lineage, shared_folder
 
 SEQUENCE = 2048
 BATCH = 256
-#: Cached encodings per task; the cache starts anew beyond it.
-CACHE = 400_000
+#: Words whose ids a Python worker keeps; it starts anew beyond them.
+CACHE = 600_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
@@ -35,11 +36,12 @@ _MANIFEST = "shard long, tokens string, documents string, n_tokens long, n_docs
 
 
 class CachedEncoder:
-    """Encodes texts piece by piece with a byte-level tokenizer, keeping pieces it has seen.
+    """Encodes texts word by word with a byte-level tokenizer, keeping words it has seen.
 
     Its splitting pattern always breaks before a single space between two characters
     that are no white space, whatever stands around; so a text may be cut there and the
-    ids of the pieces joined are the ids of the text.
+    ids of the pieces joined are the ids of the text.  New words are encoded many in one
+    text, and told apart by the bytes that their ids stand for.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,26 +49,62 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.dtype = np.uint32 if self.wide else np.uint16
-        self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.uint32 if len(vocabulary) > 1 << 16 else np.uint16
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for piece, i in vocabulary.items():  # a byte-level piece has a character per byte
+            self.width[i] = len(piece)
+        self.seen: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Keep the ids of each word after a space, None where it cannot be cut off."""
+        plain = []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                self.seen[w] = None
+            else:
+                plain.append(w)
+        step = 256
+        texts = [" " + " ".join(plain[i : i + step]) for i in range(0, len(plain), step)]
+        size = self.dtype().itemsize
+        for i, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            part = plain[i * step : (i + 1) * step]
+            ids = np.array(found.ids, self.dtype)
+            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, (cuts * size).tolist()):
+                self.seen[w] = data[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            pieces = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-            cut.append(pieces[:1] + [" " + p for p in pieces[1:]] if text else [])
         if len(self.seen) > CACHE:
             self.seen.clear()
-        new = list({p for pieces in cut for p in pieces if p not in self.seen})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.seen.update(
-                (p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(part, found)
-            )
-        seen = self.seen
-        return [np.frombuffer(b"".join([seen[p] for p in pieces]), self.dtype) for pieces in cut]
+        cut = [t.split(" ") for t in texts]
+        self._learn(set().union(*cut).difference(self.seen))
+        out = []
+        for text, words in zip(texts, cut):
+            try:
+                data = b"".join(map(self.seen.__getitem__, words[1:]))
+                first = words[0]
+                if len(words) > 1 and (not first or first[-1].isspace()):
+                    raise TypeError  # the text starts with a space or breaks before one
+                data = (self._whole(first) if first else b"") + data
+            except TypeError:
+                pieces = _BREAK.split(text)
+                data = b"".join([self._whole(p if not i else " " + p) for i, p in enumerate(pieces)])
+            out.append(np.frombuffer(data, self.dtype))
+        return out
+
+
+@cache
+def task_encoder(path: str) -> CachedEncoder:
+    """The encoder of this Python worker, shared by the tasks that it runs."""
+    return CachedEncoder(path)
 
 
 class _ShardWriter:
@@ -162,7 +200,7 @@ def write_tokens(
                 continue
             if writer is None:
                 shard = rows.column(2)[0].as_py()
-                encoder = CachedEncoder(tokenizer)
+                encoder = task_encoder(tokenizer)
                 writer = _ShardWriter(folder, shard, encoder.dtype, sequence, batch)
                 listed = Output(folder, f"documents-{shard:08d}", ".arrow")
                 index, n_docs = pa.ipc.new_file(listed.stream, _INDEX), 0
