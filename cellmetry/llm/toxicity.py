@@ -14,7 +14,6 @@ the model so far finds most toxic, a clean one random windows and its most suspi
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -130,6 +129,12 @@ class Network:
         states = [self.side(s, v, at) for s, v in zip("fb", projected)]
         return self.pooled(np.concatenate(states, axis=2), at)[0]
 
+    def window_logits(self, words: list[str], at: np.ndarray) -> np.ndarray:
+        """Logits of windows that hold 1 + place in plain words, 0 for none."""
+        x = self.inputs(words)[0] if words else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        none = np.zeros((1, 3 * HIDDEN), np.float32)
+        return self.logits([np.concatenate([none, v]) for v in self.project(x)], at)
+
     def gradients(
         self, words: list[str], at: np.ndarray, y: np.ndarray, times: float = 1
     ) -> dict[str, np.ndarray]:
@@ -243,14 +248,28 @@ def windows(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def train_network(texts: list[str], labels: np.ndarray, seed: int = 11) -> Network:
     """Fit on texts and labels 0 or 1; without both labels the score is their share."""
     rng = np.random.default_rng(seed)
-    split = [[plain_word(w) for w in _WORDS.findall(t)] for t in texts]
-    toxic, clean, n = Counter(), Counter(), len(texts)
-    for words, y in zip(split, labels):
-        (toxic if y else clean).update(set(words))
-    both = toxic + clean
-    n1 = int(labels.sum())
-    ranked = sorted((w for w, k in both.items() if k >= 3), key=lambda w: (-both[w], w))
-    network = Network.start({w: i + 1 for i, w in enumerate(ranked[:MAX_WORDS])}, rng)
+    # Texts as numbers of their plain words, 1 for the first; few strings are kept.
+    number: dict[str, int] = {}
+    numbered: dict[str, int] = {}
+    rows = []
+    for text in texts:
+        found = []
+        for w in _WORDS.findall(text):
+            i = numbered.get(w)
+            if i is None:
+                i = numbered[w] = number.setdefault(plain_word(w), len(number) + 1)
+            found.append(i)
+        rows.append(np.array(found, np.int32))
+    del numbered
+    known, n, n1 = list(number), len(texts), int(labels.sum())
+    del number
+    toxic, clean = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    for r, y in zip(rows, labels):
+        (toxic if y else clean)[np.unique(r)] += 1
+    a, b = toxic[1:], clean[1:]
+    frequent = [i for i in np.lexsort((np.arange(len(known)), -(a + b))) if a[i] + b[i] >= 3]
+    frequent = frequent[:MAX_WORDS]
+    network = Network.start({known[i]: k + 1 for k, i in enumerate(frequent)}, rng)
     if not 0 < n1 < n:
         network.p["out"][:] = 0
         share = (n1 + 0.5) / (n + 1)
@@ -261,24 +280,27 @@ def train_network(texts: list[str], labels: np.ndarray, seed: int = 11) -> Netwo
     def odds(a, b):
         return np.clip(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n - n1 + 1)), -4, 4) / 2
 
-    known = list(both)
-    grams, first = trigram_rows(known)
+    grams, first = trigram_rows(known) if known else (np.zeros(0, np.int64),) * 2
     sizes = np.diff(np.append(first, len(grams)))
-    a, b = (np.array([c[w] for w in known], float) for c in (toxic, clean))
     per = [np.bincount(grams, np.repeat(v, sizes), TRIGRAMS) for v in (a, b)]
     network.p["char"][:, 0] = odds(*per)
-    network.p["word"][0, 0] = 0
-    for w, i in network.vocabulary.items():
-        network.p["word"][i, 0] = odds(toxic[w], clean[w])
+    network.p["word"][1:, 0] = odds(a[frequent], b[frequent])
 
-    # Windows over the distinct words of the sample; the first choice is by log-odds.
-    number = {w: i + 1 for i, w in enumerate(known)}
-    rows = [np.array([number[w] for w in words], np.int32) for words in split]
+    # Windows over the words of the sample; the first choice is by log-odds.
     at, start = windows(rows)
     ends = np.append(start[1:], len(at))
     word_odds = np.concatenate([[0], np.where(a + b >= 3, odds(a, b), 0)])
-    char_odds = np.add.reduceat(network.p["char"][grams, 0], first) / sizes
-    strength = np.maximum(0, word_odds + np.concatenate([[0], char_odds]))[at].sum(1)
+    char_odds = np.add.reduceat(network.p["char"][grams, 0], first) / sizes if known else []
+    per_word = np.maximum(0, word_odds + np.concatenate([[0], char_odds])).astype(np.float32)
+    del grams, first, sizes, word_odds, char_odds
+    strength = per_word[at].sum(1)
+
+    def gathered(choice: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """The words of some windows, and the windows as 1 + place in them."""
+        used, local = np.unique(at[choice], return_inverse=True)
+        words = [known[i - 1] for i in used if i]
+        return words, local.reshape(len(choice), WINDOW) + (len(words) == len(used))
+
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
     epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // (n1 + 3 * (n - n1))))
     weight = np.float32(min(5, max(1, (n - n1) / n1)))  # of toxic windows
@@ -295,13 +317,10 @@ def train_network(texts: list[str], labels: np.ndarray, seed: int = 11) -> Netwo
         chosen = np.array(chosen)
         for s in range(0, len(order), BATCH):
             pick = order[s : s + BATCH]
-            used, local = np.unique(at[chosen[pick]], return_inverse=True)
-            local = local.reshape(len(pick), WINDOW)
-            if used[0] != 0:
-                used, local = np.concatenate([[0], used]), local + 1
-            if len(used) == 1:
+            words, local = gathered(chosen[pick])
+            if not words:
                 continue
-            g = network.gradients([known[i - 1] for i in used[1:]], local, target[pick], weight)
+            g = network.gradients(words, local, target[pick], weight)
             norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
             step += 1
             for k, v in g.items():
@@ -314,15 +333,9 @@ def train_network(texts: list[str], labels: np.ndarray, seed: int = 11) -> Netwo
                     rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
                 ).astype(np.float32)
         if epoch < epochs - 1:
-            projected = []
-            for part in range(0, len(known), 50_000):
-                x, *_ = network.inputs(known[part : part + 50_000])
-                projected.append(network.project(x))
-            none = np.zeros((1, 3 * HIDDEN), np.float32)
-            tables = [np.concatenate([none, *(v[i] for v in projected)]) for i in (0, 1)]
-            strength = np.concatenate(
-                [network.logits(tables, at[s : s + 4096]) for s in range(0, len(at), 4096)]
-            )
+            for s in range(0, len(at), 4096):
+                words, local = gathered(np.arange(s, min(len(at), s + 4096)))
+                strength[s : s + 4096] = network.window_logits(words, local)
     return network
 
 
@@ -351,7 +364,9 @@ def train_toxicity(
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    return train_network([r["text"] for r in rows], np.array([r["y"] for r in rows], int))
+    texts, y = [r["text"] for r in rows], np.array([r["y"] for r in rows], int)
+    del rows
+    return train_network(texts, y)
 
 
 def toxicity_scores(docs: DataFrame, network: Network) -> DataFrame:
