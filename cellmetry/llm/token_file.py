@@ -28,7 +28,7 @@ from cellmetry.session import cut_lineage, shared_folder
 SEQUENCE = 2048
 BATCH = 256
 #: Words whose ids a Python worker keeps; it starts anew beyond them.
-CACHE = 600_000
+CACHE = 1_000_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
