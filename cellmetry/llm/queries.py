@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellmetry.llm import (
     decontaminate,
+    hnsw,
     mixing,
     quality,
     secrets,
@@ -46,6 +47,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(token_file.write_tokens(table(spark, sf_dir, "documents"), path))
 
 
+@query("op3_embedding_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
