@@ -15,11 +15,15 @@ def instance_overlap(
     pred: str = "pred",
     image: str = "image_id",
 ) -> DataFrame:
-    """Pixels shared by each pair of labels, background included."""
+    """Pixels shared by each pair of labels, background included.
+
+    A pixel, or a whole image, that one mask lacks is background in it.
+    """
+    none = F.lit(0).cast("bigint")
     return (
         truth.select(image, "y", "x", gt)
-        .join(predicted.select(image, "y", "x", pred), [image, "y", "x"])
-        .groupBy(image, gt, pred)
+        .join(predicted.select(image, "y", "x", pred), [image, "y", "x"], "full")
+        .groupBy(image, F.coalesce(gt, none).alias(gt), F.coalesce(pred, none).alias(pred))
         .agg(F.count("*").alias("inter"))
     )
 
@@ -50,7 +54,6 @@ def greedy_match(
     gt: str = "obj",
     pred: str = "pred",
     image: str = "image_id",
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """One-to-one matches by falling overlap ratio, at least numerator/denominator.
 
@@ -69,7 +72,7 @@ def greedy_match(
     order = F.struct(-F.col("iou"), F.col(gt), F.col(pred))
     left = cut_lineage(pairs)
     matched = None
-    for _ in range(max_rounds):
+    while True:
         best_gt = left.groupBy(image, gt).agg(F.min(order).alias("_bg"))
         best_pred = left.groupBy(image, pred).agg(F.min(order).alias("_bp"))
         chosen = cut_lineage(
@@ -86,7 +89,6 @@ def greedy_match(
         ).select(*left.columns)
         if left.isEmpty():
             return matched
-    raise RuntimeError("matching did not finish")
 
 
 def _ratio(a: Column, b: Column, otherwise: float) -> Column:
@@ -158,11 +160,20 @@ def segmentation_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def _known(label: str, n_classes: int) -> Column:
+    """The label; one outside 0..n_classes-1, or a missing one, is an error."""
+    named = F.coalesce(F.col(label).cast("string"), F.lit("null"))
+    wrong = F.raise_error(F.concat(F.lit(f"{label} outside 0..{n_classes - 1}: "), named))
+    return F.when(F.col(label).between(0, n_classes - 1), F.col(label)).otherwise(
+        wrong.cast("bigint")
+    )
+
+
 def class_counts(df: DataFrame, n_classes: int, label: str = "label") -> DataFrame:
     """Rows per class with zeros for absent classes.  ``n_classes`` is a parameter, so
-    the class list is generated, not read."""
+    the class list is generated, not read.  Other labels are an error."""
     classes = df.sparkSession.range(n_classes).select(F.col("id").alias(label))
-    counted = df.groupBy(label).agg(F.count("*").alias("n"))
+    counted = df.groupBy(_known(label, n_classes).alias(label)).agg(F.count("*").alias("n"))
     return classes.join(counted, label, "left").select(
         label, F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
     )
@@ -187,15 +198,15 @@ def confusion_matrix(
 ) -> DataFrame:
     """Dense K x K counts with the share of each true class.
 
-    The rows are counted first; all later steps see K * K rows.
+    Labels outside 0..K-1 are an error.  The rows are counted first; all later steps see K * K rows.
     """
     k = F.lit(n_classes)
     cells = df.sparkSession.range(n_classes * n_classes).select(
         F.floor(F.col("id") / k).cast("bigint").alias("label"), (F.col("id") % k).alias("predicted")
     )
-    counted = df.groupBy(F.col(truth).alias("label"), F.col(predicted).alias("predicted")).agg(
-        F.count("*").alias("n")
-    )
+    counted = df.groupBy(
+        _known(truth, n_classes).alias("label"), _known(predicted, n_classes).alias("predicted")
+    ).agg(F.count("*").alias("n"))
     dense = cells.join(counted, ["label", "predicted"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0).cast("bigint"))
     )

@@ -32,15 +32,8 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _cached_vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    """Cached vectors in few partitions when the table is small.
-
-    Every iteration schedules one task per partition, which dominates on small tables.
-    """
-    vectors = assemble(df, features).select("vector")
-    wanted = max(1, vectors.count() // 100_000)
-    if wanted < vectors.rdd.getNumPartitions():
-        vectors = vectors.coalesce(wanted)
-    return vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    """Vectors kept for the rounds of several fits."""
+    return assemble(df, features).select("vector").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _side_by_side(jobs: list) -> list:

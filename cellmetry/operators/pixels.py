@@ -212,10 +212,14 @@ def clahe(
 
     Each tile's level counts give its curve, and a pixel blends the curves of its four
     nearest tiles.  Curves travel packed by the cell between four tile centres, so the
-    pixel table is joined once and an image spreads over many keys.  Image sides must
-    be multiples of ``tiles``.
+    pixel table is joined once and an image spreads over many keys.  Image sides that
+    are no multiples of ``tiles`` are an error.
     """
-    sized = pixels.join(image_sizes(pixels, image), image)
+    uneven = (F.col("height") % tiles != 0) | (F.col("width") % tiles != 0)
+    wrong = F.raise_error(F.lit(f"image sides must be multiples of {tiles}")).cast("bigint")
+    sides = image_sizes(pixels, image)
+    sides = sides.withColumn("height", F.when(uneven, wrong).otherwise(F.col("height")))
+    sized = pixels.join(sides, image)
     high, wide = F.col("height") / tiles, F.col("width") / tiles
     seen = (
         sized.withColumn("_ty", F.floor(F.col("y") / high))
@@ -297,21 +301,23 @@ def object_crop(
     object_pixels: DataFrame,
     windows: DataFrame,
     sizes: DataFrame,
-    max_width: int,
-    max_height: int,
+    limits: DataFrame,
     image: str = "image_id",
     key: str = "obj",
 ) -> DataFrame:
     """Crop of each object in local coordinates, only its own pixels, zeros left out.
 
     ``object_pixels`` (image, key, y, x, v) is the filled object, ``windows``
-    (image, key, cx, cy, w, h) its centre and box, ``sizes`` (image, height, width).
-    A wide object takes a turned window and is rotated 90 degrees clockwise.  The
+    (image, key, cx, cy, w, h) its centre and box, ``sizes`` (image, height, width), and
+    ``limits`` the one row of ``crop_window_size`` over all boxes, read as a scalar
+    subquery.  With the centre of the box no pixel of an object is cut.  A wide object takes a turned window and is rotated 90 degrees clockwise.  The
     window is cut at the image border and the rest is padded evenly.
     """
     turned = F.col("w") > F.col("h")
-    span_x = F.when(turned, F.lit(max_height)).otherwise(F.lit(max_width))
-    span_y = F.when(turned, F.lit(max_width)).otherwise(F.lit(max_height))
+    max_width = limits.select("max_width").scalar()
+    max_height = limits.select("max_height").scalar()
+    span_x = F.when(turned, max_height).otherwise(max_width)
+    span_y = F.when(turned, max_width).otherwise(max_height)
 
     def low(centre: Column, span: Column) -> Column:
         edge = centre.cast("double") - span / 2.0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellmetry.functions import contour as ring
@@ -254,9 +254,7 @@ def ordered_pair_counts(counts: DataFrame) -> DataFrame:
 def distance_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins between the smallest and largest distance of each label pair."""
     pair = ["label_a", "label_b"]
-    span = counts.groupBy(*pair).agg(
-        F.min("distance").alias("_low"), F.max("distance").alias("_high")
-    )
+    whole = Window.partitionBy(*pair)  # distances of a label pair: below the image diagonal
     place = F.when(F.col("_low") == F.col("_high"), F.lit(bins // 2)).otherwise(
         F.least(
             F.floor(
@@ -268,7 +266,9 @@ def distance_histogram(counts: DataFrame, bins: int = 10) -> DataFrame:
         )
     )
     return (
-        counts.join(span, pair)
+        counts.withColumns(
+            {"_low": F.min("distance").over(whole), "_high": F.max("distance").over(whole)}
+        )
         .withColumn("bin", place.cast("bigint"))
         .groupBy(*pair, "bin")
         .agg(F.sum("n_pairs").alias("n_pairs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellmetry.functions.solvers import chi_square_tail, normal_two_sided
 from cellmetry.operators.ranking import cumulative_counts
+from cellmetry.session import cut_lineage
 
 
 def feature_rows(df: DataFrame, features: list[str], *keys: str) -> DataFrame:
@@ -60,14 +61,22 @@ def _class_ranks(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """H statistic with tie correction and its p value, one row per feature."""
+    """H statistic with tie correction and its p value, one row per feature.
+
+    Both are null for a constant feature.
+    """
+    return _kruskal(_class_ranks(df, features, label))
+
+
+def _kruskal(ranks: DataFrame) -> DataFrame:
     n_all = F.col("n_all")
-    summed = _class_ranks(df, features, label).groupBy("feature", "n_all", "ties").agg(
+    summed = ranks.groupBy("feature", "n_all", "ties").agg(
         F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("_sum"),
         F.count("*").alias("_k"),
     )
-    h = (12.0 / (n_all * (n_all + 1)) * F.col("_sum") - 3.0 * (n_all + 1)) / (
-        1.0 - F.col("ties") / (n_all * n_all * n_all - n_all)
+    h = F.try_divide(
+        12.0 / (n_all * (n_all + 1)) * F.col("_sum") - 3.0 * (n_all + 1),
+        1.0 - F.try_divide(F.col("ties"), n_all * n_all * n_all - n_all),
     )
     return summed.withColumn("statistic", h).select(
         "feature",
@@ -83,8 +92,8 @@ def dunn_posthoc(
 
     The join runs over classes, a handful of rows per feature.
     """
-    ranks = _class_ranks(df, features, label)
-    picked = kruskal_wallis(df, features, label).filter(F.col("p_value") < level)
+    ranks = cut_lineage(_class_ranks(df, features, label))  # features x classes rows
+    picked = _kruskal(ranks).filter(F.col("p_value") < level)
     means = ranks.join(picked, "feature", "left_semi").select(
         "feature", "n_all", "ties", label, "n", (F.col("rank_sum") / F.col("n")).alias("mean")
     )
@@ -96,9 +105,12 @@ def dunn_posthoc(
     )
     paired = means.join(other, "feature").filter(F.col(label) < F.col("class_b"))
     n_all = F.col("n_all")
-    base = n_all * (n_all + 1) / 12.0 - F.col("ties") / (12.0 * (n_all - 1))
+    base = n_all * (n_all + 1) / 12.0 - F.try_divide(F.col("ties"), 12.0 * (n_all - 1))
     tested = paired.withColumn(
-        "z", (F.col("mean") - F.col("_mb")) / F.sqrt(base * (1.0 / F.col("n") + 1.0 / F.col("_nb")))
+        "z",
+        F.try_divide(
+            F.col("mean") - F.col("_mb"), F.sqrt(base * (1.0 / F.col("n") + 1.0 / F.col("_nb")))
+        ),
     )
     pairs = means.groupBy("feature").agg((F.count("*") * (F.count("*") - 1) / 2).alias("_m"))
     return tested.join(pairs, "feature").select(

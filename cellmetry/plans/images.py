@@ -441,7 +441,8 @@ _MATRIX = (
     check(
         ["pix"],
         f"""SELECT image_id, obj, channel, d, angle, {sq('sum(p)')} AS total, {sq('max(p)')} AS largest,
-        {sq('sum(p * p)')} AS squares FROM probs GROUP BY image_id, obj, channel, d, angle""",
+        {sq('sum(p * p)')} AS squares, {sq('sum(p * (32 * i + j + 1))')} AS weighted
+        FROM probs GROUP BY image_id, obj, channel, d, angle""",
         *_PAIRS,
         _MATRIX,
     ),
@@ -454,9 +455,10 @@ def _(spark, sf):
             F.sum("p").alias("total"),
             F.max("p").alias("largest"),
             F.sum(F.col("p") * F.col("p")).alias("squares"),
+            F.sum(F.col("p") * (32 * F.col("i") + F.col("j") + 1)).alias("weighted"),
         )
     )
-    return rounded(summary, "total", "largest", "squares")
+    return rounded(summary, "total", "largest", "squares", "weighted")
 
 
 @query(
@@ -677,25 +679,32 @@ def _(spark, sf):
         SELECT p.image_id, p.obj, p.y, p.x, p.grayscale AS v, wide, sx, sy,
         greatest(CAST(trunc(cx - sx / 2.0) AS BIGINT), 0) AS x1, least(CAST(trunc(cx + sx / 2.0) AS BIGINT), 64) AS x2,
         greatest(CAST(trunc(cy - sy / 2.0) AS BIGINT), 0) AS y1, least(CAST(trunc(cy + sy / 2.0) AS BIGINT), 64) AS y2
-        FROM pix p JOIN framed f ON f.image_id = p.image_id AND f.obj = p.obj)
+        FROM cutpix p JOIN framed f ON f.image_id = p.image_id AND f.obj = p.obj)
         WHERE y >= y1 AND y < y2 AND x >= x1 AND x < x2) WHERE v <> 0""",
+        (  # every third disk loses its right columns, so that boxes differ and some are wide
+            "cutpix",
+            """SELECT image_id, y, x, grayscale, CASE WHEN obj % 3 = 0 AND x % 16 >= 10 THEN 0
+            WHEN obj % 3 = 1 AND y % 16 >= 10 THEN 0 ELSE obj END AS obj FROM pix""",
+        ),
         (
             "framed",
-            """SELECT image_id, obj, cx, cy, wide, CASE WHEN wide THEN 12 ELSE 7 END AS sx,
-            CASE WHEN wide THEN 7 ELSE 12 END AS sy FROM (
-            SELECT image_id, obj, min(x) + obj % 3 AS cx, min(y) + 4 AS cy,
-            max(x) - min(x) + 1 + obj % 2 > max(y) - min(y) + 1 AS wide FROM pix WHERE obj > 0
-            GROUP BY image_id, obj)""",
+            """SELECT *, CASE WHEN wide THEN max(greatest(w, h)) OVER () ELSE max(least(w, h)) OVER () END AS sx,
+            CASE WHEN wide THEN max(least(w, h)) OVER () ELSE max(greatest(w, h)) OVER () END AS sy FROM (
+            SELECT *, w > h AS wide FROM (SELECT image_id, obj, (min(x) + max(x) + 1) / 2.0 AS cx,
+            (min(y) + max(y) + 1) / 2.0 AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h
+            FROM (SELECT image_id, y, x, obj FROM cutpix WHERE obj > 0) GROUP BY image_id, obj))""",
         ),
     ),
 )
 def _(spark, sf):
-    base = derived.pixels(spark, sf).selectExpr("image_id", "obj", "y", "x", "grayscale as v")
+    cut = """CASE WHEN obj % 3 = 0 AND x % 16 >= 10 THEN 0 WHEN obj % 3 = 1 AND y % 16 >= 10 THEN 0
+        ELSE obj END as obj"""
+    base = derived.pixels(spark, sf).selectExpr("image_id", cut, "y", "x", "grayscale as v")
     own = base.filter("obj > 0")
     windows = own.groupBy("image_id", "obj").agg(
-        (F.min("x") + F.col("obj") % 3).alias("cx"),
-        (F.min("y") + 4).alias("cy"),
-        (F.max("x") - F.min("x") + 1 + F.col("obj") % 2).alias("w"),
+        ((F.min("x") + F.max("x") + 1) / 2).alias("cx"),
+        ((F.min("y") + F.max("y") + 1) / 2).alias("cy"),
+        (F.max("x") - F.min("x") + 1).alias("w"),
         (F.max("y") - F.min("y") + 1).alias("h"),
     )
-    return px.object_crop(own, windows, px.image_sizes(base), 7, 12)
+    return px.object_crop(own, windows, px.image_sizes(base), px.crop_window_size(windows))

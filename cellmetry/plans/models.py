@@ -378,6 +378,9 @@ def _(spark, sf):
 # ---------------------------------------------------------------- silhouettes
 
 
+_SQUARED = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in BASE_FEATURES)
+
+
 def _silhouette(pairs: str, distance: str) -> str:
     """Mean silhouette per group g of the joined pairs (a, b)."""
     return f"""SELECT g, avg(CASE WHEN own_n = 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0
@@ -393,17 +396,17 @@ def _silhouette(pairs: str, distance: str) -> str:
         ["feat"],
         f"SELECT {sq('s')} AS silhouette FROM ("
         + _silhouette(
-            """SELECT 1 AS g, a.vec_id AS id, a.label = b.label AS own, b.label AS other,
-            (a.cyto_area - b.cyto_area) AS d1, (a.cyto_area_box - b.cyto_area_box) AS d2,
-            (a.cyto_radius_ratio - b.cyto_radius_ratio) AS d3 FROM feat a, feat b""",
-            "sqrt(d1 * d1 + d2 * d2 + d3 * d3)",
+            """SELECT 1 AS g, a.vec_id AS id, a.label = b.label AS own, b.label AS other, """
+            + _SQUARED
+            + """ AS d FROM feat a, feat b""",
+            "sqrt(d)",
         )
         + ")",
     ),
 )
 def _(spark, sf):
     return rounded(
-        ml.silhouette(derived.features(spark, sf), "vec_id", "label", BASE_FEATURES[:3]), "silhouette"
+        ml.silhouette(derived.features(spark, sf), "vec_id", "label", BASE_FEATURES), "silhouette"
     )
 
 
@@ -442,17 +445,17 @@ def _(spark, sf):
         ["feat"],
         f"SELECT {sq('s')} AS silhouette FROM ("
         + _silhouette(
-            """SELECT 1 AS g, a.vec_id AS id, a.label = b.label AS own, b.label AS other,
-            (a.cyto_area - b.cyto_area) AS d1, (a.cyto_area_box - b.cyto_area_box) AS d2,
-            (a.cyto_radius_ratio - b.cyto_radius_ratio) AS d3 FROM feat a, feat b""",
-            "d1 * d1 + d2 * d2 + d3 * d3",
+            """SELECT 1 AS g, a.vec_id AS id, a.label = b.label AS own, b.label AS other, """
+            + _SQUARED
+            + """ AS d FROM feat a, feat b""",
+            "d",
         )
         + ")",
     ),
 )
 def _(spark, sf):
     return rounded(
-        ml.silhouette_squared(derived.features(spark, sf), "label", BASE_FEATURES[:3]), "silhouette"
+        ml.silhouette_squared(derived.features(spark, sf), "label", BASE_FEATURES), "silhouette"
     )
 
 

@@ -35,7 +35,7 @@ def _ring(cx: str, cy: str, base: int, factor: int) -> str:
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per object: image, slot in the image, ring centre and class."""
-    return _spread(table(spark, sf_dir, "embeddings"), "vec_id").selectExpr(
+    return table(spark, sf_dir, "embeddings").selectExpr(
         "vec_id",
         "vec_id div 8 as image_id",
         "concat('img', vec_id div 8, '.tif') as image_name",
