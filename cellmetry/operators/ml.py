@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
+from math import isqrt
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -23,7 +24,9 @@ from cellmetry.operators.splits import holdout_split, kfold_expand, stratified_k
 from cellmetry.operators.stats import minmax_scale, standard_scale
 from cellmetry.operators.tiles import by_task
 
-BLOCK = 512  # points per block in the exact silhouette
+BLOCK = 512  # fewest points per block in the exact silhouette
+PIECE = 512  # points on either side of one array operation
+LARGEST_BLOCK = 50_000  # most points per block, which bounds a task's memory
 PARALLEL_FITS = 8  # independent model fits submitted at the same time
 
 
@@ -124,10 +127,12 @@ def _distance_sums(
 ) -> DataFrame:
     """Sum of distances from each point to each class, per feature subset.
 
-    Points are cut into blocks; a task compares two blocks and returns sums, so no
-    row per pair exists and memory is bounded by the block.
+    Points are cut into g blocks whose pairs fill the cores; a task compares two blocks
+    piece by piece and returns sums, so no row per pair exists and a point is copied
+    g times.
     """
-    blocks = max(1, -(-df.count() // block))
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, min(-(-n // block), isqrt(2 * cores) + 1), -(-n // LARGEST_BLOCK))
     points = df.select(
         F.col(key).alias("_key"),
         F.col(label).cast("bigint").alias("_label"),
@@ -146,12 +151,21 @@ def _distance_sums(
         cols = cols.sort_values("_label", kind="stable")
         labels, starts = np.unique(cols["_label"].to_numpy(), return_index=True)
         a, b = np.stack(rows["_v"].to_list()), np.stack(cols["_v"].to_list())
-        squares = [(a[:, None, f] - b[None, :, f]) ** 2 for f in range(len(features))]
+        ends = [*starts[1:], len(b)]
+        totals = np.zeros((len(subsets), len(a), len(labels)))
+        for s in range(0, len(a), PIECE):
+            for number_of, (first, last) in enumerate(zip(starts, ends)):
+                for t in range(first, last, PIECE):
+                    piece, other = a[s : s + PIECE], b[t : min(last, t + PIECE)]
+                    squares = [
+                        (piece[:, None, f] - other[None, :, f]) ** 2 for f in range(len(features))
+                    ]
+                    for number, subset in enumerate(subsets):
+                        totals[number, s : s + PIECE, number_of] += np.sqrt(
+                            sum(squares[f] for f in subset)
+                        ).sum(axis=1)
         out = []
-        for number, subset in enumerate(subsets):
-            total = np.add.reduceat(
-                np.sqrt(sum(squares[f] for f in subset)), starts, axis=1
-            )
+        for number, total in enumerate(totals):
             out.append(
                 pd.DataFrame(
                     {

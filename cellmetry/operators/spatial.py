@@ -6,6 +6,8 @@ so one crowded image spreads over many tasks.
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,8 @@ from cellmetry.operators.relational import prefix_columns
 from cellmetry.operators.tiles import by_task
 
 GRID = 64  # side of a grid cell in pixels
-CHUNK = 512  # objects per chunk in the pair distance step
+CHUNK = 512  # fewest objects per chunk in the pair distance step
+LARGEST_CHUNK = 20_000  # most objects per chunk, which bounds a task's memory
 
 
 def _cell(value: Column, grid: int) -> Column:
@@ -168,7 +171,13 @@ def _count_distances(pdf: pd.DataFrame) -> pd.DataFrame:
     rings = [(np.asarray(x), np.asarray(y)) for x, y in zip(pdf["_xs"], pdf["_ys"])]
     chunk, label = pdf["_chunk"].to_numpy(), pdf["_label"].to_numpy()
     second = np.flatnonzero(chunk == high)
-    found = []
+    found, held = [], 0
+
+    def folded() -> list[np.ndarray]:
+        rows, n = np.unique(np.concatenate([f[:, :3] for f in found]), axis=0, return_inverse=True)
+        counts = np.bincount(n.ravel(), np.concatenate([f[:, 3] for f in found]), len(rows))
+        return [np.column_stack([rows, counts.astype(np.int64)])]
+
     if len(second):
         xs = np.concatenate([rings[k][0] for k in second])
         ys = np.concatenate([rings[k][1] for k in second])
@@ -187,12 +196,18 @@ def _count_distances(pdf: pd.DataFrame) -> pd.DataFrame:
             )
             other = label[second[skip:]]
             found.append(
-                np.stack([np.minimum(label[k], other), np.maximum(label[k], other), d], axis=1)
+                np.stack(
+                    [np.minimum(label[k], other), np.maximum(label[k], other), d, np.ones_like(d)],
+                    axis=1,
+                )
             )
+            held += len(d)
+            if held > 1 << 20:
+                found, held = folded(), 0
     if not found:
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("label_a", "label_b", "d2", "n")})
-    rows, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-    return pd.DataFrame({"label_a": rows[:, 0], "label_b": rows[:, 1], "d2": rows[:, 2], "n": n})
+    rows = folded()[0]
+    return pd.DataFrame(dict(zip(("label_a", "label_b", "d2", "n"), rows.T)))
 
 
 def pair_distance_counts(
@@ -205,14 +220,18 @@ def pair_distance_counts(
     """How often each smallest contour distance occurs, per sorted label pair.
 
     Covers every pair of objects of an image without ever holding a row per pair:
-    an image is cut into chunks of about ``chunk`` objects, a task compares two
+    an image is cut into chunks of ``chunk`` objects or more, a task compares two
     chunks and returns counts.  Squared distances of pixel coordinates are whole
     numbers below the squared image diagonal, so the result stays small and
     keeps every distance.
     """
-    sized = objects.groupBy(image).agg(
-        F.ceil(F.count("*") / F.lit(chunk)).cast("bigint").alias("_chunks")
+    # Pairs of g x g chunks fill the cores; a contour is copied g times, not n / chunk.
+    cores = objects.sparkSession.sparkContext.defaultParallelism
+    enough, n = isqrt(2 * cores) + 1, F.count("*")
+    chunks = F.greatest(
+        F.least(F.ceil(n / F.lit(chunk)), F.lit(enough)), F.ceil(n / F.lit(LARGEST_CHUNK))
     )
+    sized = objects.groupBy(image).agg(chunks.cast("bigint").alias("_chunks"))
     placed = (
         objects.filter(F.col(label).isNotNull() & (F.size("contour") > 0))
         .select(

@@ -230,18 +230,35 @@ def _bits(channel: str) -> list[str]:
     return out
 
 
+# Neighbours by two steps along rows and columns; what lies outside an image is 0.
+_SIDES = {-1: "before_", 0: "", 1: "after_"}
+
+
+def _neighbour(column: str, dy: int, dx: int) -> str:
+    beside = _SIDES[dx] + column
+    step = {-1: "lag", 1: "lead"}.get(dy)
+    return f"{step}({beside}, 1, 0) OVER columns" if step else beside
+
+
+_BESIDE = (
+    "SELECT *, "
+    + ", ".join(
+        f"{step}({c}, 1, 0) OVER rows_ AS {side}{c}"
+        for step, side in (("lag", "before_"), ("lead", "after_"))
+        for c in (*CHANNELS, "obj")
+    )
+    + " FROM pix WINDOW rows_ AS (PARTITION BY image_id, y ORDER BY x)"
+)
 _NEAR = (
-    "SELECT p.image_id, p.y, p.x, p.obj, "
-    + ", ".join(f"p.{c}" for c in CHANNELS)
-    + ", "
-    + ", ".join(f"coalesce(n{k}.{c}, 0) AS {c}_{k}" for k in range(8) for c in CHANNELS)
+    "SELECT image_id, y, x, obj, "
+    + ", ".join(CHANNELS)
     + ", "
-    + ", ".join(f"coalesce(n{k}.obj, 0) AS obj_{k}" for k in range(8))
-    + " FROM pix p "
-    + " ".join(
-        f"LEFT JOIN pix n{k} ON n{k}.image_id = p.image_id AND n{k}.y = p.y + {dy} AND n{k}.x = p.x + {dx}"
+    + ", ".join(
+        f"{_neighbour(c, dy, dx)} AS {c}_{k}"
         for k, (dy, dx) in enumerate(_RING8)
+        for c in (*CHANNELS, "obj")
     )
+    + f" FROM ({_BESIDE}) WINDOW columns AS (PARTITION BY image_id, x ORDER BY y)"
 )
 _PATTERNS = (
     "SELECT image_id, y, x, obj, "
@@ -644,15 +661,11 @@ def _(spark, sf):
 @query(
     "resize_bilinear",
     check(
-        ["pix", "img"],
-        f"""SELECT t.image_id, t.y, t.x, {sq('''(a.grayscale * (1 - fx) + b.grayscale * fx) * (1 - fy)
-        + (c.grayscale * (1 - fx) + d.grayscale * fx) * fy''')} AS grayscale FROM (
-        SELECT image_id, r.t AS y, c.t AS x, r.k0 AS y0, r.k1 AS y1, r.f AS fy, c.k0 AS x0, c.k1 AS x1, c.f AS fx
-        FROM img, axis40 r, axis24 c) t """
-        + " ".join(
-            f"JOIN pix {n} ON {n}.image_id = t.image_id AND {n}.y = t.{y} AND {n}.x = t.{x}"
-            for n, y, x in (("a", "y0", "x0"), ("b", "y0", "x1"), ("c", "y1", "x0"), ("d", "y1", "x1"))
-        ),
+        ["pix"],
+        f"""SELECT image_id, r.t AS y, c.t AS x, {sq('''(g[r.k0 * 64 + c.k0 + 1] * (1 - c.f)
+        + g[r.k0 * 64 + c.k1 + 1] * c.f) * (1 - r.f) + (g[r.k1 * 64 + c.k0 + 1] * (1 - c.f)
+        + g[r.k1 * 64 + c.k1 + 1] * c.f) * r.f''')} AS grayscale FROM flat, axis40 r, axis24 c""",
+        ("flat", "SELECT image_id, list(grayscale ORDER BY y, x) AS g FROM pix GROUP BY image_id"),
         *[
             (
                 f"axis{n}",

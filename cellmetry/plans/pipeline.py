@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.functions.names import CHANNELS, SHAPE_COLUMNS
 from cellmetry.operators import geometry, relational as rel, spatial, texture
 from cellmetry.plans.registry import check, query, r6, sq
-from cellmetry.plans.shapes import _BOXES, _ELLIPSE, _HULL, _PARENT_POINTS, _PARENTS, _RADII, _side
+from cellmetry.plans.shapes import (
+    _BOXES,
+    _ECCENTRICITY,
+    _ELLIPSE,
+    _HULL,
+    _INDEX,
+    _PARENT_POINTS,
+    _PARENTS,
+    _RADII,
+    _side,
+)
 from cellmetry.session import cut_lineage
 from cellmetry.sources import derived
 
@@ -59,8 +71,6 @@ def flagship(spark, sf: str) -> DataFrame:
     )
 
 
-query("class_profile")(flagship)
-
 _CENTRE_POINTS = _PARENT_POINTS.replace("px, py, e.*", "q.cx AS px, q.cy AS py, e.*").replace(
     "FROM nuc n", "FROM nuc n JOIN nucl_p q ON q.vec_id = n.nucleus_id"
 )
@@ -103,6 +113,43 @@ def _(spark, sf):
     )
 
 
+_RAW_SHAPE = f"""SELECT p.vec_id, area, area / box AS area_box, radius_ratio, major / minor AS aspect,
+    {_ECCENTRICITY} AS eccentricity, perimeter * perimeter / (4.0 * pi() * area) AS roundness, {_INDEX} AS ii
+    FROM cyto_p p JOIN boxes b ON p.vec_id = b.vec_id
+    JOIN fitted f ON f.vec_id = p.vec_id JOIN radii r ON r.vec_id = p.vec_id"""
+
+
+def _shape_parts(tag: str, rings: str, sums: str) -> list[tuple[str, str]]:
+    """The named parts behind the shape features of any ring view."""
+    parts = [*_ELLIPSE, ("hull", _HULL), ("boxes", _BOXES), ("radii", _RADII), ("shape", _RAW_SHAPE)]
+    names = {n: f"{tag}_{n}" for n, _ in parts} | {"cyto_v": rings, "cyto_p": sums}
+    known = re.compile(r"\b(" + "|".join(names) + r")\b(?! AS )")
+    return [(names[n], known.sub(lambda m: names[m[1]], text)) for n, text in parts]
+
+
+query(
+    "class_profile",
+    check(
+        ["nuc", "nuc_v", "cyto_v", "cyto_e", "cyto_p", "nucl_p", "majority"],
+        "SELECT label, count(*) AS n_cells, "
+        + ", ".join(
+            f"{sq(f'avg({t}.{c})')} AS {name}_{c}"
+            for t, name in (("c", "cyto"), ("n", "nuc"))
+            for c in SHAPE_COLUMNS
+        )
+        + """ FROM (SELECT p.parent, p.nucleus_id,
+        CAST(CASE WHEN maj_xgal + maj_sstatus = 1 AND maj_sstatus = 1 THEN 3
+        ELSE maj_xgal + maj_sstatus END AS BIGINT) AS label
+        FROM parents p JOIN majority m ON m.vec_id = p.parent) l
+        JOIN c_shape c ON c.vec_id = l.parent JOIN n_shape n ON n.vec_id = l.nucleus_id GROUP BY label""",
+        ("sides", _side("cyto_e", _CENTRE_POINTS)),
+        ("parents", _PARENTS),
+        *_shape_parts("c", "cyto_v", "cyto_p"),
+        *_shape_parts("n", "nuc_v", "nucl_p"),
+    ),
+)(flagship)
+
+
 @query("objects_table")
 def _(spark, sf):
     """The full object table of the pixel images, contour left out of the output."""

@@ -198,10 +198,14 @@ def _(spark, sf):
     check(
         ["pairdist", "cyto_v"],
         f"""SELECT p.image_id, id_a, id_b, {sq('sqrt(CAST(d2 AS DOUBLE))')} AS distance,
-        a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM pairdist p
-        JOIN cyto_v a ON a.image_id = p.image_id AND a.object_id = p.id_a AND a.i = p.ia
-        JOIN cyto_v b ON b.image_id = p.image_id AND b.object_id = p.id_b AND b.i = p.ib
-        WHERE d2 <= 64""",
+        a.xs[ia + 1] AS ax, a.ys[ia + 1] AS ay, b.xs[ib + 1] AS bx, b.ys[ib + 1] AS by
+        FROM pairdist p JOIN whole a ON a.image_id = p.image_id AND a.object_id = p.id_a
+        JOIN whole b ON b.image_id = p.image_id AND b.object_id = p.id_b WHERE d2 <= 64""",
+        (
+            "whole",
+            """SELECT image_id, object_id, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys
+            FROM cyto_v GROUP BY image_id, object_id""",
+        ),
     ),
 )
 def _(spark, sf):

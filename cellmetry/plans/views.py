@@ -77,15 +77,23 @@ for _name, _source in (("cyto", "cyto_v"), ("nucl", "nuc_v"), ("crescent", "cres
     view(f"{_name}_p", [f"{_name}_e"], _poly(f"{_name}_e"))
 
 view("img", [], "SELECT DISTINCT vec_id // 8 AS image_id FROM embeddings")
+view(
+    "lines",
+    [],
+    """SELECT image_id, y, vectors[y % len(vectors) + 1] AS line FROM (
+    SELECT vec_id // 8 AS image_id, list(embedding ORDER BY vec_id) AS vectors
+    FROM embeddings GROUP BY vec_id // 8), (SELECT unnest(range(64)) AS y)""",
+)
 view(
     "pix",
-    ["img"],
+    ["lines"],
     """SELECT image_id, y, x, grayscale, (grayscale * 5 + y) % 256 AS red,
     (grayscale * 7 + x) % 256 AS green, (grayscale * 11 + x + y) % 256 AS blue,
     CASE WHEN (x % 16 - 8) * (x % 16 - 8) + (y % 16 - 8) * (y % 16 - 8) <= 20 + 4 * (image_id % 5)
     THEN 1 + x // 16 + 4 * (y // 16) ELSE 0 END AS obj
-    FROM (SELECT image_id, y, x, (3 * x * x + 7 * y + 13 * image_id + x * y) % 256 AS grayscale
-    FROM img, (SELECT unnest(range(64)) AS y), (SELECT unnest(range(64)) AS x))""",
+    FROM (SELECT image_id, y, x, (3 * x * x + 7 * y + 13 * image_id + x * y
+    + CAST(floor(500 * abs(CAST(line[x + 1] AS DOUBLE))) AS BIGINT)) % 256 AS grayscale
+    FROM lines, (SELECT unnest(range(64)) AS x))""",
 )
 view(
     "predmask",

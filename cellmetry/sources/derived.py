@@ -97,14 +97,29 @@ def crescents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense 64 x 64 images: four channels, object label and image id."""
-    images = table(spark, sf_dir, "embeddings").selectExpr("vec_id div 8 as image_id").distinct()
+    """Dense 64 x 64 images: four channels, object label and image id.
+
+    Row y takes the values of one of the image's eight vectors at most, component x.
+    """
+    images = (
+        table(spark, sf_dir, "embeddings")
+        .groupBy(F.expr("vec_id div 8").alias("image_id"))
+        .agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("vectors"))
+    )
     grid = (
         _spread(images, "image_id")
-        .select("image_id", F.explode(F.expr(f"sequence(0L, {IMAGE_SIDE - 1}L)")).alias("y"))
+        .select("*", F.explode(F.expr(f"sequence(0L, {IMAGE_SIDE - 1}L)")).alias("y"))
+        .selectExpr("image_id", "y", "vectors[cast(y % size(vectors) as int)].embedding as line")
         .select("*", F.explode(F.expr(f"sequence(0L, {IMAGE_SIDE - 1}L)")).alias("x"))
     )
-    gray = grid.selectExpr("*", "(3 * x * x + 7 * y + 13 * image_id + x * y) % 256 as grayscale")
+    gray = grid.selectExpr(
+        "image_id",
+        "y",
+        "x",
+        "(3 * x * x + 7 * y + 13 * image_id + x * y"
+        " + cast(floor(500 * abs(cast(get(line, cast(x as int)) as double))) as bigint)) % 256"
+        " as grayscale",
+    )
     return gray.selectExpr(
         "image_id",
         "y",
