@@ -15,12 +15,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmetry.llm.common import small_side
 from cellmetry.llm.storage import Output
 from cellmetry.session import cut_lineage, shared_folder
 
@@ -34,7 +34,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 100
-PAGES_PER_FILE = 2_000
+#: Payload bytes after which a task begins another archive.
+FILE_BYTES = 32 << 20
 _RECORD_ID = "urn:page:"
 
 
@@ -93,6 +94,8 @@ def page_revisits(pages: DataFrame) -> DataFrame:
         .where("n > 1 AND first_id IS NOT NULL")
         .select(F.col("digest").alias("d"), "first_id")
     )
+    first = cut_lineage(first)
+    first = small_side(first, first.count())  # few repeated payloads: pages are not shuffled
     other = ~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull()
     return rows.join(first, F.col("digest") == F.col("d"), "left").select(
         "page_id", "url", "html", "digest", F.when(other, F.col("first_id")).alias("refers_to")
@@ -103,32 +106,37 @@ def write_warc(
     pages: DataFrame,
     folder: str | None = None,
     compress: bool = True,
-    pages_per_file: int = PAGES_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write a record per row of pages; returns the archives as (path, n_records).
 
-    Rows are dealt to files by page_id and payload; see ``page_revisits`` for the kinds.
-    An empty table writes no archive.  Other columns are ignored.
+    Each task writes the pages it reads, and begins another archive after ``file_bytes``; see
+    ``page_revisits`` for the kinds of records.  An empty table writes no archive.  Other
+    columns are ignored.
     """
-    spark = pages.sparkSession
-    folder = folder or shared_folder(spark, "warc")
-    files = max(1, ceil(pages.count() / pages_per_file))
-    rows = page_revisits(pages).repartition(files, "page_id", "digest")
+    folder = folder or shared_folder(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = None, 0
+        out, n, held, done = None, 0, 0, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
                 if out is None:
-                    out = Output(folder, "pages", ".warc.gz" if compress else ".warc")
-                record = page_record(**row)
+                    out, n, held = Output(folder, "pages", ".warc.gz" if compress else ".warc"), 0, 0
+                record = page_record(*(column[i].as_py() for column in batch.columns))
                 out.stream.write(gzip.compress(record, 4, mtime=0) if compress else record)
-                n += 1
+                n, held = n + 1, held + len(record)
+                if held >= file_bytes:
+                    out.stream.close()
+                    done.append((out.path, n))
+                    out = None
         if out is not None:
             out.stream.close()
-            yield pa.RecordBatch.from_pydict({"path": [out.path], "n_records": [n]})
+            done.append((out.path, n))
+        if done:
+            paths, counts = zip(*done)
+            yield pa.RecordBatch.from_pydict({"path": list(paths), "n_records": list(counts)})
 
-    return cut_lineage(rows.mapInArrow(run, "path string, n_records long"))
+    return cut_lineage(page_revisits(pages).mapInArrow(run, "path string, n_records long"))
 
 
 @dataclass
@@ -311,7 +319,7 @@ def load_archives(spark: SparkSession, folder: str, written: DataFrame | None =
     if written is None:
         return found
     name = F.element_at(F.split("path", "/"), -1)
-    listed = written.select(name.alias("listed"))
+    listed = small_side(written.select(name.alias("listed")), written.count())
     return found.join(listed, name == F.col("listed"), "left_semi")
 
 

@@ -100,6 +100,14 @@ def test_round_trip(spark):
     assert got(pages) == plain(pages)
 
 
+def test_archives_are_rolled(spark):
+    ship(spark)
+    pages = spark.read.parquet(f"{SF001}/pages.parquet")
+    written = warc.write_warc(pages, file_bytes=20_000)
+    assert written.count() > 3
+    assert written.agg(F.sum("n_records")).first()[0] == pages.count()
+
+
 def test_edges_of_the_input(spark):
     ship(spark)
     same = "é" * 60
