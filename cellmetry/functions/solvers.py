@@ -101,8 +101,15 @@ def _hull(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _min_box_area(x: np.ndarray, y: np.ndarray) -> float:
-    """Area of the smallest rectangle, which always rests on one hull edge."""
-    hull = np.array(_hull(list(zip(x.tolist(), y.tolist()))))
+    """Area of the smallest rectangle, which always rests on one hull edge.
+
+    Only the lowest and highest vertex of each x can lie on the hull.
+    """
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    edge = np.flatnonzero(np.diff(x))
+    ends = np.unique(np.concatenate([[0], edge, edge + 1, [len(x) - 1]]))
+    hull = np.array(_hull(list(zip(x[ends].tolist(), y[ends].tolist()))))
     if len(hull) < 3:
         return 0.0
     step = np.roll(hull, -1, axis=0) - hull
@@ -166,17 +173,24 @@ def _interior_pole(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf(_struct(DoubleType(), "major", "minor", "box_area"))
-def _fit_ring(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_struct(DoubleType(), "major", "minor"))
+def _fit_axes(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     axes = _ellipse_axes(xs, ys)
-    boxes = [
-        np.nan if v is None or len(v) == 0 else _min_box_area(np.asarray(v), np.asarray(w))
-        for v, w in zip(xs, ys)
-    ]
-    out = pd.DataFrame({"major": axes[:, 0], "minor": axes[:, 1], "box_area": boxes})
+    out = pd.DataFrame({"major": axes[:, 0], "minor": axes[:, 1]})
     return out.astype(object).where(out.notna(), None)
 
 
+@F.pandas_udf(DoubleType())
+def _fit_box(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            None if v is None or len(v) == 0 else _min_box_area(np.asarray(v), np.asarray(w))
+            for v, w in zip(xs, ys)
+        ],
+        dtype="Float64",
+    )
+
+
 @F.pandas_udf(_struct(LongType(), "x", "y"))
 def _find_pole(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     found = [
@@ -191,9 +205,14 @@ def _find_pole(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
     )
 
 
-def fit_ring(contour: Column) -> Column:
-    """Struct (major, minor, box_area): fitted ellipse axes and smallest rectangle."""
-    return _fit_ring(contour["x"], contour["y"])
+def fit_axes(contour: Column) -> Column:
+    """Struct (major, minor): axes of the fitted ellipse."""
+    return _fit_axes(contour["x"], contour["y"])
+
+
+def fit_box(contour: Column) -> Column:
+    """Area of the smallest rectangle around the ring."""
+    return _fit_box(contour["x"], contour["y"])
 
 
 def interior_pole(contour: Column) -> Column:

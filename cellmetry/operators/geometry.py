@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.functions import contour as ring
-from cellmetry.functions.solvers import fit_ring, interior_pole as pole
+from cellmetry.functions.solvers import fit_axes, fit_box, interior_pole as pole
 
 
 def with_ring(df: DataFrame, contour: str = "contour") -> DataFrame:
@@ -80,18 +80,18 @@ def aspect_and_eccentricity(major: Column, minor: Column) -> tuple[Column, Colum
 
 
 def ellipse_features(df: DataFrame) -> DataFrame:
-    fitted = df.withColumn("_fit", fit_ring(F.col("contour")))
+    fitted = df.withColumn("_fit", fit_axes(F.col("contour")))
     aspect, eccentricity = aspect_and_eccentricity(F.col("_fit.major"), F.col("_fit.minor"))
     return fitted.withColumns({"aspect": aspect, "eccentricity": eccentricity}).drop("_fit")
 
 
 def area_box(df: DataFrame) -> DataFrame:
-    measured = with_ring(df).withColumn("_fit", fit_ring(F.col("contour")))
+    measured = with_ring(df).withColumn("_box_area", fit_box(F.col("contour")))
     return drop_ring(
         measured.withColumn(
-            "area_box", F.try_divide(ring.area(F.col("_sums")), F.col("_fit.box_area"))
+            "area_box", F.try_divide(ring.area(F.col("_sums")), F.col("_box_area"))
         )
-    ).drop("_fit")
+    ).drop("_box_area")
 
 
 def irregularity_index(
@@ -104,11 +104,13 @@ def irregularity_index(
 def morpho_features(df: DataFrame) -> DataFrame:
     """All seven shape features and the centre of each object, in one narrow pass."""
     centred = with_ring(object_centre(df))
-    fitted = centred.withColumn("_fit", fit_ring(F.col("contour")))
+    fitted = centred.withColumns(
+        {"_fit": fit_axes(F.col("contour")), "_box_area": fit_box(F.col("contour"))}
+    )
     aspect, eccentricity = aspect_and_eccentricity(F.col("_fit.major"), F.col("_fit.minor"))
     measured = fitted.withColumn("area", ring.area(F.col("_sums"))).withColumns(
         {
-            "area_box": F.try_divide(F.col("area"), F.col("_fit.box_area")),
+            "area_box": F.try_divide(F.col("area"), F.col("_box_area")),
             "radius_ratio": ring.radius_ratio(
                 F.col("contour"), F.col("cx_coords"), F.col("cy_coords")
             ),
@@ -123,4 +125,4 @@ def morpho_features(df: DataFrame) -> DataFrame:
             F.col("aspect"), F.col("area_box"), F.col("radius_ratio"), F.col("roundness")
         ),
     )
-    return drop_ring(indexed).drop("_fit")
+    return drop_ring(indexed).drop("_fit", "_box_area")
