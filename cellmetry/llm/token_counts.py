@@ -7,7 +7,8 @@ holds the forward score of its prefix, and pre-tokens with a common prefix share
 also holds the number of pieces of its best segmentation, which is the count of a
 pre-token that ends there.
 
-Each task fills a trie of its own from the distinct pre-tokens it meets: nothing is shuffled.
+Each Python worker fills a trie of its own from the distinct pre-tokens it meets: nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cellmetry.llm.token_file import _BREAK, _ODD
 
-#: Nodes of a trie and pieces of text a task keeps; it starts anew beyond them.
+#: Nodes of a trie and pieces of text a worker keeps; it starts anew beyond them.
 MAX_NODES = 1_000_000
 MAX_SEEN = 400_000
 #: Longer pre-tokens are scored by the same steps without being kept.
@@ -88,6 +90,42 @@ class UnigramTrie:
         return self.count[node]
 
 
+class Counter:
+    """Counts of the pieces of text that a Python worker has met."""
+
+    def __init__(self, ranks: str, pattern: str) -> None:
+        self.trie, self.split = UnigramTrie(read_ranks(ranks)), regex.compile(pattern).findall
+        self.seen: dict[str, tuple[int, int]] = {}
+
+    def count(self, piece: str) -> tuple[int, int]:
+        """Pre-tokens of a piece and the sum of their counts, kept for the next time."""
+        words = self.split(piece)
+        found = self.seen[piece] = (
+            len(words),
+            sum(self.trie.pieces(w.encode("utf-8", "surrogatepass")) for w in words),
+        )
+        return found
+
+    def text(self, text: str) -> np.ndarray:
+        """Both counts of a text, cut at single spaces between two other characters, which
+        no pre-token goes over."""
+        cut = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+        if len(self.seen) > MAX_SEEN:
+            self.seen.clear()
+        seen, count = self.seen, self.count
+        both = [count(cut[0])]
+        for piece in cut[1:]:
+            piece = " " + piece
+            both.append(seen.get(piece) or count(piece))
+        return np.array(both, np.int64).sum(0)
+
+
+@cache
+def task_counter(ranks: str, pattern: str) -> Counter:
+    """The counter of this Python worker, shared by the tasks that it runs."""
+    return Counter(ranks, pattern)
+
+
 def count_tokens(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, n_pretokens, n_tokens of the whole text.
 
@@ -99,31 +137,12 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, split = UnigramTrie(read_ranks(ranks)), regex.compile(pattern).findall
-        seen: dict[str, tuple[int, int]] = {}
-
-        def count(piece: str) -> tuple[int, int]:
-            words = split(piece)
-            found = seen[piece] = (
-                len(words),
-                sum(trie.pieces(w.encode("utf-8", "surrogatepass")) for w in words),
-            )
-            return found
-
+        counter = task_counter(ranks, pattern)
         for batch in batches:
             counts = np.zeros((batch.num_rows, 2), np.int64)
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                # Pre-tokens never go over a single space between two other characters.
-                cut = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-                if len(seen) > MAX_SEEN:
-                    seen.clear()
-                both = [count(cut[0])]
-                for piece in cut[1:]:
-                    piece = " " + piece
-                    both.append(seen.get(piece) or count(piece))
-                counts[i] = np.array(both, np.int64).sum(0)
+                if text:
+                    counts[i] = counter.text(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
                 names=["doc_id", "n_pretokens", "n_tokens"],
