@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmetry.operators.tiles import by_task, glcm_pairs, lbp_counts
+from cellmetry.operators.tiles import by_task
 from cellmetry.session import cut_lineage
 
 # Settings and names of the texture features.
@@ -39,9 +39,7 @@ def intensity_features(
 ) -> DataFrame:
     """Wide intensity features.  ``areas`` gives (image, obj, area) of the contour.
 
-    Pixels are first counted per (object, channel, level).  A channel has at most 256
-    levels, so the exact median and all sums come from short count tables and no
-    large object is held in one buffer.
+    Pixels are first counted per (object, channel, level).
     """
     levels = F.explode(
         F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).alias("v")) for k, c in enumerate(channels)])
@@ -52,6 +50,21 @@ def intensity_features(
         .groupBy(image, obj, F.col("_e.c").alias("c"), F.col("_e.v").alias("v"))
         .agg(F.count("*").alias("n"))
     )
+    return intensity_of_counts(counts, areas, channels, obj, image)
+
+
+def intensity_of_counts(
+    counts: DataFrame,
+    areas: DataFrame,
+    channels: list[str],
+    obj: str = "obj",
+    image: str = "image_id",
+) -> DataFrame:
+    """The same from counts (image, obj, c, v, n), c being the channel's number.
+
+    A channel has at most 256 levels, so the exact median and all sums come from short
+    count tables and no large object is held in one buffer.
+    """
     # at most 256 rows per channel meet here, so one exchange serves window and sums
     placed = by_task(counts, image, obj)
     level = Window.partitionBy(image, obj, "c")
@@ -300,15 +313,17 @@ def object_channels(
     )
 
 
-def texture_features(
-    pixels: DataFrame, channels: list[str], image: str = "image_id", obj: str = "obj"
+def texture_of_counts(
+    patterns: DataFrame,
+    pairs: DataFrame,
+    channels: list[str],
+    image: str = "image_id",
+    obj: str = "obj",
 ) -> DataFrame:
-    """All LBP and GLCM columns per object."""
-    metrics = lbp_metrics(
-        lbp_histogram(lbp_counts(pixels, channels, obj, image), image, obj), image, obj
-    )
+    """All LBP and GLCM columns per object from their counts."""
+    metrics = lbp_metrics(lbp_histogram(patterns, image, obj), image, obj)
     glcm = glcm_features(
-        glcm_pairs(pixels, channels, DISTANCES, ANGLES, LEVELS, obj, image),
+        pairs,
         metrics.select(image, obj, "channel"),
         image=image,
         obj=obj,

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellmetry.session import cut_lineage
+
 SIDE = 256
 RING = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
 
@@ -52,6 +54,16 @@ class Tile:
         top, first = self.up + dy, self.left + dx
         return values[top : top + self.height, first : first + self.width]
 
+    def mark(self, above: pd.DataFrame) -> None:
+        """Keep the marks that lie on pixels of the tile proper."""
+        rows = above["y"].to_numpy() - self.top
+        cols = above["x"].to_numpy() - self.first
+        inside = (rows >= 0) & (rows < self.height) & (cols >= 0) & (cols < self.width)
+        rows, cols = rows[inside], cols[inside]
+        here = self.core(self.present)[rows, cols]
+        numbers = above["_mark"].to_numpy().astype(np.int64)[inside]
+        self.marks = (rows[here], cols[here], numbers[here])
+
     def rows_out(self, keys: dict, **values: np.ndarray) -> pd.DataFrame:
         """One row per present core pixel."""
         at = (self.core_rows, self.core_cols)
@@ -79,8 +91,13 @@ def over_tiles(
     margin: tuple[int, int, int, int],
     image: str = "image_id",
     side: int = SIDE,
+    marks: DataFrame | None = None,
 ) -> DataFrame:
-    """Run ``work`` on every tile; ``margin`` is (up, down, left, right)."""
+    """Run ``work`` on every tile; ``margin`` is (up, down, left, right).
+
+    ``marks`` (image, y, x, mark) are further numbers on pixels, several on one if need
+    be; those of a tile are in ``tile.marks`` as rows, columns and numbers.
+    """
     up, down, left, right = margin
 
     def tiles(axis: str, before: int, after: int) -> Column:
@@ -93,12 +110,30 @@ def over_tiles(
         .withColumn("_tx", F.explode(tiles("x", left, right)))
     )
 
+    if marks is not None:
+        placed = placed.withColumn("_mark", F.lit(None).cast("bigint")).unionByName(
+            marks.select(
+                image,
+                "y",
+                "x",
+                F.col("mark").cast("bigint").alias("_mark"),
+                F.floor(F.col("y") / F.lit(side)).alias("_ty"),
+                F.floor(F.col("x") / F.lit(side)).alias("_tx"),
+            ),
+            allowMissingColumns=True,
+        )
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    marked = marks is not None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(pdf, side, margin)
-        if tile.empty:
+        above = pdf[pdf["_mark"].notna()] if marked else None
+        if marked:
+            pdf = pdf[pdf["_mark"].isna()].astype({c: "int64" for c in columns})
+        tile = Tile(pdf, side, margin) if len(pdf) else None
+        if tile is None or tile.empty:
             return pd.DataFrame(columns=names)
+        if marked:
+            tile.mark(above)
         return work(tile, {image: pdf[image].iat[0]})
 
     return by_task(placed, image, "_ty", "_tx").groupBy(image, "_ty", "_tx").applyInPandas(run, schema)
@@ -235,46 +270,77 @@ def lbp_codes(
     return over_tiles(pixels, work, schema, [obj, *channels], (1,) * 4, image, side)
 
 
+def _lbp_parts(tile: Tile, channels: list[str], obj: str, filled: bool) -> list[tuple]:
+    """(object, channel * 10 + code, n): codes of labels, or of marks and of the whole tile as 0."""
+    at = (tile.core_rows, tile.core_cols)
+    if filled:
+        rows, cols, marks = tile.marks
+        at = tuple(np.concatenate(p) for p in zip(at, (rows, cols)))
+        owner = np.concatenate([np.zeros(len(tile.core_rows), np.int64), marks])
+    else:
+        owner = tile.core(tile.grid(obj, 0))[at]
+    ids, place = np.unique(owner, return_inverse=True)
+    parts = []
+    for number, c in enumerate(channels):
+        code = _uniform_code(_pattern_bits(tile, tile.grid(c, 0)))[at]
+        n = np.bincount(place * 10 + code, minlength=len(ids) * 10)
+        hit = np.flatnonzero(n)
+        parts.append((ids[hit // 10], number * 10 + hit % 10, n[hit]))
+    return parts
+
+
+def _merged(tile_rows: DataFrame, image: str, obj: str) -> DataFrame:
+    return tile_rows.groupBy(image, obj, "cell").agg(F.sum("n").alias("n"))
+
+
+def _counted(parts: list[tuple], keys: dict, obj: str) -> pd.DataFrame:
+    """Rows (image, object, cell, n) of parts (object, cell, n)."""
+    if not parts:
+        return pd.DataFrame(columns=[*keys, obj, "cell", "n"])
+    owner, cell, n = (np.concatenate(p) for p in zip(*parts))
+    return pd.DataFrame({**keys, obj: owner, "cell": cell, "n": n})
+
+
+def _pick(values: list, at: Column) -> Column:
+    return F.array(*[F.lit(v) for v in values])[at]
+
+
+def _lbp_rows(merged: DataFrame, channels: list[str], image: str, obj: str) -> DataFrame:
+    return merged.select(
+        image,
+        obj,
+        _pick(channels, F.floor(F.col("cell") / 10).cast("int")).alias("channel"),
+        (F.col("cell") % 10).cast("bigint").alias("code"),
+        "n",
+    )
+
+
 def lbp_counts(
     pixels: DataFrame,
     channels: list[str],
     obj: str = "obj",
     image: str = "image_id",
     side: int = SIDE,
+    filled: DataFrame | None = None,
 ) -> DataFrame:
-    """Pixels per (image, object, channel, code), background object 0 included.
+    """Pixels per (image, object, channel, code), counted inside the tile.
 
-    Counted inside the tile, so that only histograms leave it.
+    With ``filled`` (image, object, y, x), the pixels within each object's outer contour,
+    an object counts all of these, holes and other labels included, and object 0 counts
+    the whole image; without, an object counts the pixels of its label.
     """
-
-    def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        at = (tile.core_rows, tile.core_cols)
-        ids, place = np.unique(tile.core(tile.grid(obj, 0))[at], return_inverse=True)
-        parts = []
-        for number, c in enumerate(channels):
-            code = _uniform_code(_pattern_bits(tile, tile.grid(c, 0)))[at]
-            n = np.bincount(place * 10 + code, minlength=len(ids) * 10)
-            hit = np.flatnonzero(n)
-            parts.append(
-                pd.DataFrame({obj: ids[hit // 10], "c": number, "code": hit % 10, "n": n[hit]})
-            )
-        out = pd.concat(parts, ignore_index=True)
-        return out.assign(**keys)[[image, obj, "c", "code", "n"]]
-
-    counted = over_tiles(
+    by_contour = filled is not None
+    tile_rows = over_tiles(
         pixels,
-        work,
-        f"{image} bigint, {obj} bigint, c int, code bigint, n bigint",
+        lambda tile, keys: _counted(_lbp_parts(tile, channels, obj, by_contour), keys, obj),
+        f"{image} bigint, {obj} bigint, cell int, n bigint",
         [obj, *channels],
         (1,) * 4,
         image,
         side,
+        filled.withColumnRenamed(obj, "mark") if by_contour else None,
     )
-    return (
-        counted.withColumn("channel", F.array(*[F.lit(c) for c in channels])[F.col("c")])
-        .groupBy(image, obj, "channel", "code")
-        .agg(F.sum("n").alias("n"))
-    )
+    return _lbp_rows(_merged(tile_rows, image, obj), channels, image, obj)
 
 
 def rotation_min_codes(
@@ -322,6 +388,57 @@ def glcm_offsets(distances: list[int], angles: list[int]) -> list[tuple[int, int
     ]
 
 
+def _glcm_margin(offsets: list[tuple]) -> tuple[int, int, int, int]:
+    dys, dxs = [o[2] for o in offsets], [o[3] for o in offsets]
+    return max(0, -min(dys)), max(0, max(dys)), max(0, -min(dxs)), max(0, max(dxs))
+
+
+def _glcm_parts(
+    tile: Tile, channels: list[str], offsets: list[tuple], levels: int, obj: str
+) -> list[tuple]:
+    """(object, (channel, offset, i, j) as one number, n)."""
+    square = levels * levels
+    labels = tile.grid(obj, 0)
+    here = tile.core(labels)
+    ids, place = np.unique(here, return_inverse=True)
+    place = place.reshape(here.shape)
+    levels_of = [np.minimum(tile.grid(c, 0) * levels // 256, levels - 1) for c in channels]
+    parts = []
+    for at, (_, _, dy, dx) in enumerate(offsets):
+        pair = (here > 0) & (tile.core(labels, dy, dx) == here)
+        if not pair.any():
+            continue
+        base = place[pair] * square
+        for number, q in enumerate(levels_of):
+            cell = base + tile.core(q)[pair] * levels + tile.core(q, dy, dx)[pair]
+            if len(ids) * square > 8 * len(cell) + 65536:
+                hit, n = np.unique(cell, return_counts=True)
+            else:
+                n = np.bincount(cell)
+                hit = np.flatnonzero(n)
+                n = n[hit]
+            kind = (number * len(offsets) + at) * square
+            parts.append((ids[hit // square], kind + hit % square, n))
+    return parts
+
+
+def _glcm_rows(
+    merged: DataFrame, channels: list[str], offsets: list[tuple], levels: int, image: str, obj: str
+) -> DataFrame:
+    kind = F.floor(F.col("cell") / (levels * levels)).cast("int")
+    offset = kind % len(offsets)
+    return merged.select(
+        image,
+        obj,
+        _pick(channels, F.floor(kind / len(offsets)).cast("int")).alias("channel"),
+        _pick([o[0] for o in offsets], offset).cast("bigint").alias("d"),
+        _pick([o[1] for o in offsets], offset).cast("bigint").alias("angle"),
+        (F.floor(F.col("cell") / levels) % levels).alias("i"),
+        (F.col("cell") % levels).cast("bigint").alias("j"),
+        "n",
+    )
+
+
 def glcm_pairs(
     pixels: DataFrame,
     channels: list[str],
@@ -338,61 +455,81 @@ def glcm_pairs(
     tile returns its pair counts, never the pairs.
     """
     offsets = glcm_offsets(distances, angles)
-    dys, dxs = [o[2] for o in offsets], [o[3] for o in offsets]
-    margin = (max(0, -min(dys)), max(0, max(dys)), max(0, -min(dxs)), max(0, max(dxs)))
-    square = levels * levels
-
-    def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        labels = tile.grid(obj, 0)
-        here = tile.core(labels)
-        ids, place = np.unique(here, return_inverse=True)
-        place = place.reshape(here.shape)
-        levels_of = [np.minimum(tile.grid(c, 0) * levels // 256, levels - 1) for c in channels]
-        parts = []
-        for at, (_, _, dy, dx) in enumerate(offsets):
-            pair = (here > 0) & (tile.core(labels, dy, dx) == here)
-            if not pair.any():
-                continue
-            base = place[pair] * square
-            for number, q in enumerate(levels_of):
-                cell = base + tile.core(q)[pair] * levels + tile.core(q, dy, dx)[pair]
-                if len(ids) * square > 8 * len(cell) + 65536:
-                    hit, n = np.unique(cell, return_counts=True)
-                else:
-                    n = np.bincount(cell)
-                    hit = np.flatnonzero(n)
-                    n = n[hit]
-                kind = (number * len(offsets) + at) * square
-                parts.append((ids[hit // square], kind + hit % square, n))
-        if not parts:
-            return pd.DataFrame(columns=[image, obj, "cell", "n"])
-        owner, cell, n = (np.concatenate(p) for p in zip(*parts))
-        return pd.DataFrame({image: keys[image], obj: owner, "cell": cell, "n": n})
-
-    # channel, offset and both levels share one number until the counts are merged
-    counted = over_tiles(
+    tile_rows = over_tiles(
         pixels.filter(F.col(obj) > 0),
-        work,
+        lambda tile, keys: _counted(_glcm_parts(tile, channels, offsets, levels, obj), keys, obj),
         f"{image} bigint, {obj} bigint, cell int, n bigint",
         [obj, *channels],
-        margin,
+        _glcm_margin(offsets),
         image,
         side,
     )
-    merged = counted.groupBy(image, obj, "cell").agg(F.sum("n").alias("n"))
-    kind = F.floor(F.col("cell") / square).cast("int")
-    offset = kind % len(offsets)
+    return _glcm_rows(_merged(tile_rows, image, obj), channels, offsets, levels, image, obj)
 
-    def pick(values: list, at: Column) -> Column:
-        return F.array(*[F.lit(v) for v in values])[at]
 
-    return merged.select(
+def _level_parts(tile: Tile, channels: list[str], obj: str) -> list[tuple]:
+    """(object, channel * 256 + level, n) of the labelled pixels; levels are 0 to 255."""
+    labels = tile.core(tile.grid(obj, 0))
+    inside = labels > 0
+    ids, place = np.unique(labels[inside], return_inverse=True)
+    parts = []
+    for number, c in enumerate(channels):
+        n = np.bincount(place * 256 + tile.core(tile.grid(c, 0))[inside], minlength=len(ids) * 256)
+        hit = np.flatnonzero(n)
+        parts.append((ids[hit // 256], number * 256 + hit % 256, n[hit]))
+    return parts
+
+
+def object_counts(
+    pixels: DataFrame,
+    filled: DataFrame,
+    channels: list[str],
+    distances: list[int],
+    angles: list[int],
+    levels: int = 32,
+    obj: str = "obj",
+    image: str = "image_id",
+    side: int = SIDE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Level counts, pattern counts and level pairs of all objects from one pass.
+
+    The pixel table is shuffled once; what leaves a tile is counts, which are
+    written to the shared folder because three tables are made of them.  The results are
+    those of counting by level (image, obj, c, v, n), ``lbp_counts`` and ``glcm_pairs``.
+    """
+    offsets = glcm_offsets(distances, angles)
+    margin = tuple(max(1, m) for m in _glcm_margin(offsets))
+    first_lbp = 256 * len(channels)
+    first_pair = first_lbp + 10 * len(channels)
+
+    def work(tile: Tile, keys: dict) -> pd.DataFrame:
+        parts = _level_parts(tile, channels, obj)
+        parts += [(o, first_lbp + c, n) for o, c, n in _lbp_parts(tile, channels, obj, True)]
+        pairs = _glcm_parts(tile, channels, offsets, levels, obj)
+        parts += [(o, first_pair + c, n) for o, c, n in pairs]
+        return _counted(parts, keys, obj)
+
+    tile_rows = over_tiles(
+        pixels,
+        work,
+        f"{image} bigint, {obj} bigint, cell int, n bigint",
+        [obj, *channels],
+        margin,
         image,
-        obj,
-        pick(channels, F.floor(kind / len(offsets)).cast("int")).alias("channel"),
-        pick([o[0] for o in offsets], offset).cast("bigint").alias("d"),
-        pick([o[1] for o in offsets], offset).cast("bigint").alias("angle"),
-        (F.floor(F.col("cell") / levels) % levels).alias("i"),
-        (F.col("cell") % levels).cast("bigint").alias("j"),
-        "n",
+        side,
+        filled.withColumnRenamed(obj, "mark"),
+    )
+    counts = cut_lineage(_merged(tile_rows, image, obj))
+    cell = F.col("cell")
+    level_rows = counts.filter(cell < first_lbp).select(
+        image, obj, F.floor(cell / 256).cast("int").alias("c"), (cell % 256).cast("bigint").alias("v"), "n"
+    )
+    patterns = counts.filter((cell >= first_lbp) & (cell < first_pair))
+    pairs = counts.filter(cell >= first_pair)
+    return (
+        level_rows,
+        _lbp_rows(patterns.withColumn("cell", cell - first_lbp), channels, image, obj),
+        _glcm_rows(
+            pairs.withColumn("cell", cell - first_pair), channels, offsets, levels, image, obj
+        ),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellmetry.functions.names import CHANNELS
-from cellmetry.operators import components, pixels as px, texture, tiles
+from cellmetry.operators import components, pixels as px, spatial, texture, tiles
 from cellmetry.operators.tiles import gaussian_weights, glcm_offsets
 from cellmetry.plans.registry import check, query, r6, rounded, sq
+from cellmetry.plans.shapes import fill_parts
 from cellmetry.sources import derived
 
 _RING8 = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]
@@ -286,13 +287,16 @@ def _(spark, sf):
 
 
 _HISTOGRAM = [
+    *fill_parts("disk_v", "disk_e"),
+    ("filled", "SELECT vec_id // 16 AS image_id, vec_id % 16 + 1 AS obj, y, x FROM covered"),
     (
-        "coded",
+        "every",
         " UNION ALL ".join(
-            f"SELECT image_id, obj, '{c}' AS channel, {c} AS code FROM codes" for c in CHANNELS
+            f"SELECT image_id, y, x, '{c}' AS channel, {c} AS code FROM codes" for c in CHANNELS
         ),
     ),
-    ("top", "SELECT image_id, channel, max(code) AS top FROM coded GROUP BY image_id, channel"),
+    ("coded", "SELECT image_id, obj, channel, code FROM every JOIN filled USING (image_id, y, x)"),
+    ("top", "SELECT image_id, channel, max(code) AS top FROM every GROUP BY image_id, channel"),
     (
         "bins",
         """SELECT o.image_id, o.obj, o.channel, unnest(range(t.top + 1)) AS code, o.total FROM (
@@ -309,18 +313,24 @@ _HISTOGRAM = [
 ]
 
 
+def _contour_codes(spark, sf):
+    """Pattern counts within the contour of every disk."""
+    rings = derived.disk_contours(spark, sf).select("image_id", "obj", "contour")
+    filled = spatial.polygon_rasterize(rings, "image_id", "obj")
+    return tiles.lbp_counts(derived.pixels(spark, sf), CHANNELS, filled=filled)
+
+
 @query(
     "lbp_histogram",
     check(
-        ["pix"],
+        ["pix", "disk_v", "disk_e"],
         f"SELECT image_id, obj, channel, code, {sq('p')} AS p FROM hist",
         *_LBP,
         *_HISTOGRAM,
     ),
 )
 def _(spark, sf):
-    counts = tiles.lbp_counts(derived.pixels(spark, sf), CHANNELS)
-    return rounded(texture.lbp_histogram(counts), "p")
+    return rounded(texture.lbp_histogram(_contour_codes(spark, sf)), "p")
 
 
 _LBP_METRICS = [
@@ -350,7 +360,7 @@ _LBP_METRICS = [
 @query(
     "lbp_metrics",
     check(
-        ["pix"],
+        ["pix", "disk_v", "disk_e"],
         "SELECT image_id, obj, channel, "
         + ", ".join(f"{sq(m)} AS {m}" for m in texture.LBP_METRICS)
         + " FROM lbpm",
@@ -360,7 +370,7 @@ _LBP_METRICS = [
     ),
 )
 def _(spark, sf):
-    counts = tiles.lbp_counts(derived.pixels(spark, sf), CHANNELS)
+    counts = _contour_codes(spark, sf)
     return rounded(texture.lbp_metrics(texture.lbp_histogram(counts)), *texture.LBP_METRICS)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.functions.names import CHANNELS, SHAPE_COLUMNS
-from cellmetry.operators import geometry, relational as rel, spatial, texture
+from cellmetry.operators import geometry, relational as rel, spatial, texture, tiles
 from cellmetry.plans.registry import check, query, r6, sq
 from cellmetry.plans.shapes import (
     _BOXES,
@@ -30,11 +30,17 @@ def objects_table(
 ) -> DataFrame:
     """One wide row per object: key, centre, shape, contour, intensity and texture.
 
-    ``contours`` has (image, obj, contour).  All joins are over objects, never pixels.
+    ``contours`` has (image, obj, contour).  Intensity and level pairs are those of the
+    label, local patterns those within the contour.  The pixels are shuffled once, all
+    joins are over objects.
     """
     shapes = rel.min_area_filter(geometry.morpho_features(contours))
-    intensity = texture.intensity_features(pixels, shapes, CHANNELS, obj, image)
-    textures = texture.texture_features(pixels, CHANNELS, image, obj)
+    filled = spatial.polygon_rasterize(contours, image, obj)
+    levels, patterns, pairs = tiles.object_counts(
+        pixels, filled, CHANNELS, texture.DISTANCES, texture.ANGLES, texture.LEVELS, obj, image
+    )
+    intensity = texture.intensity_of_counts(levels, shapes, CHANNELS, obj, image)
+    textures = texture.texture_of_counts(patterns, pairs, CHANNELS, image, obj)
     return shapes.join(intensity, [image, obj]).join(textures, [image, obj])
 
 

@@ -255,34 +255,40 @@ def _(spark, sf):
     return spatial.distance_histogram(counts)
 
 
-@query(
-    "polygon_rasterize",
-    check(
-        ["cyto_v", "cyto_e"],
-        """SELECT vec_id // 8 AS image_id, vec_id % 8 + 1 AS object_id, count(*) AS n,
-        CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y,
-        CAST(sum(x * y) AS BIGINT) AS sum_xy FROM covered GROUP BY vec_id""",
+def fill_parts(rings: str, edges: str) -> list[tuple[str, str]]:
+    """Named parts up to ``covered``, the pixels (vec_id, y, x) of rings, border included."""
+    cross = "x1 + CAST((l.y - y1) * (x2 - x1) AS DOUBLE) / (y2 - y1)"
+    return [
         (
-            "lines",
-            """SELECT vec_id, unnest(range(lo, hi + 1)) AS y FROM (
-            SELECT vec_id, min(y) AS lo, max(y) AS hi FROM cyto_v GROUP BY vec_id)""",
+            "ring_lines",
+            f"""SELECT vec_id, unnest(range(lo, hi + 1)) AS y FROM (
+            SELECT vec_id, min(y) AS lo, max(y) AS hi FROM {rings} GROUP BY vec_id)""",
         ),
         (
             "cuts",
-            """SELECT l.vec_id, l.y, row_number() OVER (PARTITION BY l.vec_id, l.y
-            ORDER BY x1 + CAST((l.y - y1) * (x2 - x1) AS DOUBLE) / (y2 - y1)) AS r,
-            CAST(floor(x1 + CAST((l.y - y1) * (x2 - x1) AS DOUBLE) / (y2 - y1) + 1e-9) AS BIGINT) AS lo,
-            CAST(ceil(x1 + CAST((l.y - y1) * (x2 - x1) AS DOUBLE) / (y2 - y1) - 1e-9) AS BIGINT) AS hi
-            FROM lines l JOIN cyto_e e ON e.vec_id = l.vec_id AND (y1 > l.y) <> (y2 > l.y)""",
+            f"""SELECT l.vec_id, l.y, row_number() OVER (PARTITION BY l.vec_id, l.y ORDER BY {cross}) AS r,
+            CAST(floor({cross} + 1e-9) AS BIGINT) AS lo, CAST(ceil({cross} - 1e-9) AS BIGINT) AS hi
+            FROM ring_lines l JOIN {edges} e ON e.vec_id = l.vec_id AND (y1 > l.y) <> (y2 > l.y)""",
         ),
         (
             "covered",
-            """SELECT vec_id, y, unnest(range(a, b + 1)) AS x FROM (
+            f"""SELECT vec_id, y, unnest(range(a, b + 1)) AS x FROM (
             SELECT p.vec_id, p.y, p.hi AS a, q.lo AS b FROM cuts p JOIN cuts q
             ON p.vec_id = q.vec_id AND p.y = q.y AND q.r = p.r + 1 AND p.r % 2 = 1 WHERE p.hi <= q.lo)
-            UNION SELECT vec_id, y1, unnest(range(least(x1, x2), greatest(x1, x2) + 1)) FROM cyto_e WHERE y1 = y2
-            UNION SELECT vec_id, y1, x1 FROM cyto_e""",
+            UNION SELECT vec_id, y1, unnest(range(least(x1, x2), greatest(x1, x2) + 1)) FROM {edges} WHERE y1 = y2
+            UNION SELECT vec_id, y1, x1 FROM {edges}""",
         ),
+    ]
+
+
+@query(
+    "polygon_rasterize",
+    check(
+        ["cyto_v", "cyto_e"],
+        """SELECT vec_id // 8 AS image_id, vec_id % 8 + 1 AS object_id, count(*) AS n,
+        CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y,
+        CAST(sum(x * y) AS BIGINT) AS sum_xy FROM covered GROUP BY vec_id""",
+        *fill_parts("cyto_v", "cyto_e"),
     ),
 )
 def _(spark, sf):

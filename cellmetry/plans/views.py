@@ -95,6 +95,16 @@ view(
     + CAST(floor(500 * abs(CAST(line[x + 1] AS DOUBLE))) AS BIGINT)) % 256 AS grayscale
     FROM lines, (SELECT unnest(range(64)) AS x))""",
 )
+_DISK_RADIUS = "sqrt(CAST(20 + 4 * (image_id % 5) AS DOUBLE))"
+view(
+    "disk_v",
+    ["img"],
+    f"""SELECT image_id * 16 + k AS vec_id, i,
+    CAST(8 + 16 * (k % 4) + floor({_DISK_RADIUS} * cos(2 * pi() * i / 24) + 0.5) AS BIGINT) AS x,
+    CAST(8 + 16 * (k // 4) + floor({_DISK_RADIUS} * sin(2 * pi() * i / 24) + 0.5) AS BIGINT) AS y
+    FROM img, (SELECT unnest(range(16)) AS k), (SELECT unnest(range(24)) AS i)""",
+)
+view("disk_e", ["disk_v"], _edges("disk_v"))
 view(
     "predmask",
     ["img"],

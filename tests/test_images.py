@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cellmetry.operators import components, evaluate, pixels as px, texture, tiles
 
@@ -157,3 +158,36 @@ def test_empty_masks(spark):
     missed = score(some, none)
     assert (missed["precision"], missed["recall"], missed["f1"]) == (1, 0, 0)
     assert missed["mae"] == pytest.approx(0.75)
+
+
+def test_counts_of_one_pass(spark):
+    """Levels, contour patterns and level pairs at once, over tiles of another size."""
+    rng = np.random.default_rng(8)
+    rows = [
+        (img, y, x, 1 if (y - 9) ** 2 + (x - 9) ** 2 < 50 and (y, x) != (9, 9) else 2 * int(x > 20), int(v))
+        for img in (1, 2)
+        for y in range(20)
+        for x in range(30)
+        for v in [rng.integers(0, 256)]
+    ]
+    table = spark.createDataFrame(rows, "image_id long, y long, x long, obj long, v long")
+    # a contour that goes over the hole, and one that crosses the other object
+    filled = spark.createDataFrame(
+        [(i, 1, y, x) for i in (1, 2) for y in range(5, 14) for x in range(5, 14)]
+        + [(i, 2, y, x) for i in (1, 2) for y in range(3, 8) for x in range(10, 29)],
+        "image_id long, obj long, y long, x long",
+    )
+
+    def rows_of(df):
+        return sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+
+    levels, patterns, pairs = tiles.object_counts(
+        table, filled, ["v"], texture.DISTANCES, texture.ANGLES, side=9
+    )
+    assert rows_of(pairs) == rows_of(tiles.glcm_pairs(table, ["v"], texture.DISTANCES, texture.ANGLES))
+    assert rows_of(patterns) == rows_of(tiles.lbp_counts(table, ["v"], filled=filled))
+    by_level = table.filter("obj > 0").groupBy("image_id", "obj", F.lit(0).alias("c"), "v").agg(F.count("*").alias("n"))
+    assert rows_of(levels) == rows_of(by_level)
+    codes = tiles.lbp_codes(table, ["v"]).withColumnRenamed("v", "code").drop("obj")
+    inside = filled.join(codes, ["image_id", "y", "x"]).groupBy("image_id", "obj", "code").agg(F.count("*").alias("n"))
+    assert rows_of(patterns.filter("obj > 0").drop("channel")) == rows_of(inside)
