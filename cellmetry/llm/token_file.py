@@ -280,7 +280,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = shards.repartition(F.col("shard"))
+    # As many tasks as shards; by their few bytes Spark would put all in one.
+    spread = shards.repartition(max(1, manifest.count()), "shard")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
