@@ -29,16 +29,22 @@ def crc_remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """Distinct ids, written and counted: few are broadcast, so that texts stay in place."""
+    listed = cut_lineage(ids.select(F.col(ids.columns[0]).alias("__listed_id")).distinct())
+    return small_side(listed, listed.count())
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is listed, null with null; all columns of docs stay."""
-    wanted = ids.select(F.col(ids.columns[0]).alias("__listed_id")).distinct()
-    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__listed_id"]), "left_semi")
+    listed = _listed(ids)
+    return docs.join(listed, docs[id_col].eqNullSafe(F.col("__listed_id")), "left_semi")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is not listed, null with null; all columns of docs stay."""
-    listed = ids.select(F.col(ids.columns[0]).alias("__listed_id")).distinct()
-    return docs.join(listed, docs[id_col].eqNullSafe(listed["__listed_id"]), "left_anti")
+    listed = _listed(ids)
+    return docs.join(listed, docs[id_col].eqNullSafe(F.col("__listed_id")), "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -242,8 +242,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scores = quality_scores(docs, train_quality(docs, labels)).where("doc_id IS NOT NULL")
     judged = scores.groupBy("doc_id").agg(F.max("predicted").alias("good"))
-    rejected = cut_lineage(judged.where("good = 0").select("doc_id"))
-    return drop_ids(docs, rejected)
+    return drop_ids(docs, judged.where("good = 0").select("doc_id"))
 
 
 def held_out_accuracy(scores: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.common import LOWER_ASCII, WORD, components, keep_ids
+from cellmetry.llm.common import LOWER_ASCII, WORD, components, drop_ids, keep_ids
 from cellmetry.session import cut_lineage
 
 #: Segments as (lowest bit, bits).
@@ -200,9 +200,11 @@ def near_duplicates_removed(docs: DataFrame, most: int = 3, shingle: int = 3) ->
     without an id cannot be named and all stay.
     """
     groups = simhash_groups(docs.where("doc_id IS NOT NULL"), most, shingle)
-    stays = cut_lineage(
-        groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    judged = cut_lineage(
+        groups.groupBy("doc_id").agg(
+            F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")
+        )
     )
-    once = keep_ids(docs, stays.where("n = 1"))
-    again = keep_ids(docs, stays.where("n > 1")).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    once = drop_ids(docs, judged.where("NOT stays OR n > 1").select("doc_id"))
+    again = keep_ids(docs, judged.where("stays AND n > 1").select("doc_id"))
+    return once.unionByName(again.dropDuplicates(["doc_id"]))
