@@ -89,11 +89,13 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> Da
         .distinct()
     )
     whole = sketches.select("item_key", "item_id", "n_shingles", "shingles")
-    found = cut_lineage(found).join(small_side(whole, n_filed), "item_key")
+    found = cut_lineage(found)
+    found = small_side(found, found.count())
     same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))
     texts = docs.select("doc_id", "text", key)
     matched = _worded(
-        texts.join(found, same), *(F.col(c) for c in ("doc_id", "text_hash", *whole.columns))
+        texts.join(found, same).join(small_side(whole, n_filed), "item_key"),
+        *(F.col(c) for c in ("doc_id", "text_hash", *whole.columns)),
     )
     shared = F.size(F.array_intersect(_strings(), F.col("shingles"))).alias("n_shared")
     # Written before it is filtered: a filter that moves below the words would split
@@ -111,8 +113,9 @@ def without_items(docs: DataFrame, items: DataFrame, least: float = 0.8) -> Data
         .select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_hash"))
         .distinct()
     )
-    same = docs["doc_id"].eqNullSafe(found["__leak_id"]) & (
-        F.xxhash64(docs["text"].cast("string")) == found["__leak_hash"]
+    found = small_side(found, found.count())
+    same = docs["doc_id"].eqNullSafe(F.col("__leak_id")) & (
+        F.xxhash64(docs["text"].cast("string")) == F.col("__leak_hash")
     )
     return docs.join(found, same, "left_anti")
 
