@@ -13,7 +13,7 @@ from math import ceil, isqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellmetry.llm.common import WORD
+from cellmetry.llm.common import WORD, small_side
 from cellmetry.session import cut_lineage
 
 SEED = 7
@@ -156,9 +156,11 @@ def mixed_documents(docs: DataFrame, most: int = REPEATS, seed: int = SEED) -> D
         & docs["source"].eqNullSafe(F.col("__source"))
         & (size.cast("long") == F.col("__size"))
     )
-    once = docs.join(plan.where("__rows = 1"), same)
+    # The plan has a row per document: texts and plan meet by a sorted join at every size.
+    once = docs.join(plan.where("__rows = 1").hint("merge"), same)
+    repeated = plan.where("__rows > 1")
     nth = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(docs["text"]))
-    again = docs.join(plan.where("__rows > 1"), same).withColumn("__nth", F.row_number().over(nth))
+    again = docs.join(small_side(repeated, repeated.count()), same).withColumn("__nth", F.row_number().over(nth))
     again = again.withColumn(
         "__n", F.expr("__n DIV __rows + IF(__nth <= __n % __rows, 1, 0)")
     ).drop("__nth")
