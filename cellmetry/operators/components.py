@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.operators.ranking import bucketed_row_number
-from cellmetry.operators.tiles import SIDE, Tile, over_tiles
+from cellmetry.operators.tiles import SIDE, Tile, key_type, over_tiles
 from cellmetry.session import cut_lineage
 
 ROW = 1 << 31  # a region is named by its first pixel, y * ROW + x
@@ -114,7 +114,7 @@ def pixel_regions(
         over_tiles(
             pixels.filter(F.col(column) > 0),
             work,
-            f"{image} bigint, y bigint, x bigint, {column} bigint, region bigint",
+            f"{key_type(pixels, image)}, y bigint, x bigint, {column} bigint, region bigint",
             [column],
             (0, 0, 0, 0),
             image,

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cellmetry.session import cut_lineage
 
@@ -74,6 +75,11 @@ class Tile:
         return pd.DataFrame(data)
 
 
+def key_type(pixels: DataFrame, image: str) -> str:
+    """The image key with its type, for the schema of what tiles return."""
+    return f"{image} {pixels.schema[image].dataType.simpleString()}"
+
+
 def by_task(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partitions of a fixed number.
 
@@ -98,6 +104,9 @@ def over_tiles(
     ``marks`` (image, y, x, mark) are further numbers on pixels, several on one if need
     be; those of a tile are in ``tile.marks`` as rows, columns and numbers.
     """
+    for c in columns:
+        if not isinstance(pixels.schema[c].dataType, IntegralType):
+            raise TypeError(f"column {c} must hold whole numbers")
     up, down, left, right = margin
 
     def tiles(axis: str, before: int, after: int) -> Column:
@@ -177,7 +186,7 @@ def gaussian_blur(
         )
         return tile.rows_out(keys, **{column: np.floor(both + 0.5).astype(np.int64)})
 
-    schema = f"{image} bigint, y bigint, x bigint, {column} bigint"
+    schema = f"{key_type(pixels, image)}, y bigint, x bigint, {column} bigint"
     return over_tiles(pixels, work, schema, [column], (reach,) * 4, image, side)
 
 
@@ -203,7 +212,7 @@ def grey_close_3x3(
         wide[~tile.present] = np.iinfo(np.int64).max
         return tile.rows_out(keys, **{column: tile.core(_extreme(wide, np.minimum))})
 
-    schema = f"{image} bigint, y bigint, x bigint, {column} bigint"
+    schema = f"{key_type(pixels, image)}, y bigint, x bigint, {column} bigint"
     return over_tiles(pixels, work, schema, [column], (2, 2, 2, 2), image, side)
 
 
@@ -219,7 +228,7 @@ def boundary_pixels(
         out = tile.rows_out(keys, **{obj: here, "_same": same})
         return out[(out["_same"] < 8) & (out[obj] > 0)].drop(columns="_same")
 
-    schema = f"{image} bigint, y bigint, x bigint, {obj} bigint"
+    schema = f"{key_type(pixels, image)}, y bigint, x bigint, {obj} bigint"
     return over_tiles(pixels.filter(F.col(obj) > 0), work, schema, [obj], (1,) * 4, image, side)
 
 
@@ -264,7 +273,7 @@ def lbp_codes(
         codes = {c: _uniform_code(_pattern_bits(tile, tile.grid(c, 0))) for c in channels}
         return tile.rows_out(keys, **{obj: tile.core(tile.grid(obj, 0))}, **codes)
 
-    schema = f"{image} bigint, y bigint, x bigint, {obj} bigint, " + ", ".join(
+    schema = f"{key_type(pixels, image)}, y bigint, x bigint, {obj} bigint, " + ", ".join(
         f"{c} bigint" for c in channels
     )
     return over_tiles(pixels, work, schema, [obj, *channels], (1,) * 4, image, side)
@@ -333,7 +342,7 @@ def lbp_counts(
     tile_rows = over_tiles(
         pixels,
         lambda tile, keys: _counted(_lbp_parts(tile, channels, obj, by_contour), keys, obj),
-        f"{image} bigint, {obj} bigint, cell int, n bigint",
+        f"{key_type(pixels, image)}, {obj} bigint, cell int, n bigint",
         [obj, *channels],
         (1,) * 4,
         image,
@@ -368,7 +377,7 @@ def rotation_min_codes(
         out = out[out["_whole"]].drop(columns="_whole")
         return out.assign(code=[format(int(v), "08b") for v in out["code"]])
 
-    schema = f"{image} bigint, y bigint, x bigint, {obj} bigint, code string"
+    schema = f"{key_type(pixels, image)}, y bigint, x bigint, {obj} bigint, code string"
     return over_tiles(
         pixels.filter(F.col(obj) > 0), work, schema, [obj, channel], (1,) * 4, image, side
     )
@@ -458,7 +467,7 @@ def glcm_pairs(
     tile_rows = over_tiles(
         pixels.filter(F.col(obj) > 0),
         lambda tile, keys: _counted(_glcm_parts(tile, channels, offsets, levels, obj), keys, obj),
-        f"{image} bigint, {obj} bigint, cell int, n bigint",
+        f"{key_type(pixels, image)}, {obj} bigint, cell int, n bigint",
         [obj, *channels],
         _glcm_margin(offsets),
         image,
@@ -512,7 +521,7 @@ def object_counts(
     tile_rows = over_tiles(
         pixels,
         work,
-        f"{image} bigint, {obj} bigint, cell int, n bigint",
+        f"{key_type(pixels, image)}, {obj} bigint, cell int, n bigint",
         [obj, *channels],
         margin,
         image,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cellmetry.operators import evaluate, pixels, relational, stats
+from cellmetry.operators import components, evaluate, pixels, relational, stats, tiles
 from cellmetry.session import shared_folder
 from cellmetry.sources import derived
 from conftest import SF
@@ -89,6 +89,21 @@ def test_uneven_images_are_refused(spark):
         pixels.clahe(image).collect()
 
 
+def test_named_images_and_fractions(spark):
+    named = spark.range(100).selectExpr(
+        "concat('img', id div 50, '.tif') as image_name", "(id % 50) div 10 as y", "id % 10 as x",
+        "id % 7 as v", "1L as obj",
+    )
+    for got in (
+        tiles.gaussian_blur(named, "v", image="image_name"),
+        tiles.lbp_counts(named, ["v"], image="image_name"),
+        components.pixel_regions(named, "v", image="image_name"),
+    ):
+        assert {r.image_name for r in got.collect()} == {"img0.tif", "img1.tif"}
+    with pytest.raises(TypeError):
+        tiles.gaussian_blur(named.withColumn("v", F.col("v") / 2), "v", image="image_name")
+
+
 def test_plans(spark):
     objects = derived.features(spark, SF).withColumn("obj_id", F.col("vec_id"))
     first = plan(relational.dedup_keep_first(objects, ["image_name", "object_id"]))
