@@ -1,14 +1,14 @@
-"""Token counts under a unigram model, scored once per shared prefix in a trie.
+"""Token counts under a unigram model, scored once per shared prefix of a trie.
 
 The model is a vocabulary of byte strings; a piece of rank r has probability proportional
 to 1 / (r + 1).  The best segmentation of a pre-token is the one of highest product; its
 forward score at a position depends on the bytes before it only, so every node of a trie
-holds the forward score of its prefix, and pre-tokens with a common prefix share it.  A node
-also holds the number of pieces of its best segmentation, which is the count of a
-pre-token that ends there.
+has one forward score, and pre-tokens with a common prefix share it.  A node also has
+the number of pieces of its best segmentation, which is the count of a pre-token that
+ends there.
 
-Each Python worker fills a trie of its own from the distinct pre-tokens it meets: nothing is
-shuffled.
+The distinct new pre-tokens of a few hundred texts make a trie, visited depth first in
+sorted order: only the path to the current node is held.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,19 +18,18 @@ import math
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.token_file import _BREAK, _ODD
+from cellmetry.llm.token_file import _BREAK
 
-#: Nodes of a trie and pieces of text a worker keeps; it starts anew beyond them.
-MAX_NODES = 1_000_000
-MAX_SEEN = 400_000
-#: Longer pre-tokens are scored by the same steps without being kept.
-MAX_KEPT_BYTES = 512
+#: Words whose counts a Python worker keeps; it starts anew beyond them.
+MAX_SEEN = 600_000
+#: Texts whose new pre-tokens make one trie.
+TEXTS = 500
+_SHIFT = 32  # counts of pre-tokens and of pieces travel as one number
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -41,7 +40,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class UnigramTrie:
-    """Forward scores and piece counts of all prefixes of the pre-tokens seen."""
+    """Counts of best segmentations over the trie of sorted pre-tokens."""
 
     def __init__(self, pieces: list[bytes]) -> None:
         total = math.log(math.fsum(1 / (r + 1) for r in range(len(pieces))))
@@ -49,75 +48,78 @@ class UnigramTrie:
         if any(bytes([b]) not in self.scores for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.longest = max(map(len, pieces))
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.best, self.count = [0.0], [0]
-
-    def _forward(self, word: bytes, d: int, best: list[float], count: list[int], path) -> tuple[float, int]:
-        """Score and pieces of word[:d]; the longer last piece wins a tie."""
-        top, n, scores = -math.inf, 0, self.scores
-        for start in range(max(0, d - self.longest), d):
-            score = scores.get(word[start:d])
-            if score is not None:
-                node = path[start]
-                if best[node] + score > top:
-                    top, n = best[node] + score, count[node] + 1
-        return top, n
-
-    def pieces(self, word: bytes) -> int:
-        """Number of pieces of the best segmentation of a pre-token."""
-        if len(word) > MAX_KEPT_BYTES:
-            best, count = [0.0], [0]
-            for d in range(1, len(word) + 1):
-                top, n = self._forward(word, d, best, count, range(d))
+        self.nodes = 0  # scored so far
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Pieces of the best segmentation of each of the sorted pre-tokens.
+
+        ``best`` and ``count`` hold the path of the trie to the current node; a word
+        leaves it where it parts from the word before.  The longer last piece wins a tie.
+        """
+        score, longest = self.scores.get, self.longest
+        best, count, before, out = [0.0], [0], b"", []
+        for word in words:
+            shared, least = 0, min(len(before), len(word))
+            while shared < least and before[shared] == word[shared]:
+                shared += 1
+            del best[shared + 1 :], count[shared + 1 :]
+            for d in range(shared + 1, len(word) + 1):
+                top, n = -math.inf, 0
+                for start in range(d - longest if d > longest else 0, d):
+                    own = score(word[start:d])
+                    if own is not None and best[start] + own > top:
+                        top, n = best[start] + own, count[start] + 1
                 best.append(top)
                 count.append(n)
-            return count[-1]
-        if len(self.best) > MAX_NODES:
-            self.clear()
-        node, path, child = 0, [0], self.child
-        for d, byte in enumerate(word, 1):
-            key = node << 8 | byte
-            node = child.get(key, 0)
-            if not node:
-                top, n = self._forward(word, d, self.best, self.count, path)
-                node = child[key] = len(self.best)
-                self.best.append(top)
-                self.count.append(n)
-            path.append(node)
-        return self.count[node]
+            self.nodes += len(word) - shared
+            out.append(count[-1])
+            before = word
+        return out
 
 
 class Counter:
-    """Counts of the pieces of text that a Python worker has met."""
+    """Counts of words that a Python worker has met, each with the space before it.
+
+    Pre-tokens never go over a single space between two characters that are no white
+    space, so a text may be cut there.
+    """
 
     def __init__(self, ranks: str, pattern: str) -> None:
         self.trie, self.split = UnigramTrie(read_ranks(ranks)), regex.compile(pattern).findall
-        self.seen: dict[str, tuple[int, int]] = {}
-
-    def count(self, piece: str) -> tuple[int, int]:
-        """Pre-tokens of a piece and the sum of their counts, kept for the next time."""
-        words = self.split(piece)
-        found = self.seen[piece] = (
-            len(words),
-            sum(self.trie.pieces(w.encode("utf-8", "surrogatepass")) for w in words),
-        )
-        return found
-
-    def text(self, text: str) -> np.ndarray:
-        """Both counts of a text, cut at single spaces between two other characters, which
-        no pre-token goes over."""
-        cut = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+        self.seen: dict[str, int | None] = {}
+
+    def pieces(self, pieces: list[str]) -> dict[str, int]:
+        """Both counts of pieces of text, through one trie of their pre-tokens."""
+        words = [[w.encode("utf-8", "surrogatepass") for w in self.split(p)] for p in pieces]
+        sorted_words = sorted({w for ws in words for w in ws})
+        n = dict(zip(sorted_words, self.trie.counts(sorted_words)))
+        return {p: len(ws) << _SHIFT | sum([n[w] for w in ws]) for p, ws in zip(pieces, words)}
+
+    def texts(self, texts: list[str]) -> list[int]:
+        """Both counts of whole texts."""
         if len(self.seen) > MAX_SEEN:
             self.seen.clear()
-        seen, count = self.seen, self.count
-        both = [count(cut[0])]
-        for piece in cut[1:]:
-            piece = " " + piece
-            both.append(seen.get(piece) or count(piece))
-        return np.array(both, np.int64).sum(0)
+        seen = self.seen
+        cut = [t.split(" ") for t in texts]
+        new = set().union(*cut).difference(seen)
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        found = self.pieces([" " + w for w in new - odd])
+        seen.update((p[1:], c) for p, c in found.items())
+        seen.update(dict.fromkeys(odd))  # None: cannot be cut off
+        heads = [c[0] if c[0] and not c[0][-1].isspace() else None for c in cut]
+        first = self.pieces(list({h for h in heads if h is not None}))
+        out = []
+        for text, words, head in zip(texts, cut, heads):
+            try:
+                if head is None:
+                    raise TypeError
+                out.append(first[head] + sum(map(seen.__getitem__, words[1:])))
+            except TypeError:
+                parts = _BREAK.split(text)
+                parts = parts[:1] + [" " + p for p in parts[1:]]
+                n = self.pieces(list(set(parts)))
+                out.append(sum(n[p] for p in parts))
+        return out
 
 
 @cache
@@ -139,12 +141,12 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = task_counter(ranks, pattern)
         for batch in batches:
-            counts = np.zeros((batch.num_rows, 2), np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    counts[i] = counter.text(text)
+            both = []
+            for start in range(0, batch.num_rows, TEXTS):
+                both += counter.texts(batch.column(1).slice(start, TEXTS).to_pylist())
+            counts = [[n >> _SHIFT for n in both], [n & ((1 << _SHIFT) - 1) for n in both]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
+                [batch.column(0), *(pa.array(n, pa.int64()) for n in counts)],
                 names=["doc_id", "n_pretokens", "n_tokens"],
             )
 

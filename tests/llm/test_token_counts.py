@@ -3,6 +3,7 @@
 import math
 
 import public_tokenizers
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -47,24 +48,31 @@ def test_documents(spark):
     assert got(docs) == expected([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_prefixes_are_scored_once(monkeypatch):
-    trie, calls = token_counts.UnigramTrie(PIECES), []
-    forward = trie._forward
-    monkeypatch.setattr(trie, "_forward", lambda *a: calls.append(a[0][: a[1]]) or forward(*a))
-    words = [b"undo", b"undone", b"under", b"und", b"undone"]
-    for w in words:
-        trie.pieces(w)
-    assert sorted(calls) == sorted({w[:d] for w in words for d in range(1, len(w) + 1)})
+def test_prefixes_are_scored_once():
+    trie = token_counts.UnigramTrie(PIECES)
+    words = sorted({b"undo", b"undone", b"under", b"und", b"over", b"overdone"})
+    assert trie.counts(words) == [trie.counts([w])[0] for w in words]
+    trie.nodes = 0
+    trie.counts(words)
+    assert trie.nodes == len({w[:d] for w in words for d in range(1, len(w) + 1)})
     assert math.isclose(math.fsum(map(math.exp, trie.scores.values())), 1)
 
 
+@pytest.mark.parametrize(
+    "text", ["", " ", "a  b", " a b ", "a \n b\tc", "it's we'll 'd", "x\u00a0y \u3000z", "a\x1c b", "\n\nab c\n", "ab \n"]
+)
+def test_cut_texts_count_like_whole_ones(text):
+    counter = token_counts.Counter(RANKS, public_tokenizers.PATTERN)
+    n = counter.texts([text, "other text", text])
+    want = plain(text, counter.trie.scores, counter.trie.longest)
+    assert (n[0] >> 32, n[0] & (2**32 - 1)) == want and n[0] == n[2]
+
+
 def test_small_caches_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "MAX_KEPT_BYTES", 6)
-    trie = token_counts.UnigramTrie(PIECES)
-    monkeypatch.setattr(token_counts, "MAX_NODES", 5)
-    for text in ("hello wonderful worlds", "internationalisation of everything"):
-        n = sum(trie.pieces(w.encode()) for w in regex.findall(public_tokenizers.PATTERN, text))
-        assert n == plain(text, trie.scores, trie.longest)[1]
+    monkeypatch.setattr(token_counts, "MAX_SEEN", 3)
+    counter = token_counts.Counter(RANKS, public_tokenizers.PATTERN)
+    text = "internationalisation of everything everywhere and of everything else"
+    assert counter.texts([text]) == counter.texts([text]) == counter.texts(["x y z", text])[1:]
 
 
 def test_edges_of_the_input(spark):
