@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellmetry.functions.names import BASE_FEATURES, CYTO_FEATURES
-from cellmetry.operators import evaluate, ml, splits, stats
+from cellmetry.functions.names import BASE_FEATURES, CIRCULARITY_FEATURES, CYTO_FEATURES
+from cellmetry.operators import evaluate, ml, relational, splits, stats
 from cellmetry.plans.registry import check, query, r6, rounded, sq
 from cellmetry.sources import derived
 
@@ -485,35 +485,43 @@ def _(spark, sf):
     )
 
 
+TREE_FEATURES = BASE_FEATURES + CIRCULARITY_FEATURES
+
+
+def _tree_table(spark, sf):
+    """The fourteen shape features and both circularities."""
+    return relational.add_circularity(derived.features(spark, sf))
+
+
 @query("decision_tree")
 def _(spark, sf):
-    return ml.decision_tree(derived.features(spark, sf), BASE_FEATURES, "vec_id")[1]
+    return ml.decision_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1]
 
 
 @query("random_forest")
 def _(spark, sf):
-    return ml.random_forest(derived.features(spark, sf), BASE_FEATURES, "vec_id")[1]
+    return ml.random_forest(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1]
 
 
 @query("feature_importance")
 def _(spark, sf):
-    df = derived.features(spark, sf)
-    model, _report = ml.random_forest(df, BASE_FEATURES, "vec_id")
-    return ml.feature_importance(df, model, BASE_FEATURES)
+    df = _tree_table(spark, sf)
+    model, _report = ml.random_forest(df, TREE_FEATURES, "vec_id")
+    return ml.feature_importance(df, model, TREE_FEATURES)
 
 
 @query("cv_tree")
 def _(spark, sf):
-    return ml.cv_tree(derived.features(spark, sf), BASE_FEATURES, "vec_id")
+    return ml.cv_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id")
 
 
 @query("tree_rules")
 def _(spark, sf):
-    return ml.tree_rules(derived.features(spark, sf), BASE_FEATURES, "vec_id")
+    return ml.tree_rules(_tree_table(spark, sf), TREE_FEATURES, "vec_id")
 
 
 @query("fold_feature_frequency")
 def _(spark, sf):
-    return ml.fold_feature_frequency(derived.features(spark, sf), BASE_FEATURES, "vec_id").withColumn(
+    return ml.fold_feature_frequency(_tree_table(spark, sf), TREE_FEATURES, "vec_id").withColumn(
         "folds", F.array_join(F.transform("folds", lambda f: f.cast("string")), ",")
     )
