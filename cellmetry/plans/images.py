@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cellmetry.functions.names import CHANNELS
 from cellmetry.operators import components, pixels as px, spatial, texture, tiles
 from cellmetry.operators.tiles import gaussian_weights, glcm_offsets
+from cellmetry.plans import pipeline
 from cellmetry.plans.registry import check, query, r6, rounded, sq
 from cellmetry.plans.shapes import fill_parts
 from cellmetry.sources import derived
@@ -43,16 +44,19 @@ def _(spark, sf):
     )
 
 
+_RESCALED = """SELECT image_id, y, x, CAST(floor(255.0 * ((grayscale - mean) / (dev + 1e-6) - (low - mean) / (dev + 1e-6))
+    / ((high - mean) / (dev + 1e-6) - (low - mean) / (dev + 1e-6) + 1e-6)) AS BIGINT) AS grayscale
+    FROM pix JOIN (SELECT image_id, s / n AS mean, sqrt((n * ss - s * s) / (n * n)) AS dev, low, high
+    FROM (SELECT image_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(grayscale) AS DOUBLE) AS s,
+    CAST(sum(grayscale * grayscale) AS DOUBLE) AS ss, CAST(min(grayscale) AS DOUBLE) AS low,
+    CAST(max(grayscale) AS DOUBLE) AS high FROM pix GROUP BY image_id)) USING (image_id)"""
+
+
 @query(
     "zscore_rescale",
     check(
         ["pix"],
-        """SELECT image_id, y, x, CAST(floor(255.0 * ((grayscale - mean) / (dev + 1e-6) - (low - mean) / (dev + 1e-6))
-        / ((high - mean) / (dev + 1e-6) - (low - mean) / (dev + 1e-6) + 1e-6)) AS BIGINT) AS grayscale
-        FROM pix JOIN (SELECT image_id, s / n AS mean, sqrt((n * ss - s * s) / (n * n)) AS dev, low, high
-        FROM (SELECT image_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(grayscale) AS DOUBLE) AS s,
-        CAST(sum(grayscale * grayscale) AS DOUBLE) AS ss, CAST(min(grayscale) AS DOUBLE) AS low,
-        CAST(max(grayscale) AS DOUBLE) AS high FROM pix GROUP BY image_id)) USING (image_id)""",
+        _RESCALED,
     ),
 )
 def _(spark, sf):
@@ -650,17 +654,22 @@ _CLAHE = [
 ]
 
 
+_EQUALISED = (
+    """SELECT p.image_id, p.y, p.x, CAST(round_even((a.level * (1.0::DOUBLE - fx) + b.level * fx)
+    * (1.0::DOUBLE - fy) + (c.level * (1.0::DOUBLE - fx) + d.level * fx) * fy, 0) AS BIGINT)
+    AS grayscale FROM place p """
+    + " ".join(
+        f"JOIN curve {n} ON {n}.image_id = p.image_id AND {n}.v = p.v AND {n}.ty = p.{y} AND {n}.tx = p.{x}"
+        for n, y, x in (("a", "y1", "x1"), ("b", "y1", "x2"), ("c", "y2", "x1"), ("d", "y2", "x2"))
+    )
+)
+
+
 @query(
     "clahe",
     check(
         ["pix"],
-        """SELECT p.image_id, p.y, p.x, CAST(round_even((a.level * (1.0::DOUBLE - fx) + b.level * fx)
-        * (1.0::DOUBLE - fy) + (c.level * (1.0::DOUBLE - fx) + d.level * fx) * fy, 0) AS BIGINT)
-        AS grayscale FROM place p """
-        + " ".join(
-            f"JOIN curve {n} ON {n}.image_id = p.image_id AND {n}.v = p.v AND {n}.ty = p.{y} AND {n}.tx = p.{x}"
-            for n, y, x in (("a", "y1", "x1"), ("b", "y1", "x2"), ("c", "y2", "x1"), ("d", "y2", "x2"))
-        ),
+        _EQUALISED,
         *_CLAHE,
     ),
 )
@@ -668,6 +677,21 @@ def _(spark, sf):
     return px.clahe(derived.pixels(spark, sf))
 
 
+@query(
+    "enhancement_chain",
+    check(
+        ["pix"],
+        _EQUALISED,
+        ("enhanced", _RESCALED),
+        *[(name, text.replace("FROM pix", "FROM enhanced")) for name, text in _CLAHE],
+    ),
+)
+def _(spark, sf):
+    """Rescaling and equalisation as one plan."""
+    rescaled = px.zscore_rescale(derived.pixels(spark, sf))
+    return px.clahe(rescaled.select("image_id", "y", "x", "grayscale"))
+
+
 @query(
     "resize_bilinear",
     check(
@@ -691,32 +715,34 @@ def _(spark, sf):
     return rounded(px.resize_bilinear(derived.pixels(spark, sf), (40, 24)), "grayscale")
 
 
+_CROPPED = """SELECT image_id, obj, CASE WHEN wide THEN lx ELSE ly END AS crop_y,
+    CASE WHEN wide THEN greatest(sy, y2 - y1) - 1 - ly ELSE lx END AS crop_x, v FROM (
+    SELECT *, y - y1 + greatest(sy - (y2 - y1), 0) // 2 AS ly,
+    x - x1 + greatest(sx - (x2 - x1), 0) // 2 AS lx FROM (
+    SELECT p.image_id, p.obj, p.y, p.x, p.{channel} AS v, wide, sx, sy,
+    greatest(CAST(trunc(cx - sx / 2.0) AS BIGINT), 0) AS x1, least(CAST(trunc(cx + sx / 2.0) AS BIGINT), 64) AS x2,
+    greatest(CAST(trunc(cy - sy / 2.0) AS BIGINT), 0) AS y1, least(CAST(trunc(cy + sy / 2.0) AS BIGINT), 64) AS y2
+    FROM cutpix p JOIN framed f ON f.image_id = p.image_id AND f.obj = p.obj)
+    WHERE y >= y1 AND y < y2 AND x >= x1 AND x < x2) WHERE v <> 0"""
+_FRAMED = """SELECT *, CASE WHEN wide THEN max(greatest(w, h)) OVER () ELSE max(least(w, h)) OVER () END AS sx,
+    CASE WHEN wide THEN max(least(w, h)) OVER () ELSE max(greatest(w, h)) OVER () END AS sy FROM (
+    SELECT *, w > h AS wide FROM (SELECT image_id, obj, (min(x) + max(x) + 1) / 2.0 AS cx,
+    (min(y) + max(y) + 1) / 2.0 AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h
+    FROM (SELECT image_id, y, x, obj FROM cutpix WHERE obj > 0) GROUP BY image_id, obj))"""
+_CROP_CHANNELS = ["green", "red", "grayscale"]
+
+
 @query(
     "object_crop",
     check(
         ["pix"],
-        """SELECT image_id, obj, CASE WHEN wide THEN lx ELSE ly END AS crop_y,
-        CASE WHEN wide THEN greatest(sy, y2 - y1) - 1 - ly ELSE lx END AS crop_x, v FROM (
-        SELECT *, y - y1 + greatest(sy - (y2 - y1), 0) // 2 AS ly,
-        x - x1 + greatest(sx - (x2 - x1), 0) // 2 AS lx FROM (
-        SELECT p.image_id, p.obj, p.y, p.x, p.grayscale AS v, wide, sx, sy,
-        greatest(CAST(trunc(cx - sx / 2.0) AS BIGINT), 0) AS x1, least(CAST(trunc(cx + sx / 2.0) AS BIGINT), 64) AS x2,
-        greatest(CAST(trunc(cy - sy / 2.0) AS BIGINT), 0) AS y1, least(CAST(trunc(cy + sy / 2.0) AS BIGINT), 64) AS y2
-        FROM cutpix p JOIN framed f ON f.image_id = p.image_id AND f.obj = p.obj)
-        WHERE y >= y1 AND y < y2 AND x >= x1 AND x < x2) WHERE v <> 0""",
+        f"SELECT * FROM ({_CROPPED.format(channel='grayscale')})",
         (  # every third disk loses its right columns, so that boxes differ and some are wide
             "cutpix",
             """SELECT image_id, y, x, grayscale, CASE WHEN obj % 3 = 0 AND x % 16 >= 10 THEN 0
             WHEN obj % 3 = 1 AND y % 16 >= 10 THEN 0 ELSE obj END AS obj FROM pix""",
         ),
-        (
-            "framed",
-            """SELECT *, CASE WHEN wide THEN max(greatest(w, h)) OVER () ELSE max(least(w, h)) OVER () END AS sx,
-            CASE WHEN wide THEN max(least(w, h)) OVER () ELSE max(greatest(w, h)) OVER () END AS sy FROM (
-            SELECT *, w > h AS wide FROM (SELECT image_id, obj, (min(x) + max(x) + 1) / 2.0 AS cx,
-            (min(y) + max(y) + 1) / 2.0 AS cy, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h
-            FROM (SELECT image_id, y, x, obj FROM cutpix WHERE obj > 0) GROUP BY image_id, obj))""",
-        ),
+        ("framed", _FRAMED),
     ),
 )
 def _(spark, sf):
@@ -731,3 +757,30 @@ def _(spark, sf):
         (F.max("y") - F.min("y") + 1).alias("h"),
     )
     return px.object_crop(own, windows, px.image_sizes(base), px.crop_window_size(windows))
+
+
+@query(
+    "crop_chain",
+    check(
+        ["pix", "disk_v", "disk_e"],
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS channel, concat('img_img', image_id, '_crop_', obj, '.tif') AS crop_name,
+            crop_y, crop_x, v FROM ({_CROPPED.format(channel=c)})"""
+            for c in _CROP_CHANNELS
+        ),
+        *fill_parts("disk_v", "disk_e"),
+        (
+            "cutpix",
+            """SELECT p.image_id, p.y, p.x, green, red, grayscale, vec_id % 16 + 1 AS obj FROM covered f
+            JOIN pix p ON p.image_id = f.vec_id // 16 AND p.y = f.y AND p.x = f.x""",
+        ),
+        ("framed", _FRAMED),
+    ),
+)
+def _(spark, sf):
+    """Object table to crops: one window for all, filled contours, three images, one name."""
+    return pipeline.crop_chain(
+        derived.pixels(spark, sf),
+        derived.disk_contours(spark, sf),
+        _CROP_CHANNELS,
+    )

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellmetry.functions import names
 from cellmetry.functions.names import CHANNELS, SHAPE_COLUMNS
-from cellmetry.operators import geometry, relational as rel, spatial, texture, tiles
+from cellmetry.operators import geometry, pixels as px, relational as rel, spatial, texture, tiles
 from cellmetry.plans.registry import check, query, r6, sq
 from cellmetry.plans.shapes import (
     _BOXES,
@@ -44,6 +45,33 @@ def objects_table(
     return shapes.join(intensity, [image, obj]).join(textures, [image, obj])
 
 
+def crop_chain(
+    pixels: DataFrame, contours: DataFrame, channels: list[str], image: str = "image_id", obj: str = "obj"
+) -> DataFrame:
+    """Crops (channel, crop_name, crop_y, crop_x, v) of every object from all channels.
+
+    ``contours`` has (image, image_name, obj, contour).  The window is the largest of all
+    boxes, an object is what its contour encloses, and its crops share one name.
+    """
+    boxes = geometry.bounding_boxes(contours.select(image, "image_name", obj, "contour"))
+    windows = boxes.select(
+        image, obj, "w", "h", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy")
+    )
+    enclosed = spatial.polygon_rasterize(contours, image, obj).join(
+        pixels.select(image, "y", "x", *channels), [image, "y", "x"]
+    )
+    sizes, limits = px.image_sizes(pixels, image), px.crop_window_size(windows)
+    named = boxes.select(
+        image, obj, names.crop_name(names.normalize_image_name(F.col("image_name")), F.col(obj)).alias("crop_name")
+    )
+    crops = None
+    for c in channels:
+        own = enclosed.select(image, obj, "y", "x", F.col(c).alias("v"))
+        part = px.object_crop(own, windows, sizes, limits, image, obj).withColumn("channel", F.lit(c))
+        crops = part if crops is None else crops.unionByName(part)
+    return crops.join(named, [image, obj]).select("channel", "crop_name", "crop_y", "crop_x", "v")
+
+
 def labelled_cells(cytoplasms: DataFrame, nuclei: DataFrame, votes: DataFrame) -> DataFrame:
     """Shapes, parent join, annotator consensus and class.
 
