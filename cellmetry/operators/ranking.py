@@ -89,17 +89,20 @@ def sorted_row_number(df: DataFrame, order: list[Column], name: str) -> DataFram
 BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 100_000, 64, 8_192
 
 
-def cumulative_counts(counts: DataFrame, group: list[str], value: str, n: str, by: str) -> DataFrame:
+def cumulative_counts(
+    counts: DataFrame, group: list[str], value: str, n: str, by: str, buckets: int | None = None
+) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` per group.
 
     ``counts`` has one row per (group, distinct value) with its multiplicity; ``by``
     is the group column whose values share borders.  Borders are roughly even
-    quantiles, as many as the counted rows ask for, fetched once (distinct ``by`` x
-    buckets numbers) and put back as a local table, so every recomputation cuts the
-    values at the same places.
+    quantiles, as many as the counted rows ask for unless given, fetched once (distinct
+    ``by`` x buckets numbers) and put back as a local table, so every recomputation cuts
+    the values at the same places.
     """
-    sizes = counts.groupBy(by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-sizes // BUCKET_ROWS)))
+    if buckets is None:
+        sizes = counts.groupBy(by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, -(-sizes // BUCKET_ROWS)))
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     rows = (
         counts.groupBy(by)
