@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.token_file import _BREAK
+from cellmetry.llm.token_file import _BREAK, short_words
 
-#: Words whose counts a Python worker keeps; it starts anew beyond them.
-MAX_SEEN = 600_000
+#: Words whose counts a Python worker keeps; beyond them the short ones.
+MAX_SEEN = 300_000
 #: Texts whose new pre-tokens make one trie.
 TEXTS = 500
 _SHIFT = 32  # counts of pre-tokens and of pieces travel as one number
@@ -98,7 +98,7 @@ class Counter:
     def texts(self, texts: list[str]) -> list[int]:
         """Both counts of whole texts."""
         if len(self.seen) > MAX_SEEN:
-            self.seen.clear()
+            self.seen = short_words(self.seen, MAX_SEEN // 2)
         seen = self.seen
         cut = [t.split(" ") for t in texts]
         new = set().union(*cut).difference(seen)

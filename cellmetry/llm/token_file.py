@@ -27,14 +27,20 @@ from cellmetry.session import cut_lineage, shared_folder
 
 SEQUENCE = 2048
 BATCH = 256
-#: Words whose ids a Python worker keeps; it starts anew beyond them.
-CACHE = 1_000_000
+#: Words whose ids a Python worker keeps; beyond them the short ones, which are the frequent.
+CACHE, SHORT = 300_000, 7
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = "shard long, tokens string, documents string, n_tokens long, n_docs long"
 
 
+def short_words(seen: dict, most: int) -> dict:
+    """The short words of a full cache, none of them where they are too many."""
+    kept = {w: v for w, v in seen.items() if len(w) <= SHORT}
+    return kept if len(kept) <= most else {}
+
+
 class CachedEncoder:
     """Encodes texts word by word with a byte-level tokenizer, keeping words it has seen.
 
@@ -83,7 +89,7 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE:
-            self.seen.clear()
+            self.seen = short_words(self.seen, CACHE // 2)
         cut = [t.split(" ") for t in texts]
         self._learn(set().union(*cut).difference(self.seen))
         out = []
