@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.token_file import _BREAK, short_words
+from cellmetry.llm.token_file import _BREAK, met_again
 
-#: Words whose counts a Python worker keeps; beyond them the short ones.
+#: Words whose counts a Python worker keeps; beyond them those met again.
 MAX_SEEN = 300_000
 #: Texts whose new pre-tokens make one trie.
 TEXTS = 500
@@ -87,6 +87,7 @@ class Counter:
     def __init__(self, ranks: str, pattern: str) -> None:
         self.trie, self.split = UnigramTrie(read_ranks(ranks)), regex.compile(pattern).findall
         self.seen: dict[str, int | None] = {}
+        self.again: set[str] = set()
 
     def pieces(self, pieces: list[str]) -> dict[str, int]:
         """Both counts of pieces of text, through one trie of their pre-tokens."""
@@ -98,10 +99,12 @@ class Counter:
     def texts(self, texts: list[str]) -> list[int]:
         """Both counts of whole texts."""
         if len(self.seen) > MAX_SEEN:
-            self.seen = short_words(self.seen, MAX_SEEN // 2)
+            self.seen, self.again = met_again(self.seen, self.again, MAX_SEEN // 2), set()
         seen = self.seen
         cut = [t.split(" ") for t in texts]
-        new = set().union(*cut).difference(seen)
+        met = set().union(*cut)
+        new = met.difference(seen)
+        self.again |= met - new
         odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
         found = self.pieces([" " + w for w in new - odd])
         seen.update((p[1:], c) for p, c in found.items())

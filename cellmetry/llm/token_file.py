@@ -27,18 +27,17 @@ from cellmetry.session import cut_lineage, shared_folder
 
 SEQUENCE = 2048
 BATCH = 256
-#: Words whose ids a Python worker keeps; beyond them the short ones, which are the frequent.
-CACHE, SHORT = 300_000, 7
+#: Words whose ids a Python worker keeps; beyond them only those it has met again.
+CACHE = 300_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = "shard long, tokens string, documents string, n_tokens long, n_docs long"
 
 
-def short_words(seen: dict, most: int) -> dict:
-    """The short words of a full cache, none of them where they are too many."""
-    kept = {w: v for w, v in seen.items() if len(w) <= SHORT}
-    return kept if len(kept) <= most else {}
+def met_again(seen: dict, again: set[str], most: int) -> dict:
+    """The words of a full cache that were met more than once, none where they are too many."""
+    return {w: seen[w] for w in again} if len(again) <= most else {}
 
 
 class CachedEncoder:
@@ -61,6 +60,7 @@ class CachedEncoder:
         for piece, i in vocabulary.items():  # a byte-level piece has a character per byte
             self.width[i] = len(piece)
         self.seen: dict[str, bytes | None] = {}
+        self.again: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -89,9 +89,12 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.seen) > CACHE:
-            self.seen = short_words(self.seen, CACHE // 2)
+            self.seen, self.again = met_again(self.seen, self.again, CACHE // 2), set()
         cut = [t.split(" ") for t in texts]
-        self._learn(set().union(*cut).difference(self.seen))
+        words = set().union(*cut)
+        new = words.difference(self.seen)
+        self.again |= words - new
+        self._learn(new)
         out = []
         for text, words in zip(texts, cut):
             try:
