@@ -27,19 +27,14 @@ from cellmetry.session import cut_lineage, shared_folder
 
 SEQUENCE = 2048
 BATCH = 256
-#: Words whose ids a Python worker keeps; beyond them only those it has met again.
-CACHE = 300_000
+#: Words whose ids a Python worker keeps, about 120 bytes each; it starts anew beyond them.
+CACHE = 1_000_000
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"^ | $|\s | \s")
 _INDEX = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = "shard long, tokens string, documents string, n_tokens long, n_docs long"
 
 
-def met_again(seen: dict, again: set[str], most: int) -> dict:
-    """The words of a full cache that were met more than once, none where they are too many."""
-    return {w: seen[w] for w in again} if len(again) <= most else {}
-
-
 class CachedEncoder:
     """Encodes texts word by word with a byte-level tokenizer, keeping words it has seen.
 
@@ -49,7 +44,8 @@ class CachedEncoder:
     text, and told apart by the bytes that their ids stand for.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        self.cache = cache
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -60,7 +56,6 @@ class CachedEncoder:
         for piece, i in vocabulary.items():  # a byte-level piece has a character per byte
             self.width[i] = len(piece)
         self.seen: dict[str, bytes | None] = {}
-        self.again: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -88,13 +83,10 @@ class CachedEncoder:
                 at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > CACHE:
-            self.seen, self.again = met_again(self.seen, self.again, CACHE // 2), set()
+        if len(self.seen) > self.cache:
+            self.seen.clear()
         cut = [t.split(" ") for t in texts]
-        words = set().union(*cut)
-        new = words.difference(self.seen)
-        self.again |= words - new
-        self._learn(new)
+        self._learn(set().union(*cut).difference(self.seen))
         out = []
         for text, words in zip(texts, cut):
             try:
@@ -111,9 +103,9 @@ class CachedEncoder:
 
 
 @cache
-def task_encoder(path: str) -> CachedEncoder:
+def task_encoder(path: str, cache: int) -> CachedEncoder:
     """The encoder of this Python worker, shared by the tasks that it runs."""
-    return CachedEncoder(path)
+    return CachedEncoder(path, cache)
 
 
 class _ShardWriter:
@@ -188,13 +180,15 @@ def write_tokens(
     sequence: int = SEQUENCE,
     batch: int = BATCH,
     docs_per_shard: int = 10_000,
+    cache: int = CACHE,
 ) -> DataFrame:
     """Write the documents in ascending doc_id and return the manifest, a row per shard.
 
     Shards are in the order of the ids: (shard, tokens, documents, n_tokens, n_docs), the
     two names being files.  Null and empty texts are written as the end id alone.  Rows
     without an id come first; rows of equal id are in the order of their texts.  An
-    empty table gives an empty manifest.  Other columns are ignored.
+    empty table gives an empty manifest.  Other columns are ignored.  ``cache`` bounds the
+    words kept per Python worker; it changes time and memory only.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
@@ -209,7 +203,7 @@ def write_tokens(
                 continue
             if writer is None:
                 shard = rows.column(2)[0].as_py()
-                encoder = task_encoder(tokenizer)
+                encoder = task_encoder(tokenizer, cache)
                 writer = _ShardWriter(folder, shard, encoder.dtype, sequence, batch)
                 listed = Output(folder, f"documents-{shard:08d}", ".arrow")
                 index, n_docs = pa.ipc.new_file(listed.stream, _INDEX), 0

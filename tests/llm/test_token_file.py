@@ -39,9 +39,8 @@ def test_pieces_give_the_ids_of_the_whole_text(text):
     assert token_file.CachedEncoder(PATH).encode([text])[0].tolist() == whole
 
 
-def test_a_small_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(token_file, "CACHE", 4)
-    encoder, whole = token_file.CachedEncoder(PATH), Tokenizer.from_file(PATH)
+def test_a_small_cache_changes_nothing():
+    encoder, whole = token_file.CachedEncoder(PATH, 4), Tokenizer.from_file(PATH)
     for text in ("one two three", "two three four five", "two six", "three  two one", "two two seven"):
         ids = whole.encode(text, add_special_tokens=False).ids
         assert encoder.encode([text, "two"])[0].tolist() == ids
