@@ -47,6 +47,36 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     return docs.join(listed, docs[id_col].eqNullSafe(F.col("__listed_id")), "left_anti")
 
 
+def text_hash() -> Column:
+    """Beside the id it names a text: rows of one id may hold different texts."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _with_texts(docs: DataFrame, texts: DataFrame, how: str) -> DataFrame:
+    listed = cut_lineage(
+        texts.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    )
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (
+        F.xxhash64(docs["text"].cast("string")) == F.col("__hash")
+    )
+    return docs.join(small_side(listed, listed.count()), same, how)
+
+
+def keep_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, text_hash) is listed; all columns of docs stay."""
+    return _with_texts(docs, texts, "left_semi")
+
+
+def drop_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of docs whose (doc_id, text_hash) is not listed; all columns of docs stay."""
+    return _with_texts(docs, texts, "left_anti")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One of the rows of each (doc_id, text); they are equal but for other columns."""
+    return docs.withColumn("__hash", text_hash()).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Links (u, v) to (node, component), the component named by its smallest node.
 

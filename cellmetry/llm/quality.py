@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.common import WORD, crc_remainder, drop_ids
+from cellmetry.llm.common import WORD, crc_remainder, drop_texts, text_hash
 from cellmetry.session import cut_lineage
 
 #: Labelled rows the model is fitted on, at most: those of smallest hash of the id.
@@ -205,8 +205,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     return fit_additive(x, np.array([r["y"] for r in rows], float))
 
 
-def quality_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5).
+def quality_scores(docs: DataFrame, model: AdditiveModel, *keep: Column) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= 0.5), *keep.
 
     Null texts count as empty; empty texts have a score like any other.  Null ids are kept
     and count as the empty text in the fold.  Repeated rows get equal scores.  Other columns
@@ -217,6 +217,7 @@ def quality_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         "doc_id",
         (crc_remainder("doc_id", 3) == 1).alias("held_out"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *keep,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,24 +226,23 @@ def quality_scores(docs: DataFrame, model: AdditiveModel) -> DataFrame:
             x = np.array(found, float).reshape(len(found), len(FEATURES))
             score = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
+                [*batch.columns[:2], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), *batch.columns[3:]],
+                names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]],
             )
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    kept = "".join(f", {name} {type_}" for name, type_ in rows.dtypes[3:])
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int{kept}")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject; all columns stay.
 
     The model is fitted on docs and labels.  Without any usable label nothing is rejected.
-    Rows without an id cannot be named and stay; a repeated id goes only if all its
-    texts are rejected.
+    Rows without an id cannot be named and stay; of a repeated id the rejected texts go.
     """
-    scores = quality_scores(docs, train_quality(docs, labels)).where("doc_id IS NOT NULL")
-    judged = scores.groupBy("doc_id").agg(F.max("predicted").alias("good"))
-    return drop_ids(docs, judged.where("good = 0").select("doc_id"))
+    scores = quality_scores(docs, train_quality(docs, labels), text_hash().alias("text_hash"))
+    return drop_texts(docs, scores.where("doc_id IS NOT NULL AND predicted = 0"))
 
 
 def held_out_accuracy(scores: DataFrame, labels: DataFrame, label: str) -> DataFrame:

@@ -23,10 +23,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.llm.common import LOWER_ASCII, WORD, components, drop_ids, keep_ids
+from cellmetry.llm.common import (
+    LOWER_ASCII,
+    WORD,
+    components,
+    drop_texts,
+    keep_texts,
+    one_row_each,
+    text_hash,
+)
 from cellmetry.session import cut_lineage
 
 #: Segments as (lowest bit, bits).
@@ -123,8 +131,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(packed.tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row of docs; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *keep: Column) -> DataFrame:
+    """(doc_id, fp, *keep) for every row of docs; fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,11 +140,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 [fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]],
+                names=["doc_id", "fp", *batch.schema.names[2:]],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    kept = "".join(f", {name} {kind}" for name, kind in rows.dtypes[2:])
+    return rows.mapInArrow(run, f"doc_id long, fp long{kept}")
 
 
 def fingerprint_links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -172,6 +182,15 @@ def fingerprint_links(prints: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
+def _placed(prints: DataFrame, most: int) -> DataFrame:
+    """(fp, first_id, group) for the fingerprints of the rows (doc_id, fp)."""
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = components(fingerprint_links(nodes, most))
+    return nodes.join(named, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("group")
+    )
+
+
 def simhash_groups(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -182,11 +201,7 @@ def simhash_groups(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFram
     docs are ignored; an empty table gives an empty result.
     """
     rows = cut_lineage(fingerprints(docs, shingle))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    named = components(fingerprint_links(nodes, most))
-    placed = nodes.join(named, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("group")
-    )
+    placed = _placed(rows, most)
     first = placed.groupBy("group").agg(F.min("first_id").alias("component_id"))
     groups = cut_lineage(placed.join(first, "group").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -196,15 +211,17 @@ def simhash_groups(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFram
 def near_duplicates_removed(docs: DataFrame, most: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of docs without near-duplicates: one document stays of each component.
 
-    It is the one of smallest doc_id, and one row of it where the id is repeated.  Rows
-    without an id cannot be named and all stay.
+    It is the one of smallest (doc_id, hash of the text), and one row of it where it is
+    repeated; an id that is repeated with another text is judged as a document of its own.
+    Rows without an id cannot be named and all stay.
     """
-    groups = simhash_groups(docs.where("doc_id IS NOT NULL"), most, shingle)
-    judged = cut_lineage(
-        groups.groupBy("doc_id").agg(
-            F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")
-        )
-    )
-    once = drop_ids(docs, judged.where("NOT stays OR n > 1").select("doc_id"))
-    again = keep_ids(docs, judged.where("stays AND n > 1").select("doc_id"))
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    named = docs.where("doc_id IS NOT NULL")
+    rows = cut_lineage(fingerprints(named, shingle, text_hash().alias("text_hash")))
+    texts = rows.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    texts = cut_lineage(texts.join(_placed(rows, most).select("fp", "group"), "fp"))
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    stays = (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")
+    judged = cut_lineage(texts.join(first, "group").select("doc_id", "text_hash", "n", stays))
+    once = drop_texts(docs, judged.where("NOT stays OR n > 1"))
+    again = keep_texts(docs, judged.where("stays AND n > 1"))
+    return once.unionByName(one_row_each(again))

@@ -114,3 +114,13 @@ def test_edges_of_the_input(spark):
     assert near_copies.near_copies_removed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         near_copies.near_copies_removed(docs, 0.7)
+
+
+def test_repeated_id_with_other_text(spark, vocabulary):
+    ship(spark)
+    rng = random.Random(6)
+    one, two, three = (" ".join(rng.choices(vocabulary, k=60)) for _ in range(3))
+    rows = [(1, one), (7, two), (7, one), (7, three), (7, three), (9, two)]
+    for removed in (near_copies.near_copies_removed, simhash.near_duplicates_removed):
+        kept = removed(docs_frame(spark, rows)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (7, two), (7, three)])

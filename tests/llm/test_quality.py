@@ -56,3 +56,15 @@ def test_edges_of_the_input(spark):
     assert quality.good_documents(odd, nothing).count() == len(rows)
     null = spark.createDataFrame([(None, 1, 0), (1, None, None), (2, 7, 0)], labels.schema)
     assert quality.good_documents(odd, null).columns == odd.columns
+
+
+def test_rejected_text_of_a_repeated_id_goes(spark):
+    ship(spark)
+    docs, labels = (spark.read.parquet(f"{SF01}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train_quality(docs, labels)
+    scored = quality.quality_scores(docs, model).collect()
+    bad = next(r.doc_id for r in scored if not r.predicted)
+    good = next(r.doc_id for r in scored if r.predicted and r.held_out)  # never trained on
+    again = docs.where(F.col("doc_id") == bad).withColumn("doc_id", F.lit(good))
+    kept = quality.good_documents(docs.union(again), labels).where(F.col("doc_id") == good)
+    assert [r.text for r in kept.collect()] == [docs.where(F.col("doc_id") == good).first().text]
