@@ -7,6 +7,9 @@ lag one.  The three p-values are combined (Cauchy), and within each stratum of l
 the Benjamini-Hochberg procedure over all tokens of the corpus decides which of them are
 not random.  What it does not reject is reported as kind ``random``.
 
+A token that mixes '+' or '/' with '_' or '-' is in no encoding: its parts between '+' and '/' and
+its parts between '_' and '-' are tested instead, and both may be reported.
+
 All of it is DataFrame and SQL functions on the row of the document; only counts per
 stratum and p-value class are shuffled.
 """
@@ -25,8 +28,11 @@ ASSIGN = (
 )
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
-#: Tokens that are tested: 20 characters or more with a letter and a digit among them.
-TOKEN = "(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that are tested: 20 characters or more with a letter and a digit among them; '=' only
+#: pads the end, so that names and values are tokens of their own.
+TOKEN = (
+    "(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
+)
 MIN_ASSIGNED = 8
 #: Lower ends of the strata of lengths.
 STRATA = (20, 24, 32, 48, 64, 128)
@@ -72,6 +78,16 @@ def _placed(kind: str) -> str:
       acc -> acc.spans)"""
 
 
+def _parts(separators: str) -> str:
+    """SQL for the parts of a token c that are tokens too, with their places."""
+    return f"""filter(aggregate(
+      split(c.t, '{separators}', -1),
+      named_struct('at', c.s, 'out', CAST(array() AS array<struct<s:int,e:int,t:string>>)),
+      (acc, x) -> named_struct('at', acc.at + length(x) + 1, 'out', concat(acc.out,
+        array(named_struct('s', acc.at, 'e', acc.at + length(x), 't', x)))),
+      acc -> acc.out), x -> x.t RLIKE '^{TOKEN}$')"""
+
+
 def _tail(z: str) -> str:
     """SQL for the upper tail of the normal distribution (logistic approximation)."""
     return f"(1 / (1 + exp(least(700D, 1.5976 * {z} + 0.070565992 * {z} * {z} * {z}))))"
@@ -182,6 +198,11 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
         F.expr(f"array_sort(concat({', '.join(ranked)}))").alias("base"),
         F.expr("transform(p_random, (x, i) -> named_struct('s', x.s, 'e', x.e, 't', m_random[i]))").alias("tokens"),
     )
+    mixed = "c.t RLIKE '[+/]' AND c.t RLIKE '[_-]'"
+    parts = f"concat({_parts('[+/]')}, {_parts('[_-]')})"
+    based = based.withColumn(
+        "tokens", F.expr(f"flatten(transform(tokens, c -> IF({mixed}, {parts}, array(c))))")
+    )
     free = based.withColumn(
         "tokens", F.expr("filter(tokens, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))")
     )

@@ -125,3 +125,17 @@ def test_edges_and_plan(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_names_and_mixed_separators(spark):
+    value, slashed = "9fK3LmQ0zXc81VbNrT5yPq27", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    wanted = [
+        (f"session={value}", value), (f"?sig={value}", value), (f"AWS_SECRET_ACCESS_KEY={slashed}", slashed),
+        (f"SESSION_KEY_1={value}&x=1", value), (f"files/of_a/{value}", value), (f"my_key_{value}+q/", f"{value}+q/"),
+        (f"auth: {value}==", f"{value}=="), (f"password=abcdefgh1&sig={value}", value),
+    ]
+    docs = docs_frame(spark, [(i, f"see {t} é") for i, (t, _) in enumerate(wanted)])
+    for r in secrets.find_secrets(docs).collect():
+        text, token = f"see {wanted[r.doc_id][0]} é", wanted[r.doc_id][1]
+        start = text.index(token)
+        assert f"random:{start}:{start + len(token)}" in r.spans.split(","), (text, r.spans)
