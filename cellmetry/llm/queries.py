@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from cellmetry.llm import (
     decontaminate,
     hnsw,
+    merkle,
     mixing,
     quality,
     secrets,
     simhash,
+    spelling,
     token_counts,
     token_file,
     toxicity,
     warc,
+    word_table,
 )
 from cellmetry.llm.common import table
 
@@ -92,3 +95,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op11_word_table_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents")
+    return word_table.encode_documents(docs, path, word_table.digests, word_table.DIGESTS)
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
