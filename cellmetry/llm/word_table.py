@@ -1,7 +1,7 @@
 """BPE encoding through a table of distinct words, decoding through a join of ids to pieces.
 
 Texts are split where the tokenizer's own splitting always breaks: at ASCII white space and
-between an ASCII letter and some ASCII punctuation.  A block of documents keeps one number
+between a Latin letter and most ASCII punctuation.  A block of documents keeps one number
 per word of its texts in a file and lists its distinct words; the distinct words of
 all blocks are encoded once each.  Their ids, and the pieces that a join with the
 vocabulary gives for the ids, are joined back to the blocks, whose documents are put together
@@ -35,8 +35,8 @@ LISTED = 20_000
 _BLANKS = "\t\n\x0b\x0c\r"
 #: Between a letter and these marks a match of the splitting pattern always ends, and
 #: neither normalisation nor a special token reaches across.
-_CUT = re.compile(r"""(?<=[A-Za-z])(?=[,.;:!?)"])|(?<=[("])(?=[A-Za-z])""")
-_CODES = pa.schema([("doc_id", pa.int64()), ("codes", pa.list_(pa.uint32()))])
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"""[!"#$%&()*+,\-./:;=?@[\\\]^_`{}~]"""
+_CUT = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 _ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -59,7 +59,7 @@ class BlockWords(dict):
 
     def __missing__(self, piece: str) -> bytes:
         # Case is folded where that cannot change a composed letter or make a special token.
-        low = piece.lower() if piece.isascii() and "<|" not in piece else piece
+        low = piece.lower() if max(piece, default="") <= "\xff" and "<|" not in piece else piece
         words = self.words
         numbers = array("I", [words.setdefault(w, len(words)) for w in _CUT.split(low) if w])
         self[piece] = data = numbers.tobytes()
@@ -73,46 +73,64 @@ class BlockWords(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-class _BlockFile:
-    """Writes the documents of a block, a record batch after the other."""
+class _Block:
+    """Documents as numbers of words; the file is written when the block is closed."""
 
     def __init__(self, folder: str) -> None:
-        self.block = uuid.uuid4().int >> 65
-        self.out = Output(folder, f"block-{self.block:016x}", ".arrow")
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        self.writer = pa.ipc.new_file(self.out.stream, _CODES, options=options)
-        self.index, self.ids, self.codes = BlockWords(), [], []
-        self.held = self.total = 0
+        self.folder, self.index = folder, BlockWords()
+        self.ids, self.codes, self.total = [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
         codes = self.index.code(text)
         self.ids.append(doc_id)
         self.codes.append(codes)
-        self.held += len(codes) // 4
-        if self.held >= BATCH_WORDS or len(self.ids) >= BATCH_DOCS:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.ids:
-            ends = np.cumsum([0, *map(len, self.codes)]) // 4
-            flat = np.frombuffer(b"".join(self.codes), np.uint32)
-            codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            columns = [pa.array(self.ids, pa.int64()), codes]
-            self.writer.write_batch(pa.record_batch(columns, schema=_CODES))
-        self.total += self.held
-        self.ids, self.codes, self.held = [], [], 0
+        self.total += len(codes) // 4
+
+    def _parts(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of so many words and documents as a record batch may have."""
+        start = held = 0
+        for i, codes in enumerate(self.codes):
+            held += len(codes) // 4
+            if held >= BATCH_WORDS or i + 1 - start >= BATCH_DOCS:
+                yield start, i + 1
+                start, held = i + 1, 0
+        if start < len(self.codes):
+            yield start, len(self.codes)
 
     def close(self) -> Iterator[pa.RecordBatch]:
-        """Finish the file; its list of words, one row at least."""
-        self.flush()
-        self.writer.close()
-        self.out.stream.close()
+        """Write the file; list its words by falling frequency, in one row at least.
+
+        So the numbers of frequent words are small; each byte of a number has a column of its own.
+        """
         words = list(self.index.words)
+        counts = np.zeros(len(words), np.int64)
+        for codes in self.codes:
+            counts += np.bincount(np.frombuffer(codes, np.uint32), minlength=len(words))
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words))
+        planes = range(max(1, (len(words).bit_length() + 7) // 8))
+        schema = pa.schema(
+            [("doc_id", pa.int64()), *((f"byte_{k}", pa.list_(pa.uint8())) for k in planes)]
+        )
+        block = uuid.uuid4().int >> 65
+        out = Output(self.folder, f"block-{block:016x}", ".arrow")
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        with pa.ipc.new_file(out.stream, schema, options=options) as writer:
+            for a, b in self._parts():
+                codes = number[np.frombuffer(b"".join(self.codes[a:b]), np.uint32)]
+                ends = pa.array(np.cumsum([0, *map(len, self.codes[a:b])]) // 4, pa.int32())
+                bytes_ = [pa.array((codes >> np.uint32(8 * k)).astype(np.uint8)) for k in planes]
+                columns = [pa.ListArray.from_arrays(ends, x) for x in bytes_]
+                ids = pa.array(self.ids[a:b], pa.int64())
+                writer.write_batch(pa.record_batch([ids, *columns], schema=schema))
+        out.stream.close()
+        words = [words[i] for i in order.tolist()]
         for first in range(0, max(1, len(words)), LISTED):
             yield pa.RecordBatch.from_pydict(
                 {
-                    "block": pa.array([self.block], pa.int64()),
-                    "path": pa.array([self.out.path]),
+                    "block": pa.array([block], pa.int64()),
+                    "path": pa.array([out.path]),
                     "first": pa.array([first], pa.int32()),
                     "words": pa.array([words[first : first + LISTED]], pa.list_(pa.string())),
                 }
@@ -127,9 +145,9 @@ def code_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         block = None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block = block or _BlockFile(folder)
+                block = block or _Block(folder)
                 block.add(doc_id, text.as_py())
-                if block.total + block.held >= block_words:
+                if block.total >= block_words:
                     yield from block.close()
                     block = None
         if block is not None:
@@ -173,13 +191,10 @@ def decode_ids(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataF
     )
 
 
-def _documents(block: int, path: str, words: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(path: str, words: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, ids, decoded) of a block's documents from its words in their order."""
     table = pa.Table.from_batches(words)
     listed = table.column("ids").combine_chunks()
-    if len(table) == 1 and table.column("at")[0].as_py() is None:  # a block without words
-        listed = listed.slice(0, 0)
-        table = table.slice(0, 0)
     sizes = np.diff(listed.offsets.to_numpy()).astype(np.int64)
     starts = listed.offsets.to_numpy()[:-1].astype(np.int64)
     values = listed.values.to_numpy()
@@ -188,9 +203,10 @@ def _documents(block: int, path: str, words: list[pa.RecordBatch]) -> Iterator[p
     file = pa.ipc.open_file(open_input(path))
     for i in range(file.num_record_batches):
         part = file.get_batch(i)
-        codes = part.column(1)
-        numbers = codes.values.to_numpy()
-        ends = codes.offsets.to_numpy()
+        ends = part.column(1).offsets.to_numpy()
+        numbers = np.zeros(ends[-1], np.int64)
+        for k, column in enumerate(part.columns[1:]):
+            numbers |= column.values.to_numpy().astype(np.int64) << 8 * k
         many = sizes[numbers]
         after = np.concatenate([[0], np.cumsum(many)])
         ids = values[np.repeat(starts[numbers] - after[:-1], many) + np.arange(after[-1])]
@@ -222,10 +238,13 @@ def encode_documents(
     """
     blocks = code_blocks(docs, block_words)
     listed = blocks.select("block", "path", "first", F.posexplode_outer("words").alias("pos", "word"))
-    at = (F.col("first") + F.col("pos")).alias("at")
-    listed = listed.select("block", "path", at, "word")
+    at = F.col("first") + F.coalesce("pos", F.lit(0))
+    # The first word of a block, or the row that stands for none, brings the file's name.
+    path = F.when(at == 0, F.col("path")).alias("path")
+    listed = listed.select("block", path, at.alias("at"), "word")
     distinct = listed.where("word IS NOT NULL").select("word").distinct()
-    encoded = decode_ids(encode_words(distinct, tokenizer), tokenizer, "word")
+    # Dealt by word anew: the pieces of a word are then put together where they are.
+    encoded = decode_ids(encode_words(distinct, tokenizer).repartition("word"), tokenizer, "word")
     found = listed.join(encoded, "word", "left").select("block", "path", "at", "ids", "decoded")
     dealt = found.repartition("block").sortWithinPartitions("block", "at")
 
@@ -245,7 +264,7 @@ def encode_documents(
             yield from made(held)
 
     def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _documents(held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py(), held)
+        out = _documents(held[0].column(1)[0].as_py(), held)
         yield from out if finish is None else map(finish, out)
 
     return dealt.mapInArrow(run, schema)
