@@ -68,4 +68,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut_lineage`` that nothing will read again.
+
+    Only what is computed and written may have been made of them; others are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path is not None:
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
