@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmetry.session import cut_lineage
+from cellmetry.session import cut_lineage, discard
 
 # White space is the six ASCII characters; words are what lies between.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -106,8 +106,11 @@ def components(links: DataFrame) -> DataFrame:
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(near.select(F.col("n").alias("a"), F.col("m").alias("b")))
         )
-        edges = cut_lineage(small.distinct())
+        before, edges = edges, cut_lineage(small.distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            named = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            named._written_to = edges._written_to  # the caller may discard it
+            return named
         mark = now

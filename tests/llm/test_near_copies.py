@@ -124,3 +124,53 @@ def test_repeated_id_with_other_text(spark, vocabulary):
     for removed in (near_copies.near_copies_removed, simhash.near_duplicates_removed):
         kept = removed(docs_frame(spark, rows)).collect()
         assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, one), (7, two), (7, three)])
+
+
+def passage_pairs(spark, n, rng, vocabulary):
+    """Rows of n unlike texts around one passage, and the pairs that are compared at last."""
+    passage = " ".join(rng.choices(vocabulary, k=100))
+    rows = [(i, passage + " " + " ".join(rng.choices(vocabulary, k=60))) for i in range(n)]
+    rows += [(n + i, rows[i][1] + " extra") for i in range(20)]
+    sets = [near_copies.shingle_set(t) for _, t in rows]
+    held = [(i, [int(h) for h in s.view(np.int64)]) for i, s in enumerate(sets)]
+    nodes = [(i, len(s), i, True) for i, s in enumerate(sets)]
+    pairs = near_copies._by_prefix(
+        spark.createDataFrame(nodes, "node long, n int, group long, left boolean"),
+        spark.createDataFrame(held, "node long, hashes array<long>"),
+        0.8,
+    )
+    return rows, [(r.u, r.v) for r in pairs.collect()]
+
+
+def test_texts_around_one_passage_do_not_all_meet(spark, vocabulary):
+    ship(spark)
+    rng, found = random.Random(8), []
+    for n in (150, 300):
+        rows, pairs = passage_pairs(spark, n, rng, vocabulary)
+        assert {(i, n + i) for i in range(20)} <= set(pairs)
+        found.append(len(pairs))
+    assert found[1] < 60  # of 44,850
+    kept = near_copies.near_copies_removed(docs_frame(spark, rows))
+    assert kept_ids(kept) == brute_kept(rows) and kept.count() == 300
+
+
+def test_prefixes_lose_no_similar_pair(spark, vocabulary):
+    ship(spark)
+    rng = random.Random(9)
+    base = [rng.choices(vocabulary, k=rng.randint(6, 60)) for _ in range(60)]
+    rows = [(i, varied(w, rng.randint(0, 2), rng, vocabulary)) for i, w in enumerate(base * 4)]
+    sets = {i: near_copies.shingle_set(t) for i, t in rows}
+    nodes = [(i, len(s), i, True) for i, s in sets.items()]
+    held = [(i, [int(h) for h in s.view(np.int64)]) for i, s in sets.items()]
+    sets_df = spark.createDataFrame(held, "node long, hashes array<long>")
+    sets_df = sets_df.withColumn("n", F.size("hashes"))
+    nodes_df = spark.createDataFrame(nodes, "node long, n int, group long, left boolean")
+    pairs = near_copies._by_prefix(nodes_df, sets_df.drop("n"), 0.8)
+    got = {(r.u, r.v) for r in near_copies._verified(pairs, sets_df, 0.8).collect()}
+    want = set()
+    for i, a in sets.items():
+        for j in range(i):
+            both = len(np.intersect1d(a, sets[j]))
+            if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
+                want.add((j, i))
+    assert got == want and len(want) > 60
