@@ -102,8 +102,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = table(spark, sf_dir, "documents")
-    return word_table.encode_documents(docs, path, word_table.digests, word_table.DIGESTS)
+    return word_table.document_digests(table(spark, sf_dir, "documents"), path)
 
 
 @query("op12_spelling_variants")

@@ -1,12 +1,13 @@
-"""BPE encoding through a table of distinct words, decoding through a join of ids to pieces.
+"""BPE encoding through distinct words, decoding through a join of ids to pieces.
 
 Texts are split where the tokenizer's own splitting always breaks: at ASCII white space and
 between a Latin letter and most ASCII punctuation.  A block of documents keeps one number
-per word of its texts in a file and lists its distinct words; the distinct words of
-all blocks are encoded once each.  Their ids, and the pieces that a join with the
-vocabulary gives for the ids, are joined back to the blocks, whose documents are put together
-by the position of their words.  So neither texts nor the rows of single words are shuffled:
-a word is shuffled once per block that has it.
+per word of its texts in a file and lists its distinct words.  The lists of all blocks are
+dealt and sorted by word, so that each distinct word is encoded once; its ids go back to the
+blocks that have it, whose documents are put together by the position of their words.
+So neither texts nor the rows of single words are shuffled: a word is shuffled once per
+block that has it.  Ids are decoded through the table of the vocabulary's pieces, which is
+broadcast: it has one row per id, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ _BLANKS = "\t\n\x0b\x0c\r"
 #: neither normalisation nor a special token reaches across.
 _LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"""[!"#$%&()*+,\-./:;=?@[\\\]^_`{}~]"""
 _CUT = re.compile(f"(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
-_ENCODED = "doc_id long, ids array<int>, decoded string"
+_ENCODED = "doc_id long, ids array<int>"
 
 
 @cache
@@ -157,49 +160,123 @@ def code_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return cut_lineage(rows.mapInArrow(run, "block long, path string, first int, words array<string>"))
 
 
-def pieces(spark, tokenizer: str) -> DataFrame:
-    """(id, piece) of the vocabulary, special tokens included."""
-    known = _tokenizer(tokenizer).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame([(i, piece) for piece, i in known.items()], "id int, piece string")
+class Pieces:
+    """The vocabulary's pieces by id, for joins with lists of ids."""
+
+    def __init__(self, tokenizer: str) -> None:
+        known = _tokenizer(tokenizer).get_vocab(with_added_tokens=True)
+        self.by_id: list[str | None] = [None] * (max(known.values()) + 1)
+        for piece, i in known.items():
+            self.by_id[i] = piece
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids: pieces between single spaces, none for unknown ids."""
+        ids = lists.values.to_numpy(zero_copy_only=False)
+        known = (ids >= 0) & (ids < len(self.by_id))
+        ends = lists.offsets.to_numpy()
+        if not known.all():
+            ends = np.concatenate([[0], np.cumsum(known)])[ends]
+            ids = ids[known]
+        found = pa.array(self.by_id, pa.large_string()).take(pa.array(ids))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+        return pc.binary_join(listed, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
+def _listed(column: pa.Array) -> pa.ListArray:
+    """A column of lists as one whose values are its own, null lists empty."""
+    column = pc.fill_null(column, [])
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]), pa.int32()),
+        pc.list_flatten(column),
+    )
 
 
-def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids) for a column of distinct words."""
+def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids, decoded) for rows (doc_id, ids): the pieces of the ids, space between.
 
-    @F.arrow_udf("array<int>")
-    def ids(column: pa.Array) -> pa.Array:
-        found = _tokenizer(tokenizer).encode_batch_fast(column.to_pylist(), add_special_tokens=False)
-        return pa.array([e.ids for e in found], pa.list_(pa.int32()))
+    Null or no ids give an empty text, unknown ids have no piece.
+    """
+    pieces = encoded.sparkSession.sparkContext.broadcast(Pieces(tokenizer))
 
-    return words.select("word", ids("word").alias("ids"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(start, BATCH_DOCS)
+                texts = pieces.value.decode(_listed(part.column(1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=["doc_id", "ids", "decoded"])
 
+    rows = encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return rows.mapInArrow(run, f"{_ENCODED}, decoded string")
 
-def decode_ids(encoded: DataFrame, tokenizer: str, key: str = "doc_id") -> DataFrame:
-    """(key, ids, decoded) for rows (key, ids) of different keys: ids joined to their pieces.
 
-    Pieces stand between single spaces in the order of the ids; unknown ids have none.  Null
-    or no ids give an empty text.  The vocabulary is broadcast: it has a row per id.
-    """
-    listed = encoded.select(key, F.posexplode_outer("ids").alias("at", "id"))
-    named = listed.join(F.broadcast(pieces(encoded.sparkSession, tokenizer)), "id", "left")
-    ordered = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))))
-    rows = named.groupBy(key).agg(ordered.alias("found"))
-    return rows.select(
-        key,
-        F.transform("found", lambda x: x["id"]).alias("ids"),
-        F.array_join(F.transform("found", lambda x: x["piece"]), " ").alias("decoded"),
-    )
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The batches joined to larger ones, so that a block's words in one are more."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _documents(path: str, words: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, ids, decoded) of a block's documents from its words in their order."""
-    table = pa.Table.from_batches(words)
-    listed = table.column("ids").combine_chunks()
-    sizes = np.diff(listed.offsets.to_numpy()).astype(np.int64)
-    starts = listed.offsets.to_numpy()[:-1].astype(np.int64)
-    values = listed.values.to_numpy()
-    texts = table.column("decoded").to_numpy()
-    blank = bool((sizes == 0).any())
+def encode_lists(listed: DataFrame, tokenizer: str) -> DataFrame:
+    """(block, path, at, sizes, ids) for rows (block, path, at, word) that are sorted by word.
+
+    A word's ids are found once for all rows of it.  The words of one block in a batch
+    are one row: their places, numbers of ids and ids as little-endian integers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _tokenizer(tokenizer).encode_batch_fast
+        last: tuple[str, list[int]] | None = None
+        for batch in _gathered(batches):
+            runs = pc.run_end_encode(batch.column(3))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            known = last is not None and words[0] == last[0]
+            made = encode([w or "" for w in words[known:]], add_special_tokens=False)
+            found = ([last[1]] if known else []) + [e.ids for e in made]
+            last = words[-1], found[-1]
+            flat = np.array([i for ids in found for i in ids], "<u4")
+            many = np.array([len(ids) for ids in found], np.int64)
+            word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+            blocks = batch.column(0).to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            cuts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+            at, path = batch.column(2).to_numpy()[order].astype("<i4"), batch.column(1)
+            word = word[order]
+            first = np.cumsum(many) - many
+            out: list[tuple] = []
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                own = word[a:b]
+                named = [p for p in path.take(pa.array(order[a:b])).drop_null().to_pylist()]
+                ids = flat[_spans(first[own], many[own])]
+                sizes = many[own].astype("<u4")
+                out.append((int(blocks[order[a]]), named[0] if named else None, at[a:b].tobytes(), sizes.tobytes(), ids.tobytes()))
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "path", "at", "sizes", "ids"])
+
+    return listed.mapInArrow(run, "block long, path string, at binary, sizes binary, ids binary")
+
+
+def _documents(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of a block's documents from the encoded words (path, at, sizes, ids)."""
+    path = next(p[0] for p in parts if p[0] is not None)
+    at, many, values = (
+        np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in ((1, "<i4"), (2, "<u4"), (3, "<u4"))
+    )
+    sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    sizes[at] = many
+    starts[at] = np.cumsum(many) - many
     file = pa.ipc.open_file(open_input(path))
     for i in range(file.num_record_batches):
         part = file.get_batch(i)
@@ -207,18 +284,10 @@ def _documents(path: str, words: list[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         numbers = np.zeros(ends[-1], np.int64)
         for k, column in enumerate(part.columns[1:]):
             numbers |= column.values.to_numpy().astype(np.int64) << 8 * k
-        many = sizes[numbers]
-        after = np.concatenate([[0], np.cumsum(many)])
-        ids = values[np.repeat(starts[numbers] - after[:-1], many) + np.arange(after[-1])]
-        named = texts[numbers]
-        if blank:
-            decoded = [" ".join(filter(None, named[a:b])) for a, b in zip(ends, ends[1:])]
-        else:
-            decoded = [" ".join(named[a:b]) for a, b in zip(ends, ends[1:])]
-        lists = pa.ListArray.from_arrays(pa.array(after[ends], pa.int32()), pa.array(ids, pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"]
-        )
+        after = np.concatenate([[0], np.cumsum(sizes[numbers])])
+        ids = values[_spans(starts[numbers], sizes[numbers])]
+        lists = pa.ListArray.from_arrays(pa.array(after[ends], pa.int32()), pa.array(ids.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
 
 def encode_documents(
@@ -228,7 +297,7 @@ def encode_documents(
     schema: str = _ENCODED,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, ids and the text that the ids decode to.
+    """One row per row of docs: doc_id and ids.
 
     Ids are those of the tokenizers library for the whole text without added special tokens.
     ``finish`` may turn these record batches into others of the given schema where they
@@ -242,47 +311,44 @@ def encode_documents(
     # The first word of a block, or the row that stands for none, brings the file's name.
     path = F.when(at == 0, F.col("path")).alias("path")
     listed = listed.select("block", path, at.alias("at"), "word")
-    distinct = listed.where("word IS NOT NULL").select("word").distinct()
-    # Dealt by word anew: the pieces of a word are then put together where they are.
-    encoded = decode_ids(encode_words(distinct, tokenizer).repartition("word"), tokenizer, "word")
-    found = listed.join(encoded, "word", "left").select("block", "path", "at", "ids", "decoded")
-    dealt = found.repartition("block").sortWithinPartitions("block", "at")
+    encoded = encode_lists(listed.repartition("word").sortWithinPartitions("word"), tokenizer)
+    dealt = encoded.repartition("block").sortWithinPartitions("block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        block, held = None, []
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and held[0].column(0)[0].as_py() != int(blocks[a]):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != block:
                     yield from made(held)
                     held = []
-                held.append(batch.slice(a, b - a))
+                block = row[0]
+                held.append(row[1:])
         if held:
             yield from made(held)
 
-    def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _documents(held[0].column(1)[0].as_py(), held)
+    def made(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = _documents(held)
         yield from out if finish is None else map(finish, out)
 
     return dealt.mapInArrow(run, schema)
 
 
-#: Schema of ``digests``.
+#: Schema of the digests.
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Number of ids, and SHA-256 of the ids as little-endian 32-bit numbers and of the text."""
-    from hashlib import sha256
+def document_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Number of ids, and SHA-256 of the ids as little-endian 32-bit numbers and of their text."""
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces(tokenizer))
 
-    lists = batch.column(1)
-    ids, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-    each = [sha256(ids[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
-    texts = [sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(each), pa.array(texts)],
-        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-    )
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        ids, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+        each = [sha256(ids[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+        texts = [sha256(t.as_buffer()).hexdigest() for t in pieces.value.decode(lists)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(each), pa.array(texts)],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        )
+
+    return encode_documents(docs, tokenizer, digests, DIGESTS)

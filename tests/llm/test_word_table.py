@@ -55,7 +55,8 @@ def test_edges(spark, block_words):
     rows = [(None, "no id"), (1, None), (2, ""), (3, " \n "), (4, "\u0085 a \u0085"), (5, "same"), (5, "same")]
     rows += [(6, "word, " * 100_000), (7, "z" * 20_000)] + [(10 + i, t) for i, t in enumerate(ODD)]
     docs = docs_frame(spark, rows).selectExpr("*", "1 AS block", "'p' AS path", "2 AS at", "'w' AS word", "3 AS ids")
-    got = word_table.encode_documents(docs, PATH, block_words=block_words).collect()
+    encoded = word_table.encode_documents(docs, PATH, block_words=block_words)
+    got = word_table.decode_ids(encoded, PATH).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     want = sorted(((i, *whole(t)) for i, t in rows), key=key)
     assert [tuple(r) for r in sorted(got, key=key)] == want
@@ -65,7 +66,7 @@ def test_empty_tables(spark):
     ship(spark)
     assert word_table.encode_documents(docs_frame(spark, []), PATH).count() == 0
     got = word_table.encode_documents(docs_frame(spark, [(1, ""), (2, None)]), PATH).collect()
-    assert sorted(map(tuple, got)) == [(1, [], ""), (2, [], "")]
+    assert sorted(map(tuple, got)) == [(1, []), (2, [])]
 
 
 def test_decode_of_given_ids(spark):
