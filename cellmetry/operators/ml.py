@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from functools import partial
 from itertools import combinations
-from math import isqrt
+from math import exp, factorial, isqrt
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.operators import evaluate
+from cellmetry.operators import evaluate, trees
 from cellmetry.operators.splits import holdout_split, kfold_expand, stratified_kfold
 from cellmetry.operators.stats import minmax_scale, standard_scale
 from cellmetry.operators.tiles import by_task
+from cellmetry.session import cut_lineage
 
 BLOCK = 512  # fewest points per block in the exact silhouette
 PIECE = 512  # points on either side of one array operation
@@ -256,9 +255,20 @@ def silhouette_squared(df: DataFrame, label: str, features: list[str]) -> DataFr
     return df.sparkSession.createDataFrame([(float(value),)], "silhouette double")
 
 
-def _weighted(train: DataFrame, n_classes: int) -> DataFrame:
-    weights = evaluate.class_weights(train, n_classes)
-    return train.join(F.broadcast(weights), "label")  # one row per class
+#: How the trees of the registered models grow, and how far they are pruned.
+TREE, TREE_ALPHA = trees.Growth("entropy", depth=7, leaf_rows=10, tried=4), 0.019
+FOREST, FOREST_ALPHA, FOREST_TREES = trees.Growth("entropy", depth=10, tried=4), 0.01, 10
+FOLD_CLASSES = trees.Growth("gini", leaf_share=0.1)
+FOLD_VALUES = trees.Growth("variance", leaf_share=0.1, balanced=False)
+#: Shares of rows that are drawn at most 0, 1, ... times when as many are drawn as there are.
+DRAWN = [sum(exp(-1) / factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def draws(key: Column, tree: Column) -> Column:
+    """How often a tree's sample has a row: a hash in place of a draw with replacement."""
+    digits = F.substring(F.md5(F.concat(key.cast("string"), F.lit("|"), tree.cast("string"))), 1, 8)
+    at = F.conv(digits, 16, 10).cast("double") / float(1 << 32)
+    return sum((F.when(at >= share, 1).otherwise(0) for share in DRAWN), F.lit(0)).cast("bigint")
 
 
 def _report(predicted: DataFrame, n_classes: int, part: str) -> DataFrame:
@@ -266,14 +276,18 @@ def _report(predicted: DataFrame, n_classes: int, part: str) -> DataFrame:
     return evaluate.classification_report(confusion).withColumn("part", F.lit(part))
 
 
-def _train_and_score(df, features, key, n_classes, learner, test):
-    """Fit on the train part; reports on both parts and the model."""
-    parts = assemble(holdout_split(df, key, test=test), features).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    train, held = parts.filter("part = 'train'"), parts.filter("part = 'test'")
-    model = learner.fit(_weighted(train, n_classes))
-    scored = model.transform(parts).withColumn("prediction", F.col("prediction").cast("bigint"))
+def _train_and_score(df, features, key, n_classes, growth, alpha, number, test):
+    """Grow and prune on the train part; reports on both parts and the trees."""
+    parts = holdout_split(df, key, test=test)
+    rows = cut_lineage(trees.table(parts, features, F.col(key).alias("_key"), "part"))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+    placed = rows.withColumn("tree", numbers)
+    copies = draws(F.col("_key"), F.col("tree")) if number > 1 else F.lit(1).cast("bigint")
+    train = placed.where("part = 'train'").withColumn("copies", copies)
+    grown = trees.grow(train, features, n_classes, growth)
+    model = trees.pruned(grown, alpha)
+    named = trees.predict(placed, model, n_classes, ["_key", "part", "label"])
+    scored = cut_lineage(named.select("part", F.col("label").cast("bigint"), "prediction"))
     report = _report(scored.filter("part = 'train'"), n_classes, "train").unionByName(
         _report(scored.filter("part = 'test'"), n_classes, "test")
     )
@@ -281,47 +295,32 @@ def _train_and_score(df, features, key, n_classes, learner, test):
 
 
 def decision_tree(
-    df: DataFrame, features: list[str], key: str, n_classes: int = 4, test: float = 0.3
-) -> tuple[object, DataFrame]:
-    """Entropy tree of depth 7, leaf 10, a root share of features per split, balanced.
-
-    A forest of one tree without resampling, since a plain tree looks at all features.
-    """
-    learner = RandomForestClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="weight",
-        impurity="entropy",
-        numTrees=1,
-        bootstrap=False,
-        featureSubsetStrategy="sqrt",
-        maxDepth=7,
-        minInstancesPerNode=10,
-        seed=0,
-    )
-    return _train_and_score(df, features, key, n_classes, learner, test)
+    df: DataFrame,
+    features: list[str],
+    key: str,
+    n_classes: int = 4,
+    test: float = 0.3,
+    alpha: float = TREE_ALPHA,
+) -> tuple[trees.Trees, DataFrame]:
+    """Entropy tree of depth 7, leaf 10, four features tried per split, balanced, pruned."""
+    return _train_and_score(df, features, key, n_classes, TREE, alpha, 1, test)
 
 
 def random_forest(
-    df: DataFrame, features: list[str], key: str, n_classes: int = 4, test: float = 0.3
-) -> tuple[object, DataFrame]:
-    """Ten entropy trees of depth 10 with balanced class weights."""
-    learner = RandomForestClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="weight",
-        impurity="entropy",
-        numTrees=10,
-        featureSubsetStrategy="sqrt",
-        maxDepth=10,
-        seed=0,
-    )
-    return _train_and_score(df, features, key, n_classes, learner, test)
+    df: DataFrame,
+    features: list[str],
+    key: str,
+    n_classes: int = 4,
+    test: float = 0.3,
+    alpha: float = FOREST_ALPHA,
+) -> tuple[trees.Trees, DataFrame]:
+    """Ten entropy trees of depth 10 with balanced class weights, pruned."""
+    return _train_and_score(df, features, key, n_classes, FOREST, alpha, FOREST_TREES, test)
 
 
-def feature_importance(df: DataFrame, model, features: list[str]) -> DataFrame:
+def feature_importance(df: DataFrame, model: trees.Trees, features: list[str]) -> DataFrame:
     """Features by falling importance."""
-    rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+    rows = [(f, float(v)) for f, v in trees.importances(model) if f in features]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -334,47 +333,18 @@ def fold_models(
     k: int = 5,
     n_classes: int = 4,
     task: str = "classification",
-) -> tuple[DataFrame, list]:
-    """One tree per fold with leaves of at least a tenth of the weight.
+) -> tuple[DataFrame, trees.Trees]:
+    """One tree per fold with leaves of at least a tenth of the rows.
 
-    Returns the (round, part) table of all folds and the models in fold order.
+    Returns the (tree, part, label, values) table of all folds and the trees, numbered
+    by fold.
     """
-    folded = assemble(stratified_kfold(df, key, k=k), features).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    rounds = kfold_expand(folded, k)
-
-    def fit(fold: int):
-        train = folded.filter(F.col("fold") != fold)
-        if task == "classification":
-            learner = DecisionTreeClassifier(
-                featuresCol="vector",
-                labelCol="label",
-                weightCol="weight",
-                minWeightFractionPerNode=0.1,
-                seed=0,
-            )
-            train = _weighted(train, n_classes)
-        else:
-            learner = DecisionTreeRegressor(
-                featuresCol="vector", labelCol="label", minWeightFractionPerNode=0.1, seed=0
-            )
-        return learner.fit(train)
-
-    return rounds, _side_by_side([partial(fit, fold) for fold in range(k)])
-
-
-def _scored_folds(rounds: DataFrame, models: list, name: str) -> DataFrame:
-    scored = [
-        model.setPredictionCol(name)
-        .transform(rounds.filter(F.col("round") == fold))
-        .select("round", "part", "label", name)
-        for fold, model in enumerate(models)
-    ]
-    out = scored[0]
-    for other in scored[1:]:
-        out = out.unionByName(other)
-    return out
+    rounds = kfold_expand(stratified_kfold(df, key, k=k), k)
+    rows = trees.table(rounds, features, F.col(key).alias("_key"), F.col("round").cast("int").alias("tree"), "part")
+    rows = cut_lineage(rows)
+    train = rows.where("part = 'train'").withColumn("copies", F.lit(1).cast("bigint"))
+    growth = FOLD_CLASSES if task == "classification" else FOLD_VALUES
+    return rows, trees.grow(train, features, n_classes, growth)
 
 
 def cv_tree(
@@ -384,18 +354,16 @@ def cv_tree(
 
     The folds are scored as one table and reduced to counts before any metric.
     """
-    fold = ["round", "part"]
-    counts = (
-        _scored_folds(*fold_models(df, features, key, k, n_classes), "prediction")
-        .groupBy(*fold, "label", F.col("prediction").cast("bigint").alias("predicted"))
-        .agg(F.count("*").alias("n"))
-    )
+    fold, by = ["tree", "part"], ["tree", "part", "_key", "label"]
+    rows, model = fold_models(df, features, key, k, n_classes)
+    scored = trees.predict(rows, model, n_classes, by)
+    counts = scored.groupBy(*fold, "label", F.col("prediction").alias("predicted")).agg(F.count("*").alias("n"))
     hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
     sides = counts.select(
         *fold,
         F.explode(
             F.array(
-                F.struct(F.col("label").alias("c"), F.col("n").alias("s"), F.lit(0).alias("p"), hit.alias("t")),
+                F.struct(F.col("label").cast("bigint").alias("c"), F.col("n").alias("s"), F.lit(0).alias("p"), hit.alias("t")),
                 F.struct(F.col("predicted").alias("c"), F.lit(0).alias("s"), F.col("n").alias("p"), F.lit(0).alias("t")),
             )
         ).alias("e"),
@@ -407,39 +375,30 @@ def cv_tree(
         (F.sum("t") / F.sum("s")).alias("accuracy"),
         F.avg(2.0 * F.col("t") / (F.col("s") + F.col("p"))).alias("macro_f1"),
     )
+    rows, model = fold_models(df, features, key, k, n_classes, "regression")
     gap = F.col("label") - F.col("estimate")
-    regressed = (
-        _scored_folds(*fold_models(df, features, key, k, n_classes, "regression"), "estimate")
-        .groupBy(*fold)
-        .agg(F.avg(gap * gap).alias("mse"))
-    )
-    return classified.join(regressed, fold).withColumnRenamed("round", "fold")
+    regressed = trees.predict(rows, model, n_classes, by).groupBy(*fold).agg(F.avg(gap * gap).alias("mse"))
+    return classified.join(regressed, fold).withColumn("tree", F.col("tree").cast("bigint")).withColumnRenamed("tree", "fold")
 
 
 def tree_rules(
     df: DataFrame, features: list[str], key: str, k: int = 5, n_classes: int = 4
 ) -> DataFrame:
-    """Text rules of each fold's tree, one row per line."""
-    rows = []
-    _rounds, models = fold_models(df, features, key, k, n_classes)
-    for fold, model in enumerate(models):
-        text = model.toDebugString
-        for number, name in reversed(list(enumerate(features))):
-            text = text.replace(f"feature {number} ", f"{name} ")
-        rows += [(fold, line, rule) for line, rule in enumerate(text.splitlines()) if rule.strip()]
-    return df.sparkSession.createDataFrame(rows, "fold bigint, line bigint, rule string")
+    """Nodes of each fold's tree: the test of an inner node, rows and class of every node.
+
+    Node n leads to 2 n where the feature is at most the threshold, else to 2 n + 1.
+    ``trees.rules`` writes a tree as indented text.
+    """
+    _rows, model = fold_models(df, features, key, k, n_classes)
+    kinds = "fold bigint, node bigint, feature string, threshold double, n bigint, predicted bigint"
+    return df.sparkSession.createDataFrame(trees.node_rows(model, n_classes), kinds)
 
 
 def fold_feature_frequency(
     df: DataFrame, features: list[str], key: str, k: int = 5, n_classes: int = 4
 ) -> DataFrame:
     """How many folds' trees use each feature, and which."""
-    used = [
-        (fold, features[int(i)])
-        for fold, model in enumerate(fold_models(df, features, key, k, n_classes)[1])
-        for i in np.flatnonzero(model.featureImportances.toArray())
-    ]
-    rows = df.sparkSession.createDataFrame(used, "fold bigint, feature string")
-    return rows.groupBy("feature").agg(
-        F.count("*").alias("n_folds"), F.sort_array(F.collect_set("fold")).alias("folds")
+    used = tree_rules(df, features, key, k, n_classes).where("feature IS NOT NULL")
+    return used.groupBy("feature").agg(
+        F.countDistinct("fold").alias("n_folds"), F.sort_array(F.collect_set("fold")).alias("folds")
     )

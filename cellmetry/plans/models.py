@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellmetry.functions.names import BASE_FEATURES, CIRCULARITY_FEATURES, CYTO_FEATURES
 from cellmetry.operators import evaluate, ml, relational, splits, stats
+from cellmetry.plans import tree_checks
 from cellmetry.plans.registry import check, query, r6, rounded, sq
 from cellmetry.sources import derived
 
@@ -493,34 +494,56 @@ def _tree_table(spark, sf):
     return relational.add_circularity(derived.features(spark, sf))
 
 
-@query("decision_tree")
+# The registered circularity of the tree models guards zero; the SQL repeats it.
+_CIRCULAR = {
+    c: f"CASE WHEN {r} = 0 THEN NULL ELSE 1.0 / {r} END"
+    for c, r in zip(CIRCULARITY_FEATURES, ("cyto_roundness", "nuc_roundness"))
+}
+_HELD = {
+    number: tree_checks.held_out(
+        growth, alpha, number, ml.DRAWN, TREE_FEATURES, _CIRCULAR, _numbered("label")
+    )
+    for growth, alpha, number in (
+        (ml.TREE, ml.TREE_ALPHA, 1),
+        (ml.FOREST, ml.FOREST_ALPHA, ml.FOREST_TREES),
+    )
+}
+_FOLDS = tree_checks.folds(ml.FOLD_CLASSES, TREE_FEATURES, _CIRCULAR, _numbered("label"))
+_FOLD_VALUES = tree_checks.folds(ml.FOLD_VALUES, TREE_FEATURES, _CIRCULAR, _numbered("label"), "reg_")
+
+
+def _round_numbers(df):
+    return rounded(df, *[c for c, kind in df.dtypes if kind == "double"])
+
+
+@query("decision_tree", tree_checks.report_check(_HELD[1]))
 def _(spark, sf):
-    return ml.decision_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1]
+    return _round_numbers(ml.decision_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1])
 
 
-@query("random_forest")
+@query("random_forest", tree_checks.report_check(_HELD[ml.FOREST_TREES]))
 def _(spark, sf):
-    return ml.random_forest(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1]
+    return _round_numbers(ml.random_forest(_tree_table(spark, sf), TREE_FEATURES, "vec_id")[1])
 
 
-@query("feature_importance")
+@query("feature_importance", tree_checks.importance_check(_HELD[ml.FOREST_TREES], TREE_FEATURES))
 def _(spark, sf):
     df = _tree_table(spark, sf)
     model, _report = ml.random_forest(df, TREE_FEATURES, "vec_id")
-    return ml.feature_importance(df, model, TREE_FEATURES)
+    return _round_numbers(ml.feature_importance(df, model, TREE_FEATURES))
 
 
-@query("cv_tree")
+@query("cv_tree", tree_checks.cv_check(_FOLDS, _FOLD_VALUES))
 def _(spark, sf):
-    return ml.cv_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id")
+    return _round_numbers(ml.cv_tree(_tree_table(spark, sf), TREE_FEATURES, "vec_id"))
 
 
-@query("tree_rules")
+@query("tree_rules", tree_checks.rules_check(_FOLDS, TREE_FEATURES))
 def _(spark, sf):
-    return ml.tree_rules(_tree_table(spark, sf), TREE_FEATURES, "vec_id")
+    return _round_numbers(ml.tree_rules(_tree_table(spark, sf), TREE_FEATURES, "vec_id"))
 
 
-@query("fold_feature_frequency")
+@query("fold_feature_frequency", tree_checks.frequency_check(_FOLDS, TREE_FEATURES))
 def _(spark, sf):
     return ml.fold_feature_frequency(_tree_table(spark, sf), TREE_FEATURES, "vec_id").withColumn(
         "folds", F.array_join(F.transform("folds", lambda f: f.cast("string")), ",")
