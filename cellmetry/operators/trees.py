@@ -17,8 +17,11 @@ from dataclasses import dataclass, replace
 from hashlib import md5
 from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cellmetry.session import cut_lineage, discard
 
@@ -93,6 +96,14 @@ def _impurity_column(kind: str, parts: list[Column]) -> Column:
     return -sum((term(p) for p in parts), F.lit(0.0))
 
 
+def _local(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
+    """A small table that Spark plans with, so that no job has to fetch it."""
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    arrays = [pa.array(column, field.type) for column, field in zip(columns, schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=schema))
+
+
 def feature_order(tree: int, node: int, features: int) -> list[int]:
     """Ranks of the features in the random order in which a node tries them."""
     order = sorted(range(features), key=lambda f: (md5(f"{tree}|{node}|{f}".encode()).hexdigest(), f))
@@ -136,24 +147,45 @@ def _cumulative(values: DataFrame, classes: int, rows: int) -> DataFrame:
 
 
 def _best_splits(base: DataFrame, trees: Trees, open_nodes: list, classes: int, rows: int) -> dict:
-    """(tree, node) -> (feature, threshold, left counts) of the best cut of each open node."""
-    growth, spark = trees.growth, base.sparkSession
-    listed = []
+    """(tree, node) -> (feature, threshold, left counts) of the best cut of each open node.
+
+    Nodes that cannot be cut by any of the features they try first look at the others.
+    """
+    growth = trees.growth
+    first, others = [], {}
     for tree, node, least in open_nodes:
         ranks = feature_order(tree, node, len(trees.features))
         late = [max(0, r + 1 - (growth.tried or len(ranks))) for r in ranks]
         counts = [int(c) for c in trees.nodes[tree, node].counts]
-        listed.append((tree, node, least, late, counts, list(trees.weights[tree])))
-    kinds = "tree int, node bigint, least bigint, late array<int>, total array<bigint>, weight array<double>"
-    nodes = F.broadcast(spark.createDataFrame(listed, kinds))  # the open nodes of a level
+        row = (tree, node, least, late, counts, list(trees.weights[tree]))
+        first.append((*row, [f for f, x in enumerate(late) if not x]))
+        others[tree, node] = (*row, [f for f, x in enumerate(late) if x])
+    found = _best_cuts(base, growth, first, classes, rows)
+    rest = [row for key, row in others.items() if key not in found and row[-1]]
+    if rest:
+        found |= _best_cuts(base, growth, rest, classes, rows)
+    return {key: cut for key, (loss, *cut) in found.items() if loss <= 0}
+
+
+def _best_cuts(base: DataFrame, growth: Growth, listed: list, classes: int, rows: int) -> dict:
+    """(tree, node) -> (loss, feature, threshold, left counts) among the features listed per node."""
+    spark = base.sparkSession
+    kinds = (
+        "tree int, node bigint, least bigint, late array<int>, total array<bigint>, "
+        "weight array<double>, tries array<int>"
+    )
+    nodes = F.broadcast(_local(spark, listed, kinds))  # the open nodes of a level
     counts = [F.sum(F.when(F.col("label") == k, F.col("copies")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
-    values = (
+    tried = (
         base.where("copies > 0")
-        .join(nodes.select("tree", "node"), ["tree", "node"])
-        .select("tree", "node", "label", "copies", F.posexplode("values").alias("feature", "value"))
-        .groupBy("tree", "node", "feature", "value")
-        .agg(*counts)
+        .join(nodes.select("tree", "node", "tries"), ["tree", "node"])
+        .select("tree", "node", "label", "copies", "values", F.explode("tries").alias("feature"))
+        .withColumn("value", F.col("values")[F.col("feature")])
+        .drop("values")
     )
+    if rows <= WINDOW_ROWS:  # the window needs them together anyway
+        tried = tried.repartition("tree", "node", "feature")
+    values = tried.groupBy("tree", "node", "feature", "value").agg(*counts)
     cuts = _cumulative(values, classes, rows).where("next IS NOT NULL").join(nodes, ["tree", "node"])
     left = [F.col(f"l{k}") for k in range(classes)]
     right = [F.col("total")[k] - F.col(f"l{k}") for k in range(classes)]
@@ -173,16 +205,17 @@ def _best_splits(base: DataFrame, trees: Trees, open_nodes: list, classes: int,
     )
     best = cuts.where(allowed).groupBy("tree", "node").agg(F.min(rank).alias("best"))
     found = {}
-    for row in best.where("best.loss <= 0").collect():  # a row per open node at most
+    for row in best.collect():  # a row per open node at most
         b = row["best"]
-        found[row["tree"], row["node"]] = (b["feature"], b["threshold"], tuple(b[f"l{k}"] for k in range(classes)))
+        left_counts = tuple(b[f"l{k}"] for k in range(classes))
+        found[row["tree"], row["node"]] = (b["loss"], b["feature"], b["threshold"], left_counts)
     return found
 
 
 def _step(rows: DataFrame, splits: list[tuple]) -> DataFrame:
     """Rows one level down; a row whose node has no split stays and gets a null node below."""
     kinds = "tree int, node bigint, feature int, threshold double"
-    listed = F.broadcast(rows.sparkSession.createDataFrame(splits, kinds))  # the splits of a level
+    listed = F.broadcast(_local(rows.sparkSession, splits, kinds))  # the splits of a level
     below = 2 * F.col("node") + F.when(F.col("values")[F.col("feature")] <= F.col("threshold"), 0).otherwise(1)
     return rows.join(listed, ["tree", "node"], "left").withColumn(
         "below", F.when(F.col("feature").isNotNull(), below)
@@ -275,7 +308,7 @@ def predict(rows: DataFrame, trees: Trees, classes: int, by: list[str]) -> DataF
     mean label.  Rows are (tree, values) and the columns of ``by``.
     """
     kinds = "tree int, node bigint, shares array<double>, mean double"
-    leaves = F.broadcast(rows.sparkSession.createDataFrame(_values(trees, classes), kinds))
+    leaves = F.broadcast(_local(rows.sparkSession, _values(trees, classes), kinds))
     named = route(rows, trees).join(leaves, ["tree", "node"])
     means = named.groupBy(*by).agg(
         *[F.avg(F.col("shares")[k]).alias(f"p{k}") for k in range(classes)], F.avg("mean").alias("estimate")
@@ -304,23 +337,38 @@ def _cut_back(trees: Trees, tree: int, below: set[int]) -> Trees:
     return replace(trees, nodes=nodes)
 
 
-def pruning_path(trees: Trees, tree: int) -> list[tuple[float, Trees]]:
-    """(alpha, trees) of weakest-link pruning of one tree, from the whole tree to its root.
+def _weakest_links(trees: Trees, tree: int) -> list[tuple[float, int]]:
+    """(alpha, node) of the nodes that become leaves, in the order of weakest-link pruning.
 
     A node's link is what its subtree gains in risk per leaf more.  The node of the weakest link becomes
     a leaf, step by step; alpha is the strength of the links cut so far.
     """
-    path, risks, alpha = [(0.0, trees)], _risks(trees, tree), 0.0
-    while trees.nodes[tree, 1].feature is not None:
-        leaves, links = trees.leaves(tree), {}
-        for (t, n), x in trees.nodes.items():
-            if t == tree and x.feature is not None:
-                own = [m for m in leaves if m > n and m >> (m.bit_length() - n.bit_length()) == n]
-                links[n] = (risks[n] - sum(risks[m] for m in own)) / (len(own) - 1)
+    risks, alpha = _risks(trees, tree), 0.0
+    inner = {n for (t, n), x in trees.nodes.items() if t == tree and x.feature is not None}
+    below: dict[int, list] = {n: [1, risks[n]] for n in risks}  # leaves and their risk
+    for n in sorted(inner, reverse=True):
+        below[n] = [a + b for a, b in zip(below[2 * n], below[2 * n + 1])]
+    cuts: list[tuple[float, int]] = []
+    while inner:
+        links = {n: (risks[n] - below[n][1]) / (below[n][0] - 1) for n in inner}
         weakest = min(links, key=lambda n: (round(links[n], 12), n))
         alpha = max(alpha, links[weakest])
-        trees = _cut_back(trees, tree, {weakest})
-        path.append((alpha, trees))
+        cuts.append((alpha, weakest))
+        gone = [m for m in inner if m > weakest and m >> (m.bit_length() - weakest.bit_length()) == weakest]
+        inner -= {weakest, *gone}
+        less = [below[weakest][0] - 1, below[weakest][1] - risks[weakest]]
+        n = weakest
+        while n:
+            below[n] = [below[n][0] - less[0], below[n][1] - less[1]]
+            n //= 2
+    return cuts
+
+
+def pruning_path(trees: Trees, tree: int) -> list[tuple[float, Trees]]:
+    """(alpha, trees) of weakest-link pruning of one tree, from the whole tree to its root."""
+    path = [(0.0, trees)]
+    for alpha, node in _weakest_links(trees, tree):
+        path.append((alpha, _cut_back(path[-1][1], tree, {node})))
     return path
 
 
@@ -332,7 +380,8 @@ def pruned(trees: Trees, alpha: float) -> Trees:
     if alpha <= 0:
         return trees
     for tree in sorted({t for t, _ in trees.nodes}):
-        trees = [kept for strength, kept in pruning_path(trees, tree) if strength <= alpha + 1e-12][-1]
+        cut = {n for strength, n in _weakest_links(trees, tree) if strength <= alpha + 1e-12}
+        trees = _cut_back(trees, tree, cut)
     return trees
 
 
