@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.llm.storage import Output, open_input
-from cellmetry.session import cut_lineage, shared_folder
+from cellmetry.session import shared_folder
 
 #: Words of a block, with repeats; its documents meet its distinct words in one task.
 BLOCK_WORDS = 4_000_000
@@ -157,7 +157,10 @@ def code_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             yield from block.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cut_lineage(rows.mapInArrow(run, "block long, path string, first int, words array<string>"))
+    schema = "block long, path string, first int, words array<string>"
+    written = shared_folder(docs.sparkSession, "words")
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(written)
+    return docs.sparkSession.read.schema(schema).parquet(written)
 
 
 class Pieces:
