@@ -169,47 +169,3 @@ def label_components(
         roots, [image], F.floor(F.col("y") / 64), [F.col("root")], "component"
     ).select(image, "root", "component")
     return regions.join(numbered, [image, "root"]).select(image, "y", "x", column, "component")
-
-
-def component_size_filter(
-    pixels: DataFrame,
-    column: str,
-    smallest: int = 0,
-    largest: int = 100000,
-    fill_holes: bool = False,
-    image: str = "image_id",
-    side: int = SIDE,
-) -> DataFrame:
-    """Pixels (image, y, x) of regions whose pixel count lies within the limits.
-
-    With ``fill_holes`` the background regions of the kept mask that touch no image
-    border are added.
-    """
-    regions = pixel_regions(pixels, column, image, True, side)
-    kept = (
-        regions.groupBy(image, "root")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n").between(smallest, largest))
-    )
-    mask = regions.join(kept, [image, "root"], "left_semi").select(image, "y", "x")
-    if not fill_holes:
-        return mask
-    mask = cut_lineage(mask)
-    outside = pixels.select(image, "y", "x").join(mask, [image, "y", "x"], "left_anti")
-    rest = pixel_regions(outside.withColumn("_v", F.lit(1).cast("bigint")), "_v", image, False, side)
-    edge = pixels.groupBy(image).agg(
-        F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
-    )
-    open_regions = (
-        rest.join(edge, image)
-        .filter(
-            (F.col("y") == F.col("_y0"))
-            | (F.col("y") == F.col("_y1"))
-            | (F.col("x") == F.col("_x0"))
-            | (F.col("x") == F.col("_x1"))
-        )
-        .select(image, "root")
-        .distinct()
-    )
-    holes = rest.join(open_regions, [image, "root"], "left_anti").select(image, "y", "x")
-    return mask.unionByName(holes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellmetry.functions.names import CHANNELS
-from cellmetry.operators import components, pixels as px, spatial, texture, tiles
+from cellmetry.operators import components, geometry, outlines, pixels as px, spatial, texture, tiles
 from cellmetry.operators.tiles import gaussian_weights, glcm_offsets
 from cellmetry.plans import pipeline
 from cellmetry.plans.registry import check, query, r6, rounded, sq
@@ -596,23 +596,112 @@ def _(spark, sf):
     )
 
 
+# Disks with a ring cut out round their middle; a third of them are open to the right, so the
+# ring is no hole and the middle is a region of its own.
+_HOLED = """obj > 0 AND NOT (d2 BETWEEN 1 AND 4) AND NOT (obj % 3 = 0 AND y % 16 = 8 AND x % 16 > 8)"""
+_MIDDLE = "(y % 16 - 8) * (y % 16 - 8) + (x % 16 - 8) * (x % 16 - 8)"
+_CONTOURED = [
+    (
+        "inside",
+        f"""SELECT image_id, y, x, obj FROM (SELECT *, {_MIDDLE} AS d2 FROM pix) WHERE obj > 0
+        AND (obj % 3 <> 0 OR ({_HOLED} AND d2 > 0))""",
+    ),
+    (
+        "squares",
+        """SELECT image_id, obj, n, CASE n WHEN 3 THEN 0.5 WHEN 4 THEN 1 ELSE 0 END AS part,
+        n = 2 AND y2 = y1 + 1 AND x2 = x1 + 1 AS diagonal FROM (
+        SELECT image_id, obj, qy, qx, count(*) AS n, min(y) AS y1, max(y) AS y2, min(x) AS x1, max(x) AS x2 FROM (
+        SELECT image_id, obj, y, x, y - dy AS qy, x - dx AS qx FROM inside, (SELECT unnest([0, 1]) AS dy),
+        (SELECT unnest([0, 1]) AS dx)) GROUP BY image_id, obj, qy, qx)""",
+    ),
+    (
+        "sized",
+        """SELECT image_id, obj, CAST(sum(part) AS DOUBLE) AS area FROM squares GROUP BY image_id, obj""",
+    ),
+]
+
+
+def _holed(spark, sf):
+    return derived.pixels(spark, sf).selectExpr("*", f"{_MIDDLE} as d2").selectExpr(
+        "image_id", "y", "x", "obj", f"case when {_HOLED} then 1L else 0L end as v"
+    )
+
+
 @query(
     "component_size_filter",
     check(
         ["pix"],
-        """SELECT image_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY image_id, obj) - 1 AS n
-        FROM pix WHERE obj > 0) WHERE n BETWEEN 65 AND 100""",
+        "SELECT image_id, y, x FROM inside JOIN sized USING (image_id, obj) WHERE area BETWEEN 45 AND 80",
+        *_CONTOURED,
+    ),
+)
+def _(spark, sf):
+    """Holed and open disks over several tiles: kept by the area of their outer contour."""
+    return outlines.component_size_filter(_holed(spark, sf), "v", 45, 80, side=24)
+
+
+@query(
+    "contour_areas",
+    check(["pix"], "SELECT image_id, obj, area FROM sized", *_CONTOURED),
+)
+def _(spark, sf):
+    base = _holed(spark, sf)
+    filled = outlines.outside_filled(base, "v", side=24).selectExpr("*", "1L as one")
+    regions = components.pixel_regions(filled, "one", side=24)
+    named = base.selectExpr("image_id", f"y * {components.ROW} + x as root", "obj")
+    areas = outlines.contour_areas(regions, side=24).filter("area > 0")  # without lone middles
+    return areas.join(named, ["image_id", "root"]).select("image_id", "obj", "area")
+
+
+@query(
+    "mask_outlines",
+    check(
+        ["pix"],
+        """SELECT image_id, obj, string_agg(concat(x, ',', y), ' ' ORDER BY turn) AS contour FROM around
+        GROUP BY image_id, obj""",
+        (
+            "around",
+            """SELECT p.image_id, p.obj, p.x, p.y, CASE WHEN t > turn0 + 1e-9 THEN turn0 + 2 * pi() - t
+            ELSE turn0 - t END AS turn FROM (SELECT *, atan2(y % 16 - 8, x % 16 - 8) AS t FROM pix WHERE obj > 0) p
+            JOIN (SELECT image_id, obj, min_by(atan2(y % 16 - 8, x % 16 - 8), y * 64 + x) AS turn0 FROM pix
+            WHERE obj > 0 GROUP BY image_id, obj) USING (image_id, obj) WHERE EXISTS (SELECT 1 FROM pix q
+            WHERE q.image_id = p.image_id AND abs(q.y - p.y) + abs(q.x - p.x) = 1 AND q.obj <> p.obj)""",
+        ),
     ),
 )
 def _(spark, sf):
-    """Disks with a hole in the middle: kept by size, then filled."""
-    rings = derived.pixels(spark, sf).selectExpr(
-        "image_id",
-        "y",
-        "x",
-        "case when obj > 0 and not (y % 16 = 8 and x % 16 = 8) then 1L else 0L end as v",
+    """Contours of the disks over tiles of 24, in order against the sense of the clock."""
+    labels = derived.pixels(spark, sf).select("image_id", "y", "x", "obj")
+    return outlines.mask_outlines(labels, "obj", side=24).selectExpr(
+        "image_id", "obj", "array_join(transform(contour, p -> concat(p.x, ',', p.y)), ' ') as contour"
+    )
+
+
+@query(
+    "outline_features",
+    check(
+        ["pix"],
+        f"""SELECT image_id, obj, {sq('area')} AS area, {sq('perimeter')} AS perimeter, n FROM (
+        SELECT image_id, obj, CAST(sum(part) AS DOUBLE) AS area,
+        sum(CASE WHEN n = 3 THEN sqrt(2.0::DOUBLE) WHEN diagonal THEN 2 * sqrt(2.0::DOUBLE) WHEN n = 2 THEN 1 ELSE 0 END)
+        AS perimeter, CAST(sum(CASE WHEN n = 3 THEN 1 WHEN diagonal THEN 2 WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n
+        FROM squares GROUP BY image_id, obj)""",
+        *_CONTOURED,
+    ),
+)
+def _(spark, sf):
+    """Mask to rings to polygon features: no given contours are needed."""
+    mask = _holed(spark, sf)
+    filled = outlines.outside_filled(mask, "v", side=24).join(
+        mask.select("image_id", "y", "x", "obj"), ["image_id", "y", "x"]
+    )
+    rings = outlines.mask_outlines(filled, "obj", side=24).filter("size(contour) > 1")
+    measured = geometry.polygon_features(rings)
+    return rounded(
+        measured.selectExpr("image_id", "obj", "area", "perimeter", "cast(size(contour) as bigint) as n"),
+        "area",
+        "perimeter",
     )
-    return components.component_size_filter(rings, "v", 65, 100, fill_holes=True)
 
 
 # ---------------------------------------------------------------- enhancement, resize, crops

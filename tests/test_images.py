@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellmetry.operators import components, evaluate, pixels as px, texture, tiles
+from cellmetry.operators import components, evaluate, outlines, pixels as px, texture, tiles
 
 PIXEL = "image_id bigint, y bigint, x bigint, v bigint"
 
@@ -104,15 +104,92 @@ def test_constant_image_texture(spark):
     assert by_d[18]["energy"] == 0 and by_d[18]["correlation"] == 1  # no pair fits
 
 
-def test_holes_are_filled(spark):
-    mask = np.zeros((12, 12), dtype=int)
-    mask[2:9, 2:9] = 1
-    mask[4:6, 4:6] = 0
-    mask[11, 11] = 1
-    kept = components.component_size_filter(image(spark, mask), "v", 2, 100, fill_holes=True)
-    want = np.zeros_like(mask)
-    want[2:9, 2:9] = 1
-    assert {(r["y"], r["x"]) for r in kept.collect()} == set(zip(*np.nonzero(want)))
+def outside_of(mask):
+    """Background joined to the border through sides, by plain search."""
+    seen = np.zeros(np.array(mask.shape) + 2, dtype=bool)
+    wide = np.pad(mask, 1)
+    stack = [(0, 0)]
+    while stack:
+        y, x = stack.pop()
+        if 0 <= y < wide.shape[0] and 0 <= x < wide.shape[1] and not seen[y, x] and not wide[y, x]:
+            seen[y, x] = True
+            stack += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return seen[1:-1, 1:-1]
+
+
+def walk(mask):
+    """Border of the region of the first pixel, walked from there against the clock."""
+    ring, wide = tiles.RING, np.pad(mask, 1)
+    start = at = tuple(np.argwhere(wide)[0])
+    points, look, first = [], 2, None  # the pixel above is empty
+    while True:
+        points.append((int(at[1]) - 1, int(at[0]) - 1))
+        k = next((k % 8 for k in range(look, look + 8) if wide[at[0] + ring[k % 8][0], at[1] + ring[k % 8][1]]), None)
+        if k is None or (at, k) == first:
+            return points[:-1] if k is not None else points
+        first = first or (start, k)
+        at, look = (at[0] + ring[k][0], at[1] + ring[k][1]), (k + 5) % 8
+
+
+def shoelace(points):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2
+
+
+def hard_mask():
+    mask = (np.random.default_rng(4).random((26, 31)) < 0.55).astype(int)
+    mask[3:17, 8:25] = 0
+    mask[4:16, 9:24] = 1
+    mask[6:13, 11:20] = 0
+    mask[8:10, 13:16] = 1  # nested in the hole
+    mask[20:, :] = 0
+    mask[22, 3:29] = 1
+    mask[24, 5] = 1
+    return mask
+
+
+@pytest.mark.parametrize("side", [13, 256])
+def test_outlines_match_a_walk_along_the_border(spark, side):
+    mask = hard_mask()
+    regions = flood((~outside_of(mask)).astype(int))
+    want = {i: walk(regions == i) for i in range(1, regions.max() + 1)}
+    rows = outlines.mask_outlines(image(spark, regions, "obj"), side=side).collect()
+    got = {r["obj"]: [(p["x"], p["y"]) for p in r["contour"]] for r in rows}
+    assert len(rows) == len(got) and got == want
+    filled = outlines.outside_filled(image(spark, mask), "v", side=side)
+    named = components.pixel_regions(filled.selectExpr("*", "1L as one"), "one", side=side)
+    areas = outlines.contour_areas(named, side=side).collect()
+    found = {regions[divmod(r["root"], components.ROW)]: r["area"] for r in areas}
+    assert found == {i: shoelace(p) for i, p in want.items()}
+
+
+def test_outlines_of_touching_labels_with_holes(spark):
+    labels = np.zeros((20, 20), dtype=int)
+    labels[2:15, 2:9], labels[2:15, 9:18] = 1, 2
+    labels[5:9, 11:14] = 0  # the hole has no outline of its own
+    labels[18, 18] = 2  # a second piece
+    rows = outlines.mask_outlines(image(spark, labels, "obj"), side=8).collect()
+    got = {(r["obj"], r["part"]): [(p["x"], p["y"]) for p in r["contour"]] for r in rows}
+    row = components.ROW
+    assert set(got) == {(1, 2 * row + 2), (2, 2 * row + 9), (2, 18 * row + 18)}
+    assert got[1, 2 * row + 2] == walk(labels == 1) and got[2, 18 * row + 18] == [(18, 18)]
+    assert shoelace(got[2, 2 * row + 9]) == 12 * 8
+    empty = image(spark, np.zeros((3, 3)), "obj")
+    assert outlines.mask_outlines(empty).count() == 0
+    assert outlines.mask_outlines(empty.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("side", [13, 256])
+def test_regions_are_kept_by_contour_area(spark, side):
+    mask = hard_mask()
+    regions = flood((~outside_of(mask)).astype(int))
+    areas = {i: shoelace(walk(regions == i)) for i in range(1, regions.max() + 1)}
+    kept = np.isin(regions, [i for i, a in areas.items() if 0.5 <= a <= 200])
+    for fill, want in ((True, kept), (False, kept & (mask > 0))):
+        got = outlines.component_size_filter(image(spark, mask), "v", 0.5, 200, fill, side=side)
+        assert {(r["y"], r["x"]) for r in got.collect()} == set(zip(*np.nonzero(want)))
+    lines = outlines.component_size_filter(image(spark, mask), "v", 0, 0, side=side)
+    zero = np.isin(regions, [i for i, a in areas.items() if a == 0])
+    assert {(r["y"], r["x"]) for r in lines.collect()} == set(zip(*np.nonzero(zero)))
 
 
 def test_channel_adjust_refuses_missing_channels(spark):
