@@ -29,10 +29,10 @@ ASSIGN = (
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 #: Tokens that are tested: 20 characters or more with a letter and a digit among them; '=' only
-#: pads the end, so that names and values are tokens of their own.
-TOKEN = (
-    "(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?"
-)
+#: pads the end, so that names and values are tokens of their own. The quantifiers give nothing
+#: back, so a run is read once; its letter and digit are looked for in the match.
+TOKEN = "[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+BOTH = "c.t RLIKE '[0-9]' AND c.t RLIKE '[A-Za-z]'"
 MIN_ASSIGNED = 8
 #: Lower ends of the strata of lengths.
 STRATA = (20, 24, 32, 48, 64, 128)
@@ -65,27 +65,54 @@ def _matches(text: Column, kind: str, pattern: str) -> list[Column]:
     ]
 
 
+def _width(array: str) -> str:
+    """SQL for the length of the blocks an array is cut into: the root of its size."""
+    return f"CAST(greatest(1, ceil(sqrt(size({array})))) AS int)"
+
+
+def _blocks(array: str) -> str:
+    """SQL for the blocks of an array, which must be a column or a lambda's variable."""
+    w = _width(array)
+    return f"""transform(sequence(0, CAST(greatest(size({array}) - 1, 0) DIV {w} AS int)),
+        k -> slice({array}, k * {w} + 1, {w}))"""
+
+
+def _starts(lengths: str) -> str:
+    """SQL for the sums of all lengths before each one.
+
+    Sums grow block by block, so no array longer than a block is copied per element.
+    """
+    growing = """named_struct('at', acc.at + {step}, 'out', concat(acc.out, array(acc.at)))"""
+    none = "CAST(array() AS array<int>)"
+    total = "aggregate(x, 0, (z, y) -> z + y)"
+    return f"""transform(array({lengths}), l -> transform(array({_blocks('l')}), blocks -> flatten(zip_with(
+      blocks,
+      aggregate(blocks, named_struct('at', 0, 'out', {none}), (acc, x) -> {growing.format(step=total)}, acc -> acc.out),
+      (block, top) -> aggregate(block, named_struct('at', top, 'out', {none}),
+        (acc, x) -> {growing.format(step='x')}, acc -> acc.out))))[0])[0]"""
+
+
 def _placed(kind: str) -> str:
     """SQL for the (start, end) of the matches in code points."""
     m, b = f"m_{kind}", f"b_{kind}"
-    return f"""aggregate(
-      IF(size({m}) = 0, CAST(array() AS array<int>), sequence(0, size({m}) - 1)),
-      named_struct('at', CAST(0 AS int), 'spans', CAST(array() AS array<struct<s:int,e:int>>)),
-      (acc, i) -> named_struct(
-        'at', acc.at + length({b}[i]) + length({m}[i]),
-        'spans', concat(acc.spans, array(named_struct('s', acc.at + length({b}[i]),
-                                  'e', acc.at + length({b}[i]) + length({m}[i]))))),
-      acc -> acc.spans)"""
+    return f"""transform({_starts(f'transform({m}, (x, i) -> length({b}[i]) + length(x))')}, (at, i) ->
+      named_struct('s', at + length({b}[i]), 'e', at + length({b}[i]) + length({m}[i])))"""
 
 
 def _parts(separators: str) -> str:
     """SQL for the parts of a token c that are tokens too, with their places."""
-    return f"""filter(aggregate(
-      split(c.t, '{separators}', -1),
-      named_struct('at', c.s, 'out', CAST(array() AS array<struct<s:int,e:int,t:string>>)),
-      (acc, x) -> named_struct('at', acc.at + length(x) + 1, 'out', concat(acc.out,
-        array(named_struct('s', acc.at, 'e', acc.at + length(x), 't', x)))),
-      acc -> acc.out), x -> x.t RLIKE '^{TOKEN}$')"""
+    parts = f"split(c.t, '{separators}', -1)"
+    return f"""filter(zip_with({parts}, {_starts(f'transform({parts}, x -> length(x) + 1)')}, (x, at) ->
+      named_struct('s', c.s + at, 'e', c.s + at + length(x), 't', x)),
+      c -> c.t RLIKE '^{TOKEN}$' AND {BOTH})"""
+
+
+def _free() -> str:
+    """SQL for the tokens that touch no base span; a block of tokens looks at the spans in its reach."""
+    reach = "array(named_struct('from', array_min(block.s), 'to', array_max(block.e)))"
+    near = f"transform({reach}, r -> filter(base, b -> b.s < r.to AND r.from < b.e))"
+    return f"""flatten(transform({_blocks('tokens')}, block -> transform({near}, near ->
+        filter(block, c -> NOT exists(near, b -> b.s < c.e AND c.s < b.e)))[0]))"""
 
 
 def _tail(z: str) -> str:
@@ -196,16 +223,16 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     based = placed.select(
         "doc_id",
         F.expr(f"array_sort(concat({', '.join(ranked)}))").alias("base"),
-        F.expr("transform(p_random, (x, i) -> named_struct('s', x.s, 'e', x.e, 't', m_random[i]))").alias("tokens"),
+        F.expr(
+            f"filter(transform(p_random, (x, i) -> named_struct('s', x.s, 'e', x.e, 't', m_random[i])), c -> {BOTH})"
+        ).alias("tokens"),
     )
     mixed = "c.t RLIKE '[+/]' AND c.t RLIKE '[_-]'"
     parts = f"concat({_parts('[+/]')}, {_parts('[_-]')})"
     based = based.withColumn(
         "tokens", F.expr(f"flatten(transform(tokens, c -> IF({mixed}, {parts}, array(c))))")
     )
-    free = based.withColumn(
-        "tokens", F.expr("filter(tokens, c -> NOT exists(base, b -> b.s < c.e AND c.s < b.e))")
-    )
+    free = based.withColumn("tokens", F.expr(_free()))
     found = cut_lineage(_tested(free))
     limits = rejected_from(found, rate)
     limit = "CASE c.stratum " + " ".join(f"WHEN {s} THEN {q}" for s, q in limits.items()) + " ELSE 1000000 END"

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -127,6 +128,22 @@ def test_edges_and_plan(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_time_grows_with_the_text(spark):
+    """Long runs, many matches and many parts: quadratic work would take many minutes."""
+    rng = random.Random(3)
+    hexes = " ".join("%032x" % rng.getrandbits(128) for _ in range(50000))
+    mixed = "a_1/" * 20000
+    value = "9fK3LmQ0zXc81VbNrT5yPq27"
+    rows = [(1, "x" * 1_000_000), (2, hexes), (3, mixed), (4, "x1" * 100_000), (5, (value + " ") * 20000),
+            (6, "x" * 500_000 + " password=abcdefgh1")]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_frame(spark, rows)).collect()}
+    assert time.monotonic() - start < 60
+    check_base(rows, got.values())
+    assert got[1].spans == got[3].spans == "" and got[2].n_hex == 50000
+    assert got[5].spans.split(",")[-1] == f"random:{19999 * 25}:{19999 * 25 + 24}"
+
+
 def test_names_and_mixed_separators(spark):
     value, slashed = "9fK3LmQ0zXc81VbNrT5yPq27", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
     wanted = [
