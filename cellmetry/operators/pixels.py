@@ -212,18 +212,32 @@ def clahe(
 
     Each tile's level counts give its curve, and a pixel blends the curves of its four
     nearest tiles.  Curves travel packed by the cell between four tile centres, so the
-    pixel table is joined once and an image spreads over many keys.  Image sides that
-    are no multiples of ``tiles`` are an error.
+    pixel table is joined once and an image spreads over many keys.  Where a side is no
+    multiple of ``tiles``, both sides are lengthened to the next one (a whole ``tiles``
+    if they are multiples already), mirrored about the last line: pixels near the end count
+    once more for each mirrored place, and no padded pixel is made.
     """
-    uneven = (F.col("height") % tiles != 0) | (F.col("width") % tiles != 0)
-    wrong = F.raise_error(F.lit(f"image sides must be multiples of {tiles}")).cast("bigint")
     sides = image_sizes(pixels, image)
-    sides = sides.withColumn("height", F.when(uneven, wrong).otherwise(F.col("height")))
+    uneven = (F.col("height") % tiles != 0) | (F.col("width") % tiles != 0)
+    for side in ("height", "width"):
+        sides = sides.withColumn(f"_{side}", F.when(uneven, tiles - F.col(side) % tiles).otherwise(0))
     sized = pixels.join(sides, image)
-    high, wide = F.col("height") / tiles, F.col("width") / tiles
+    high = (F.col("height") + F.col("_height")) / tiles
+    wide = (F.col("width") + F.col("_width")) / tiles
+
+    def places(axis: str, side: str, tile: Column) -> Column:
+        """Grid lines of a pixel and of its mirrored places."""
+        length, more, at = F.col(side), F.col(f"_{side}"), F.col(axis)
+        period = F.greatest(2 * (length - 1), F.lit(1))
+        turned = lambda t: length - 1 - F.abs(t % period - length + 1)
+        added = F.filter(F.sequence(length, length + more - 1), lambda t: turned(t) == at)
+        near = (more > 0) & (at >= length - 1 - more)
+        lines = F.when(near, F.concat(F.array(at), added)).otherwise(F.array(at))
+        return F.transform(lines, lambda t: F.floor(t / tile))
+
+    rows = sized.withColumn("_ty", F.explode(places("y", "height", high)))
     seen = (
-        sized.withColumn("_ty", F.floor(F.col("y") / high))
-        .withColumn("_tx", F.floor(F.col("x") / wide))
+        rows.withColumn("_tx", F.explode(places("x", "width", wide)))
         .groupBy(image, "_ty", "_tx", F.col(column).alias("_v"))
         .agg(F.count("*").alias("_n"), F.first(high * wide).alias("_area"))
     )

@@ -148,9 +148,15 @@ def over_tiles(
     return by_task(placed, image, "_ty", "_tx").groupBy(image, "_ty", "_tx").applyInPandas(run, schema)
 
 
-def gaussian_weights(size: int, sigma: float) -> list[float]:
+def gaussian_weights(size: int, sigma: float) -> list[int]:
+    """Symmetric weights in 256ths; rounding errors go on to the next weight, the rest to the middle."""
     raw = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
-    return [w / sum(raw) for w in raw]
+    half, over = [], 0.0
+    for w in raw[: size // 2]:
+        exact = 256 * w / sum(raw) + over
+        half.append(round(exact))
+        over = exact - half[-1]
+    return [*half, 256 - 2 * sum(half), *reversed(half)]
 
 
 def _mirror(present: np.ndarray) -> np.ndarray:
@@ -170,11 +176,15 @@ def gaussian_blur(
     image: str = "image_id",
     side: int = SIDE,
 ) -> DataFrame:
-    """Separable blur of a dense image with mirrored borders, rounded to whole levels."""
+    """Separable blur of a dense image with mirrored borders.
+
+    Weights have eight binary digits and both passes are whole numbers, so results do not
+    depend on a machine's rounding; the last step rounds halves up.  ``size`` is odd.
+    """
     weights, reach = gaussian_weights(size, sigma), size // 2
 
     def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        v = tile.grid(column, 0).astype(float)
+        v = tile.grid(column, 0)
         v = v[_mirror(tile.present.any(1))][:, _mirror(tile.present.any(0))]
         across = sum(
             w * v[:, reach + k : v.shape[1] - reach + k]
@@ -184,7 +194,7 @@ def gaussian_blur(
             w * across[reach + k : v.shape[0] - reach + k]
             for w, k in zip(weights, range(-reach, reach + 1))
         )
-        return tile.rows_out(keys, **{column: np.floor(both + 0.5).astype(np.int64)})
+        return tile.rows_out(keys, **{column: (both + (1 << 15)) >> 16})
 
     schema = f"{key_type(pixels, image)}, y bigint, x bigint, {column} bigint"
     return over_tiles(pixels, work, schema, [column], (reach,) * 4, image, side)

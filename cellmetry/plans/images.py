@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellmetry.functions.names import CHANNELS
 from cellmetry.operators import components, geometry, outlines, pixels as px, spatial, texture, tiles
-from cellmetry.operators.tiles import gaussian_weights, glcm_offsets
+from cellmetry.operators.tiles import glcm_offsets
 from cellmetry.plans import pipeline
 from cellmetry.plans.registry import check, query, r6, rounded, sq
 from cellmetry.plans.shapes import fill_parts
@@ -152,9 +152,8 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- neighbourhoods
 
-_WEIGHTS = " UNION ALL ".join(
-    f"SELECT {k - 2} AS t, {w!r}::DOUBLE AS w" for k, w in enumerate(gaussian_weights(5, 4.0))
-)
+# Five weights of sigma 4 in 256ths.
+_WEIGHTS = "SELECT unnest([-2, -1, 0, 1, 2]) AS t, unnest([48, 53, 54, 53, 48]) AS w"
 
 
 def _mirrored(axis: str, step: str) -> str:
@@ -165,7 +164,7 @@ def _mirrored(axis: str, step: str) -> str:
     "gaussian_blur",
     check(
         ["pix"],
-        f"""SELECT image_id, y, x, CAST(floor(sum(w * v) + 0.5) AS BIGINT) AS grayscale FROM (
+        f"""SELECT image_id, y, x, CAST((sum(w * v) + 32768) // 65536 AS BIGINT) AS grayscale FROM (
         SELECT r.image_id, r.y, p.x, t.w, r.v FROM (SELECT p.image_id, p.y, q.x, sum(t.w * q.grayscale) AS v
         FROM pix p, taps t, pix q WHERE p.x = q.x AND q.image_id = p.image_id
         AND q.y = {_mirrored('p.y', 't.t')} GROUP BY p.image_id, p.y, q.x) r, taps t, pix p
@@ -766,6 +765,27 @@ def _(spark, sf):
     return px.clahe(derived.pixels(spark, sf))
 
 
+@query(
+    "clahe_uneven",
+    check(
+        ["pix"],
+        _EQUALISED,
+        ("cutpix", "SELECT image_id, y, x, grayscale FROM pix WHERE x < 59 AND y < 61 - 5 * (image_id % 2)"),
+        (
+            "mirrored",
+            """SELECT image_id, t.yy AS y, u.xx AS x, grayscale FROM (SELECT unnest(range(64)) AS yy) t,
+            (SELECT unnest(range(64)) AS xx) u, cutpix c WHERE c.x = CASE WHEN xx < 59 THEN xx ELSE 116 - xx END
+            AND c.y = CASE WHEN yy < 61 - 5 * (image_id % 2) THEN yy ELSE 120 - 10 * (image_id % 2) - yy END""",
+        ),
+        *[(n, t.replace("FROM pix", "FROM mirrored" if n == "tilehist" else "FROM cutpix")) for n, t in _CLAHE],
+    ),
+)
+def _(spark, sf):
+    """Sides of 61 or 56 and 59 on a grid of 8."""
+    cut = derived.pixels(spark, sf).filter("x < 59 and y < 61 - 5 * (image_id % 2)")
+    return px.clahe(cut.select("image_id", "y", "x", "grayscale"))
+
+
 @query(
     "enhancement_chain",
     check(

@@ -1,5 +1,6 @@
 """Nothing is cut, dropped or capped: crops, masks, labels, matches, constant features."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -83,10 +84,35 @@ def test_a_constant_feature_gives_null(spark):
     assert stats.kruskal_wallis(one, ["a"]).first().statistic is None
 
 
-def test_uneven_images_are_refused(spark):
-    image = spark.range(400).selectExpr("1L as image_id", "id div 20 as y", "id % 20 as x", "id % 256 as grayscale")
-    with pytest.raises(Exception, match="must be multiples"):
-        pixels.clahe(image).collect()
+def _table(spark, array):
+    h, w = array.shape
+    rows = [(1, y, x, int(array[y, x])) for y in range(h) for x in range(w)]
+    return spark.createDataFrame(rows, "image_id long, y long, x long, grayscale long")
+
+
+@pytest.mark.parametrize("shape, more", [((21, 30), (3, 2)), ((16, 13), (8, 3)), ((3, 5), (5, 3)), ((1, 8), (7, 8))])
+def test_uneven_images_equal_mirrored_ones(spark, shape, more):
+    array = np.random.default_rng(6).integers(0, 256, shape)
+    wide = np.pad(array, ((0, more[0]), (0, more[1])), mode="reflect" if shape[0] > 1 else "symmetric")
+    if shape[0] == 1:  # a single line has no other to mirror
+        wide = np.pad(np.repeat(array, 8, axis=0), ((0, 0), (0, 8)), mode="reflect")
+    want = {(r.y, r.x): r.grayscale for r in pixels.clahe(_table(spark, wide)).collect()}
+    got = {(r.y, r.x): r.grayscale for r in pixels.clahe(_table(spark, array)).collect()}
+    assert len(got) == array.size and all(want[k] == v for k, v in got.items())
+
+
+def test_blur_in_whole_numbers(spark):
+    array = np.random.default_rng(7).integers(0, 256, (9, 14))
+    kernel = np.array(tiles.gaussian_weights(5, 4.0))
+    assert kernel.sum() == 256 and (kernel == kernel[::-1]).all()
+    wide = np.pad(array, 2, mode="reflect")
+    want = {
+        (y, x): int((kernel[:, None] * kernel * wide[y : y + 5, x : x + 5]).sum() + 32768) // 65536
+        for y in range(9)
+        for x in range(14)
+    }
+    got = tiles.gaussian_blur(_table(spark, array), side=6).collect()
+    assert {(r.y, r.x): r.grayscale for r in got} == want
 
 
 def test_named_images_and_fractions(spark):
