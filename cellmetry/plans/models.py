@@ -474,18 +474,107 @@ def _(spark, sf):
     return ml.kmeans_elbow(derived.features(spark, sf), CYTO_FEATURES)
 
 
-@query("pca")
+def _leading(k: int) -> list[tuple[str, str]]:
+    """Check SQL of component k: repeated squaring leaves the projector on it, then it is taken out."""
+    before = "cov" if k == 1 else f"left{k - 1}"
+    return [
+        (
+            f"proj{k}",
+            f"""WITH RECURSIVE s(i, m) AS (SELECT 0, m FROM {before} UNION ALL SELECT i + 1,
+            [[list_dot_product(r, c) / list_sum([list_dot_product(d, d) for d in m]) for c in m] for r in m] FROM s WHERE i < 40)
+            SELECT m AS p FROM s WHERE i = 40""",
+        ),
+        (
+            f"axis{k}",
+            f"""SELECT p, [w / sqrt(p[i][i]) for w in p[i]] AS v FROM (SELECT p,
+            (SELECT arg_max(j, p[j][j]) FROM (SELECT unnest(range(1, 15)) AS j)) AS i FROM proj{k})""",
+        ),
+        (
+            f"share{k}",
+            f"""SELECT p, v, list_dot_product(v, [list_dot_product(r, v) for r in m]) AS lam
+            FROM axis{k}, {before}""",
+        ),
+        (
+            f"left{k}",
+            f"""SELECT [[m[i][j] - lam * p[i][j] for j in range(1, 15)] for i in range(1, 15)] AS m FROM share{k}, {before}""",
+        ),
+    ]
+
+
+_COMPONENTS = [
+    (
+        "scaled",
+        "SELECT vec_id, label, [" + ", ".join(f"({c} - {c}_m) / {c}_s" for c in BASE_FEATURES) + "] AS z FROM feat, (SELECT "
+        + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in BASE_FEATURES) + " FROM feat)",
+    ),
+    (
+        "cov",
+        "SELECT [" + ", ".join(
+            "[" + ", ".join(f"sum(z[{i}] * z[{j}]) / count(*)" for j in range(1, 15)) + "]" for i in range(1, 15)
+        ) + "] AS m FROM scaled",
+    ),
+    *[part for k in (1, 2, 3) for part in _leading(k)],
+    (
+        "scores",
+        "SELECT vec_id, label, " + ", ".join(f"list_dot_product(z, share{k}.v) AS pc{k}" for k in (1, 2, 3))
+        + " FROM scaled, share1, share2, share3",
+    ),
+]
+
+
+@query(
+    "pca",
+    check(
+        ["feat"],
+        " UNION ALL ".join(
+            f"SELECT CAST({k} AS BIGINT) AS component, {sq(f'lam / {len(BASE_FEATURES)}')} AS ratio FROM share{k}"
+            for k in (1, 2, 3)
+        ),
+        *_COMPONENTS,
+    ),
+)
 def _(spark, sf):
-    return ml.pca(derived.features(spark, sf), BASE_FEATURES)
+    return rounded(ml.pca(derived.features(spark, sf), BASE_FEATURES), "ratio")
 
 
-@query("pca_scores")
+@query(
+    "pca_scores",
+    check(
+        ["feat"],
+        "SELECT vec_id, " + ", ".join(f"{sq(f'pc{k}')} AS pc{k}" for k in (1, 2, 3)) + " FROM scores",
+        *_COMPONENTS,
+    ),
+)
 def _(spark, sf):
-    return ml.pca_scores(derived.features(spark, sf), BASE_FEATURES).select(
-        "vec_id", "pc1", "pc2", "pc3"
+    return rounded(
+        ml.pca_scores(derived.features(spark, sf), BASE_FEATURES).select("vec_id", "pc1", "pc2", "pc3"),
+        "pc1",
+        "pc2",
+        "pc3",
     )
 
 
+@query(
+    "silhouette_components",
+    check(
+        ["feat"],
+        f"SELECT {sq('s')} AS silhouette FROM ("
+        + _silhouette(
+            """SELECT 1 AS g, a.vec_id AS id, a.label = b.label AS own, b.label AS other,
+            (a.pc1 - b.pc1) * (a.pc1 - b.pc1) + (a.pc2 - b.pc2) * (a.pc2 - b.pc2)
+            + (a.pc3 - b.pc3) * (a.pc3 - b.pc3) AS d FROM scores a, scores b""",
+            "sqrt(d)",
+        )
+        + ")",
+        *_COMPONENTS,
+    ),
+)
+def _(spark, sf):
+    """Silhouette of the given labels on the three principal components."""
+    scores = ml.pca_scores(derived.features(spark, sf), BASE_FEATURES)
+    return rounded(ml.silhouette(scores, "vec_id", "label", ["pc1", "pc2", "pc3"]), "silhouette")
+
+
 TREE_FEATURES = BASE_FEATURES + CIRCULARITY_FEATURES
 
 
