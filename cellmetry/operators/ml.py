@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
 from itertools import combinations
 from math import exp, factorial, isqrt
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,31 +23,111 @@ from cellmetry.session import cut_lineage
 BLOCK = 512  # fewest points per block in the exact silhouette
 PIECE = 512  # points on either side of one array operation
 LARGEST_BLOCK = 50_000  # most points per block, which bounds a task's memory
-PARALLEL_FITS = 8  # independent model fits submitted at the same time
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="vector").transform(df)
 
 
-def _cached_vectors(df: DataFrame, features: list[str]) -> DataFrame:
-    """Vectors kept for the rounds of several fits."""
-    return assemble(df, features).select("vector").persist(StorageLevel.MEMORY_AND_DISK)
+def _cached_points(df: DataFrame, features: list[str]) -> DataFrame:
+    """(h, v): a hash of the whole row and its features, kept for the rounds of all models."""
+    missing = lambda c: F.raise_error(F.lit(f"no value in {c}")).cast("double")
+    vector = F.array(*[F.coalesce(F.col(c).cast("double"), missing(c)) for c in features])
+    points = df.select(F.xxhash64(*sorted(df.columns)).alias("h"), vector.alias("v"))
+    return points.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _side_by_side(jobs: list) -> list:
-    """Run independent fits from a few threads, results in order."""
-    with ThreadPool(min(PARALLEL_FITS, len(jobs))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+def race_draws(h: np.ndarray, draw: int) -> np.ndarray:
+    """Exponential numbers, one per row hash, by a 64-bit mix of the hash and the number of the draw."""
+    z = h.astype(np.uint64) + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return -np.log(((z >> np.uint64(11)).astype(float) + 1) / 2.0**53)
 
 
-def _fit_kmeans(vectors: DataFrame, k: int, seed: int, variance: float):
-    """One model; stops once centres move little for the data's spread."""
-    learner = KMeans(
-        k=k, seed=seed, featuresCol="vector", maxIter=300, tol=float(np.sqrt(1e-4 * variance / k))
-    )
-    model = learner.fit(vectors)
-    return model.summary.trainingCost, model
+def _squares(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, centre by centre."""
+    return np.stack([((v - c) ** 2).sum(1) for c in centres], axis=1)
+
+
+def seeds_plus_plus(points: DataFrame, k: int, restarts: int, seed: int) -> list[np.ndarray]:
+    """k-means++ centres per restart, drawn by their squared distance from those before.
+
+    A row's race time is an exponential number over its weight and the lowest one wins, so a
+    draw is one minimum for all restarts, and reruns agree.  The first j centres are the
+    seeds of j clusters.  With fewer different rows than k there are fewer centres.
+    """
+    centres: list[list[list[float]]] = [[] for _ in range(restarts)]
+    for step in range(k):
+        chosen = [np.array(c) for c in centres]
+
+        def race(batches, step=step, chosen=chosen):
+            for pdf in batches:
+                if len(pdf):
+                    v, h = np.stack(pdf["v"].to_numpy()), pdf["h"].to_numpy()
+                    for r in range(restarts):
+                        weight = _squares(v, chosen[r]).min(1) if step else np.ones(len(v))
+                        draws = race_draws(h, seed + r * 1009 + step)
+                        with np.errstate(divide="ignore"):
+                            times = np.where(weight > 0, draws / weight, np.inf)
+                        best = np.lexsort((h, times))[0]
+                        if np.isfinite(times[best]):
+                            yield pd.DataFrame({"r": [r], "time": times[best], "h": h[best], "v": [v[best]]})
+
+        won = points.mapInPandas(race, "r int, time double, h bigint, v array<double>")
+        for row in won.groupBy("r").agg(F.min(F.struct("time", "h", "v")).alias("m")).collect():
+            centres[row["r"]].append(row["m"]["v"])
+    return [np.array(c) for c in centres]
+
+
+def _lloyd(
+    points: DataFrame, models: list[np.ndarray], tolerance: float, rounds: int = 300
+) -> list[tuple[float, np.ndarray]]:
+    """(inertia, centres) of each model; a round of all models is one job over the rows.
+
+    Tasks return sums per model and cluster.  A cluster without rows keeps its centre.
+    """
+    models, costs = [m.copy() for m in models], [float("nan")] * len(models)
+    active = list(range(len(models)))
+    for _ in range(rounds):
+        if not active:
+            break
+        current = [(i, models[i]) for i in active]
+
+        def sums(batches, current=current):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v, out = np.stack(pdf["v"].to_numpy()), []
+                for i, centres in current:
+                    squares = _squares(v, centres)
+                    own = squares.argmin(1)
+                    for c in np.unique(own):
+                        mine = own == c
+                        out.append((i, int(c), int(mine.sum()), float(squares[mine, c].sum()), v[mine].sum(0)))
+                yield pd.DataFrame(out, columns=["model", "c", "n", "cost", "total"])
+
+        parts = points.mapInPandas(sums, "model int, c int, n bigint, cost double, total array<double>")
+        width = models[active[0]].shape[1]
+        rows = parts.groupBy("model", "c").agg(
+            F.sum("n").alias("n"),
+            F.sum("cost").alias("cost"),
+            F.array(*[F.sum(F.col("total")[j]) for j in range(width)]).alias("total"),
+        )
+        moved = {i: models[i].copy() for i in active}
+        found = dict.fromkeys(active, 0.0)
+        for row in rows.collect():
+            moved[row["model"]][row["c"]] = np.array(row["total"]) / row["n"]
+            found[row["model"]] += row["cost"]
+        still = []
+        for i in active:
+            costs[i] = found[i]
+            if ((moved[i] - models[i]) ** 2).sum() > tolerance:
+                models[i] = moved[i]
+                still.append(i)
+        active = still
+    return list(zip(costs, models))
 
 
 def _variations(df: DataFrame, features: list[str]) -> tuple[float, float]:
@@ -63,38 +140,50 @@ def _variations(df: DataFrame, features: list[str]) -> tuple[float, float]:
 def kmeans(
     df: DataFrame, features: list[str], k: int = 5, restarts: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Cluster of each row on min-max scaled features, best of several restarts."""
+    """Cluster of each row on min-max scaled features, best of several k-means++ starts.
+
+    An empty table gives an empty result.  Ties go to the first centre.
+    """
     scaled = minmax_scale(df, features)
-    vectors = _cached_vectors(scaled, features)
+    points = _cached_points(scaled, features)
+    kept = [c for c in df.columns if c not in features]
+    starts = [s for s in seeds_plus_plus(points, k, restarts, seed) if len(s)]
+    if not starts:
+        return df.select(*kept, F.lit(None).cast("bigint").alias("cluster")).limit(0)
     variance, _total = _variations(scaled, features)
-    fits = _side_by_side(
-        [partial(_fit_kmeans, vectors, k, seed + step, variance) for step in range(restarts)]
+    _cost, centres = min(_lloyd(points, starts, 1e-4 * variance), key=lambda fit: fit[0])
+    points.unpersist()
+    far = F.array(
+        *[
+            sum(((F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(features, centre)), F.lit(0.0))
+            for centre in centres
+        ]
     )
-    _cost, model = min(fits, key=lambda fit: fit[0])
-    vectors.unpersist()
-    return model.transform(assemble(scaled, features)).select(
-        *[c for c in df.columns if c not in features],
-        F.col("prediction").cast("bigint").alias("cluster"),
+    return scaled.select(
+        *kept, (F.array_position(far, F.array_min(far)) - 1).cast("bigint").alias("cluster")
     )
 
 
 def kmeans_elbow(
     df: DataFrame, features: list[str], largest: int = 10, restarts: int = 10, seed: int = 42
 ) -> DataFrame:
-    """Inertia for 1..largest clusters; one cluster is the total variation."""
+    """Inertia for 1..largest clusters; one cluster is the total variation.
+
+    An empty table gives an empty result.
+    """
     scaled = minmax_scale(df, features)
-    vectors = _cached_vectors(scaled, features)
+    points = _cached_points(scaled, features)
+    starts = [s for s in seeds_plus_plus(points, largest, restarts, seed) if len(s)]
+    if not starts:
+        return df.sparkSession.createDataFrame([], "k bigint, inertia double")
     variance, total = _variations(scaled, features)
-    tasks = [(k, step) for k in range(2, largest + 1) for step in range(restarts)]
-    fits = _side_by_side(
-        [partial(_fit_kmeans, vectors, k, seed + step, variance) for k, step in tasks]
-    )
+    tasks = [(k, s[:k]) for k in range(2, largest + 1) for s in starts]
+    fits = _lloyd(points, [s for _k, s in tasks], 1e-4 * variance)
     lowest: dict[int, float] = {1: float(total)}
-    for (k, _step), (cost, _model) in zip(tasks, fits):
+    for (k, _start), (cost, _centres) in zip(tasks, fits):
         lowest[k] = min(cost, lowest.get(k, cost))
-    costs = sorted(lowest.items())
-    vectors.unpersist()
-    return df.sparkSession.createDataFrame(costs, "k bigint, inertia double")
+    points.unpersist()
+    return df.sparkSession.createDataFrame(sorted(lowest.items()), "k bigint, inertia double")
 
 
 def _fit_pca(df: DataFrame, features: list[str], components: int):

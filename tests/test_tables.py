@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,38 @@ def test_models(spark):
     assert math.isclose(total, 1.0, abs_tol=1e-6)
     clusters = ml.kmeans(df, names.CYTO_FEATURES, k=5, restarts=2)
     assert clusters.select("cluster").distinct().count() == 5
+
+
+def test_kmeans_seeds_and_rounds_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (0, 3, 9)] + [np.full((40, 2), 5.0)])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(v)], "id long, a double, b double")
+    points = ml._cached_points(df, ["a", "b"])
+    rows = points.collect()
+    h, w = np.array([r.h for r in rows]), np.array([r.v for r in rows])
+    seeds = ml.seeds_plus_plus(points, 4, 3, 42)
+    for r, got in enumerate(seeds):
+        want = []
+        for step in range(4):
+            weight = np.array([min((sum((x - c) ** 2) for c in want), default=1.0) for x in w])
+            times = [d / m if m > 0 else np.inf for d, m in zip(ml.race_draws(h, 42 + r * 1009 + step), weight)]
+            want.append(w[int(np.argmin(times))])
+        assert (got == np.array(want)).all()
+    cost, centres = ml._lloyd(points, [seeds[0]], 0.0)[0]
+    want = seeds[0]
+    for _ in range(100):
+        own = ((w[:, None] - want) ** 2).sum(2).argmin(1)
+        want = np.array([w[own == c].mean(0) if (own == c).any() else want[c] for c in range(4)])
+    assert np.allclose(centres, want) and math.isclose(cost, ((w - want[own]) ** 2).sum(), rel_tol=1e-9)
+    elbow = [r.inertia for r in ml.kmeans_elbow(df, ["a", "b"], 6, 4).collect()]
+    assert elbow == sorted(elbow, reverse=True) and len(elbow) == 6
+    first, again = (sorted(map(tuple, ml.kmeans(df, ["a", "b"], 4, 3).collect())) for _ in range(2))
+    assert first == again and len({c for _i, c in first}) == 4
+    few = df.filter("id >= 180")  # one point, forty times
+    assert {r.cluster for r in ml.kmeans(few, ["a", "b"], 3, 2).collect()} == {0}
+    assert ml.kmeans(df.limit(0), ["a", "b"]).count() == ml.kmeans_elbow(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_kmeans_draws_follow_the_weights():
+    times = ml.race_draws(np.arange(-20000, 20000), 7)
+    assert abs(times.mean() - 1) < 0.02 and abs((times > 1).mean() - math.exp(-1)) < 0.01
