@@ -132,11 +132,10 @@ def passage_pairs(spark, n, rng, vocabulary):
     rows = [(i, passage + " " + " ".join(rng.choices(vocabulary, k=60))) for i in range(n)]
     rows += [(n + i, rows[i][1] + " extra") for i in range(20)]
     sets = [near_copies.shingle_set(t) for _, t in rows]
-    held = [(i, [int(h) for h in s.view(np.int64)]) for i, s in enumerate(sets)]
     nodes = [(i, len(s), i, True) for i, s in enumerate(sets)]
     pairs = near_copies._by_prefix(
         spark.createDataFrame(nodes, "node long, n int, group long, left boolean"),
-        spark.createDataFrame(held, "node long, hashes array<long>"),
+        near_copies._sets(spark.createDataFrame(rows, "node long, text string")),
         0.8,
     )
     return rows, [(r.u, r.v) for r in pairs.collect()]
@@ -149,11 +148,21 @@ def test_texts_around_one_passage_do_not_all_meet(spark, vocabulary):
         rows, pairs = passage_pairs(spark, n, rng, vocabulary)
         assert {(i, n + i) for i in range(20)} <= set(pairs)
         found.append(len(pairs))
-    assert found[1] < 60  # of 44,850
+    assert found == [20, 20]  # of 11,175 and 44,850
     kept = near_copies.near_copies_removed(docs_frame(spark, rows))
     assert kept_ids(kept) == brute_kept(rows) and kept.count() == 300
 
 
+def test_parities_differ_in_no_more_bits_than_sets(vocabulary):
+    rng = random.Random(10)
+    for n in (0, 1, 5, 80, 3000):
+        words = rng.choices(vocabulary, k=n)
+        a, b = (near_copies.shingle_set(t) for t in (" ".join(words), varied(words, n // 5, rng, vocabulary)))
+        x, y = (near_copies.parities(s).view(np.uint64) for s in (a, b))
+        assert len(x) == near_copies.PARITIES
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_prefixes_lose_no_similar_pair(spark, vocabulary):
     ship(spark)
     rng = random.Random(9)
@@ -161,11 +170,9 @@ def test_prefixes_lose_no_similar_pair(spark, vocabulary):
     rows = [(i, varied(w, rng.randint(0, 2), rng, vocabulary)) for i, w in enumerate(base * 4)]
     sets = {i: near_copies.shingle_set(t) for i, t in rows}
     nodes = [(i, len(s), i, True) for i, s in sets.items()]
-    held = [(i, [int(h) for h in s.view(np.int64)]) for i, s in sets.items()]
-    sets_df = spark.createDataFrame(held, "node long, hashes array<long>")
-    sets_df = sets_df.withColumn("n", F.size("hashes"))
+    sets_df = near_copies._sets(spark.createDataFrame(rows, "node long, text string"))
     nodes_df = spark.createDataFrame(nodes, "node long, n int, group long, left boolean")
-    pairs = near_copies._by_prefix(nodes_df, sets_df.drop("n"), 0.8)
+    pairs = near_copies._by_prefix(nodes_df, sets_df, 0.8)
     got = {(r.u, r.v) for r in near_copies._verified(pairs, sets_df, 0.8).collect()}
     want = set()
     for i, a in sets.items():
