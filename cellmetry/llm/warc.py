@@ -2,13 +2,14 @@
 
 The writer puts one record per page into gzip members (or plain records).  The reader
 checks every record: the gzip member's checksum, the version line, the header block, the
-length and end of the record, and the payload's digest.  After a failed check it
+length and end of the record, and the digests of block and payload.  After a failed check it
 searches for the next gzip member or version line that begins a valid record, goes on
 from there, and reports the bytes between as quarantined.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -29,6 +30,7 @@ VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length", "content-type"}
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -171,6 +173,20 @@ def _fields(block: bytes) -> dict[str, str]:
     return fields
 
 
+def _check_digest(fields: dict[str, str], name: str, data: bytes) -> None:
+    """Compare a digest of the header, in hex or base32; note one that cannot be computed."""
+    label, colon, value = fields.get(name, "").partition(":")
+    if not colon:
+        return
+    if label.lower() not in DIGESTS:
+        fields["unchecked"] = ",".join(x for x in (fields.get("unchecked"), label.lower()) if x)
+        return
+    found = hashlib.new(label, data).digest()
+    if value.lower() != found.hex():
+        if value.upper().rstrip("=") != base64.b32encode(found).decode().rstrip("="):
+            raise _Invalid(f"{name.removeprefix('warc-').replace('-', ' ')} differs")
+
+
 def _record(text: bytes, start: int) -> tuple[int, dict, bytes]:
     """End, fields and payload of the plain record at start of text, or _Invalid."""
     line = _VERSION_LINE.match(text, start)
@@ -196,10 +212,10 @@ def _record(text: bytes, start: int) -> tuple[int, dict, bytes]:
             raise _Invalid("HTTP header without an end")
         http = _fields(head.partition(b"\r\n")[2]) if b"\r\n" in head else {}
         fields["http-content-length"] = http.get("content-length", "")
-    digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response" and digest.startswith("sha256:"):
-        if hashlib.sha256(payload).hexdigest() != digest[7:].lower():
-            raise _Invalid("payload digest differs")
+    fields.pop("unchecked", None)
+    _check_digest(fields, "warc-block-digest", block)
+    if fields.get("warc-type") in ("response", "resource"):
+        _check_digest(fields, "warc-payload-digest", payload)
     return end + 4, fields, payload
 
 
@@ -254,11 +270,11 @@ def salvage_records(data: bytes, plain: bool = False) -> Iterator[Found]:
 
 READ_SCHEMA = (
     "path string, start long, end long, reason string, record_type string, record_id string, "
-    "target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+    "target_uri string, refers_to string, payload_digest string, unchecked string, payload_bytes long, payload binary"
 )
 _ARROW = pa.schema(
     [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64())]
-    + [(c, pa.string()) for c in "reason record_type record_id target_uri refers_to payload_digest".split()]
+    + [(c, pa.string()) for c in "reason record_type record_id target_uri refers_to payload_digest unchecked".split()]
     + [("payload_bytes", pa.int64()), ("payload", pa.binary())]
 )
 
@@ -277,7 +293,7 @@ def _row(path: str, f: Found) -> dict:
     return row | {
         "record_type": kind, "record_id": f.fields.get("warc-record-id"),
         "target_uri": f.fields.get("warc-target-uri"), "refers_to": f.fields.get("warc-refers-to"),
-        "payload_digest": digest or None, "payload_bytes": size,
+        "payload_digest": digest or None, "unchecked": f.fields.get("unchecked"), "payload_bytes": size,
         "payload": None if kind == "revisit" else f.payload,
     }
 
@@ -287,7 +303,9 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
     A row is a record, or a quarantined gap where ``reason`` (the failed check) is not
     null; ``start`` and ``end`` are its bytes in the archive, those of the gzip member
-    where it lies in one.  Of a revisit, length and digest are those its headers give.
+    where it lies in one.  Of a revisit, length and digest are those its headers give.  Digests of
+    blocks, and of the payloads of response and resource records, are compared if they are by one
+    of DIGESTS, in hex or base32; ``unchecked`` lists other algorithms that a record names.
     Empty or null contents give no rows.  Archives are read whole, one per task and row.
     """
 

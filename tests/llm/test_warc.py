@@ -1,5 +1,6 @@
 """WARC round trips, and what the reader salvages from damaged archives."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -54,6 +55,50 @@ def test_every_record_but_the_damaged_one_is_recovered(compress):
                 assert [(g.start, g.end) for g in gaps] == [(start, start + len(parts[broken]))]
 
 
+def digested(name, label, kind="response"):
+    """A plain record with one digest, computed with the function of that name."""
+    payload = b"<p>of a payload</p>" * 9
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 171\r\n\r\n" + payload
+    of = block if name == "WARC-Block-Digest" else payload
+    value = label(of)
+    lines = [b"WARC/1.0", f"WARC-Type: {kind}".encode(), b"WARC-Record-ID: <urn:page:1>",
+             b"Content-Type: application/http", f"{name}: {value}".encode(),
+             f"Content-Length: {len(block)}".encode()]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("name", ["WARC-Block-Digest", "WARC-Payload-Digest"])
+@pytest.mark.parametrize(
+    "label",
+    [
+        lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode(),
+        lambda b: "SHA1:" + hashlib.sha1(b).hexdigest().upper(),
+        lambda b: "md5:" + base64.b32encode(hashlib.md5(b).digest()).decode().rstrip("="),
+        lambda b: "sha512:" + hashlib.sha512(b).hexdigest(),
+    ],
+)
+def test_digests_of_block_and_payload(name, label):
+    record = digested(name, label)
+    (whole,) = warc.salvage_records(record)
+    assert whole.reason is None and "unchecked" not in whole.fields
+    damaged = record.replace(b"payload</p>", b"Payload</p>", 1)
+    found = list(warc.salvage_records(damaged + record))
+    assert [f.reason is None for f in found] == [False, True]
+    assert found[0].reason == name.removeprefix("WARC-").replace("-", " ").lower() + " differs"
+    # A revisit's payload digest is that of another record.
+    other = digested(name, label, "revisit").replace(b"payload</p>", b"Payload</p>", 1)
+    assert (next(iter(warc.salvage_records(other))).reason is None) == (name == "WARC-Payload-Digest")
+
+
+def test_unknown_digests_are_named(spark):
+    ship(spark)
+    record = digested("WARC-Payload-Digest", lambda b: "crc9:00")
+    known = digested("WARC-Payload-Digest", lambda b: "sha1:" + hashlib.sha1(b).hexdigest())
+    archives = spark.createDataFrame([("a", record + known)], "path string, content binary")
+    got = [(r.reason, r.unchecked) for r in warc.read_warc(archives).orderBy("start").collect()]
+    assert got == [(None, "crc9"), (None, None)]
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_cuts_and_rubbish(compress):
     parts = records(compress=compress)
