@@ -1,8 +1,8 @@
 """Token ids in Arrow files of equal-length sequences, read without copying.
 
 Documents are dealt by ranges of doc_id into shards.  A shard is one Arrow IPC file whose
-record batches hold fixed-size lists: ``tokens`` (uint16 or uint32) and ``mask`` (bool,
-false in the padding after a shard's last id).  All batches but the last have the same
+record batches hold fixed-size lists: ``tokens`` (uint16 or uint32) and ``mask`` (uint8,
+0 in the padding after a shard's last id).  All batches but the last have the same
 number of sequences, so sequence i is at a computed place and a memory map yields it as a
 view.  A second file per shard lists its documents (id, first position in the shard, ids).
 """
@@ -116,7 +116,7 @@ class _ShardWriter:
         self.length, self.batch, self.total = length, batch, 0
         kind = pa.from_numpy_dtype(np.dtype(dtype))
         self.schema = pa.schema(
-            [("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))],
+            [("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))],
             {"sequence": str(length), "batch": str(batch)},
         )
         self.writer = pa.ipc.new_file(self.out.stream, self.schema)
@@ -135,7 +135,7 @@ class _ShardWriter:
             self.rest, self.held = [ready[cut:]], len(ready) - cut
 
     def _write(self, ids: np.ndarray, size: int) -> None:
-        mask = np.arange(size) < len(ids)
+        mask = (np.arange(size) < len(ids)).astype(np.uint8)
         padded = ids if len(ids) == size else np.concatenate([ids, np.zeros(size - len(ids), ids.dtype)])
         columns = [
             pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (padded, mask)
@@ -152,7 +152,10 @@ class _ShardWriter:
 
 
 class SequenceFile:
-    """Random access to the sequences of one shard; items are views of the mapped file."""
+    """Random access to the sequences of one shard; items are views of the mapped file.
+
+    Item i is (ids, mask) of sequence i; the mask is 1 for ids and 0 for padding.
+    """
 
     def __init__(self, path: str) -> None:
         self.file = pa.ipc.open_file(open_input(path))
@@ -169,7 +172,7 @@ class SequenceFile:
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         rows = self.file.get_batch(i // self.batch).slice(i % self.batch, 1)
         tokens = rows.column(0).flatten().to_numpy(zero_copy_only=True)
-        return tokens, rows.column(1).flatten().to_numpy(zero_copy_only=False)
+        return tokens, rows.column(1).flatten().to_numpy(zero_copy_only=True)
 
 
 def write_tokens(

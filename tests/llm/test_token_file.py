@@ -63,7 +63,8 @@ def test_random_access(spark):
     files = [token_file.SequenceFile(s.tokens) for s in shards]
     for s, f in zip(shards, files):
         both = [f[i] for i in range(len(f))]
-        assert all(t.shape == (16,) and not t.flags.owndata for t, _ in both)
+        assert all(x.shape == (16,) and not x.flags.owndata for pair in both for x in pair)
+        assert all(m.dtype == np.uint8 for _, m in both)
         assert sum(int(m.sum()) for _, m in both) == s.n_tokens
     tokens, _ = token_file.sequence_at([s.tokens for s in shards], list(map(len, files)), len(files[0]))
     assert (tokens == files[1][0][0]).all()
