@@ -17,12 +17,14 @@ def instance_overlap(
 ) -> DataFrame:
     """Pixels shared by each pair of labels, background included.
 
-    A pixel, or a whole image, that one mask lacks is background in it.
+    A pixel, or a whole image, that one mask lacks is background in it.  Filters on the
+    result can turn the full join into an inner one, hence the hint: neither mask is ever
+    broadcast.
     """
     none = F.lit(0).cast("bigint")
     return (
         truth.select(image, "y", "x", gt)
-        .join(predicted.select(image, "y", "x", pred), [image, "y", "x"], "full")
+        .join(predicted.select(image, "y", "x", pred).hint("merge"), [image, "y", "x"], "full")
         .groupBy(image, F.coalesce(gt, none).alias(gt), F.coalesce(pred, none).alias(pred))
         .agg(F.count("*").alias("inter"))
     )
@@ -36,8 +38,8 @@ def scored_pairs(
     areas_pred = overlap.groupBy(image, pred).agg(F.sum("inter").alias("area_pred"))
     return (
         overlap.filter((F.col(gt) != 0) & (F.col(pred) != 0))
-        .join(areas_gt, [image, gt])
-        .join(areas_pred, [image, pred])
+        .join(areas_gt.hint("merge"), [image, gt])
+        .join(areas_pred.hint("merge"), [image, pred])
         .withColumn("union", F.col("area_gt") + F.col("area_pred") - F.col("inter"))
         .select(image, gt, pred, "inter", "area_gt", "area_pred", "union")
     )
@@ -76,15 +78,15 @@ def greedy_match(
         best_gt = left.groupBy(image, gt).agg(F.min(order).alias("_bg"))
         best_pred = left.groupBy(image, pred).agg(F.min(order).alias("_bp"))
         chosen = cut_lineage(
-            left.join(best_gt, [image, gt])
-            .join(best_pred, [image, pred])
+            left.join(best_gt.hint("merge"), [image, gt])
+            .join(best_pred.hint("merge"), [image, pred])
             .filter((F.col("_bg") == order) & (F.col("_bp") == order))
             .select(*left.columns)
         )
         matched = chosen if matched is None else matched.unionByName(chosen)
         left = cut_lineage(
-            left.join(chosen.select(image, gt), [image, gt], "left_anti").join(
-                chosen.select(image, pred), [image, pred], "left_anti"
+            left.join(chosen.select(image, gt).hint("merge"), [image, gt], "left_anti").join(
+                chosen.select(image, pred).hint("merge"), [image, pred], "left_anti"
             )
         ).select(*left.columns)
         if left.isEmpty():
@@ -120,7 +122,7 @@ def segmentation_metrics(
     )
     mapped = matches.select(image, pred, F.col(gt).alias("_mapped"))
     errors = (
-        overlap.join(mapped, [image, pred], "left")
+        overlap.join(mapped.hint("merge"), [image, pred], "left")
         .groupBy(image)
         .agg(
             (
@@ -131,7 +133,7 @@ def segmentation_metrics(
             ).alias("_mae")
         )
     )
-    joined = counts.join(hits, image, "left").join(errors, image)
+    joined = counts.join(hits.hint("merge"), image, "left").join(errors.hint("merge"), image)
     n_match = F.coalesce(F.col("_n_match"), F.lit(0))
     empty = (F.col("_n_gt") == 0) & (F.col("_n_pred") == 0)
     precision = _ratio(n_match, F.col("_n_pred"), 1.0)
