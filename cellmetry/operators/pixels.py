@@ -14,7 +14,7 @@ def channel_blend(
     """Half and half of two channels, rounded half to even."""
     left = a.select(image, "y", "x", F.col(value).alias("_a"))
     right = b.select(image, "y", "x", F.col(value).alias("_b"))
-    return left.join(right, [image, "y", "x"]).select(
+    return left.join(right.hint("merge"), [image, "y", "x"]).select(
         image, "y", "x", F.bround(0.5 * F.col("_a") + 0.5 * F.col("_b"), 0).cast("bigint").alias(value)
     )
 
@@ -25,7 +25,7 @@ def apply_mask(
     """Zero the pixels that are not in ``mask`` (rows image, y, x)."""
     inside = mask.select(image, "y", "x", F.lit(True).alias("_in"))
     return (
-        pixels.join(inside, [image, "y", "x"], "left")
+        pixels.join(inside.hint("merge"), [image, "y", "x"], "left")
         .withColumn(column, F.when(F.col("_in"), F.col(column)).otherwise(F.lit(0)))
         .drop("_in")
     )
@@ -81,9 +81,11 @@ def _with_image_stats(pixels: DataFrame, stats: list[Column], image: str) -> Dat
     """Per-image aggregates joined back.
 
     The aggregate combines before its shuffle and leaves one row per image; Spark
-    broadcasts it while it is small and otherwise splits a hot image (skew join).
+    broadcasts it while it is small and otherwise splits a hot image (skew join).  The
+    pixels, whose size Spark cannot estimate, are the outer side and never broadcast.
     """
-    return pixels.join(pixels.groupBy(image).agg(*stats), image)
+    known = F.col(image).isNotNull()
+    return pixels.filter(known).join(pixels.groupBy(image).agg(*stats), image, "left")
 
 
 def zscore_rescale(
@@ -184,7 +186,7 @@ def resize_bilinear(
         return 1.0 - F.abs(F.least(F.greatest(at, F.lit(0.0)), size_ - 1.0) - F.col(axis))
 
     sized = pixels.select(image, "y", "x", F.col(column).alias("_v")).join(
-        image_sizes(pixels, image), image
+        image_sizes(pixels, image).hint("merge"), image
     )
     rows = (
         sized.withColumn("_ty", reach("y", "height", size[0]))
@@ -221,7 +223,7 @@ def clahe(
     uneven = (F.col("height") % tiles != 0) | (F.col("width") % tiles != 0)
     for side in ("height", "width"):
         sides = sides.withColumn(f"_{side}", F.when(uneven, tiles - F.col(side) % tiles).otherwise(0))
-    sized = pixels.join(sides, image)
+    sized = pixels.join(sides.hint("merge"), image)
     high = (F.col("height") + F.col("_height")) / tiles
     wide = (F.col("width") + F.col("_width")) / tiles
 
@@ -291,7 +293,7 @@ def clahe(
         (at_y - F.floor(at_y)).alias("_fy"),
         (at_x - F.floor(at_x)).alias("_fx"),
     )
-    joined = placed.join(blocks, [image, "_cell_y", "_cell_x"])
+    joined = placed.join(blocks.hint("merge"), [image, "_cell_y", "_cell_x"])
 
     def curve(a: int, b: int) -> Column:
         return F.get(F.col(f"_c{a}{b}"), F.col("_v"))
@@ -341,7 +343,7 @@ def object_crop(
         edge = centre.cast("double") + span / 2.0
         return F.least(F.when(edge < 0, F.ceil(edge)).otherwise(F.floor(edge)), limit)
 
-    framed = windows.join(sizes, image).select(
+    framed = windows.join(sizes.hint("merge"), image).select(
         image,
         key,
         turned.alias("_turned"),
@@ -356,7 +358,7 @@ def object_crop(
     def pad(span: str, a: str, b: str) -> Column:
         return F.floor(F.greatest(F.col(span) - (F.col(b) - F.col(a)), F.lit(0)) / 2)
 
-    joined = object_pixels.join(framed, [image, key]).filter(
+    joined = object_pixels.join(framed.hint("merge"), [image, key]).filter(
         (F.col("y") >= F.col("_y1"))
         & (F.col("y") < F.col("_y2"))
         & (F.col("x") >= F.col("_x1"))
