@@ -58,7 +58,7 @@ def crop_chain(
         image, obj, "w", "h", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy")
     )
     enclosed = spatial.polygon_rasterize(contours, image, obj).join(
-        pixels.select(image, "y", "x", *channels), [image, "y", "x"]
+        pixels.select(image, "y", "x", *channels).hint("merge"), [image, "y", "x"]
     )
     sizes, limits = px.image_sizes(pixels, image), px.crop_window_size(windows)
     named = boxes.select(
@@ -69,7 +69,7 @@ def crop_chain(
         own = enclosed.select(image, obj, "y", "x", F.col(c).alias("v"))
         part = px.object_crop(own, windows, sizes, limits, image, obj).withColumn("channel", F.lit(c))
         crops = part if crops is None else crops.unionByName(part)
-    return crops.join(named, [image, obj]).select("channel", "crop_name", "crop_y", "crop_x", "v")
+    return crops.join(named.hint("merge"), [image, obj]).select("channel", "crop_name", "crop_y", "crop_x", "v")
 
 
 def labelled_cells(cytoplasms: DataFrame, nuclei: DataFrame, votes: DataFrame) -> DataFrame:
