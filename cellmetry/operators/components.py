@@ -64,7 +64,7 @@ def _contract(edges: DataFrame, image: str) -> DataFrame:
                 pairs.select(image, F.col("b").alias("u"), F.col("a").alias("v"))
             )
         lowest = around.groupBy(image, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = around.join(lowest, [image, "u"])
+        joined = around.join(lowest.hint("merge"), [image, "u"])
         if small:
             moved = joined.select(image, F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
                 joined.select(image, F.col("u").alias("a"), F.col("m").alias("b"))
@@ -140,7 +140,9 @@ def pixel_regions(
         ).alias("_to"),
     ).select(image, "_from", "a", "_to.y", "_to.x")
     edges = (
-        moved.join(border.select(image, "y", "x", column, F.col("region").alias("b")), [image, "y", "x"])
+        moved.join(
+            border.select(image, "y", "x", column, F.col("region").alias("b")).hint("merge"), [image, "y", "x"]
+        )
         .filter((F.col("_from") == F.col(column)) & (F.col("a") != F.col("b")))
         .select(image, "a", "b")
     )
@@ -168,4 +170,4 @@ def label_components(
     numbered = bucketed_row_number(
         roots, [image], F.floor(F.col("y") / 64), [F.col("root")], "component"
     ).select(image, "root", "component")
-    return regions.join(numbered, [image, "root"]).select(image, "y", "x", column, "component")
+    return regions.join(numbered.hint("merge"), [image, "root"]).select(image, "y", "x", column, "component")

@@ -33,8 +33,16 @@ def outside_filled(
     edge = pixels.groupBy(image).agg(
         F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
     )
-    on_edge = F.col("y").isin(F.col("_y0"), F.col("_y1")) | F.col("x").isin(F.col("_x0"), F.col("_x1"))
-    opened = rest.join(edge, image).filter(on_edge).select(image, "root").distinct()
+    reach = rest.groupBy(image, "root").agg(
+        F.min("y").alias("_top"), F.max("y").alias("_end"), F.min("x").alias("_left"), F.max("x").alias("_right")
+    )
+    on_edge = (
+        (F.col("_top") == F.col("_y0"))
+        | (F.col("_end") == F.col("_y1"))
+        | (F.col("_left") == F.col("_x0"))
+        | (F.col("_right") == F.col("_x1"))
+    )
+    opened = reach.join(edge.hint("merge"), image).filter(on_edge).select(image, "root")
     holes = rest.join(opened, [image, "root"], "left_anti")
     return pixels.filter(mask).select(image, "y", "x").unionByName(holes.select(image, "y", "x"))
 
@@ -85,7 +93,7 @@ def component_size_filter(
     inside = regions.join(kept.select(image, "root"), [image, "root"], "left_semi").select(image, "y", "x")
     if fill_holes:
         return inside
-    return pixels.filter(F.col(column) > 0).select(image, "y", "x").join(inside, [image, "y", "x"], "left_semi")
+    return pixels.filter(F.col(column) > 0).select(image, "y", "x").join(inside.hint("merge"), [image, "y", "x"], "left_semi")
 
 
 def _ranked(before: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +185,16 @@ def mask_outlines(
     steps = cut_lineage(_steps(labels, column, image, side))
     before = steps.filter(F.col("link").isNotNull()).select(image, "chain", F.col("link").alias("step"))
     ends = steps.select(image, "step", F.col("chain").alias("up"), (F.col("at") + 1).alias("far"))
-    joined = cut_lineage(before.join(ends, [image, "step"]).select(image, "chain", "up", "far"))
+    joined = cut_lineage(before.join(ends.hint("merge"), [image, "step"]).select(image, "chain", "up", "far"))
     loops = _contract(joined.select(image, F.col("chain").alias("a"), F.col("up").alias("b")), image)
     loops = cut_lineage(
         joined.select(image, "chain")
-        .join(loops.withColumnRenamed("region", "chain"), [image, "chain"], "left")
+        .join(loops.withColumnRenamed("region", "chain").hint("merge"), [image, "chain"], "left")
         .select(image, "chain", F.coalesce("root", "chain").alias("loop"))
     )
     first = F.col("chain") == F.col("loop")
     places = cut_lineage(
-        joined.join(loops, [image, "chain"]).select(
+        joined.join(loops.hint("merge"), [image, "chain"]).select(
             image,
             "chain",
             "loop",
@@ -197,13 +205,14 @@ def mask_outlines(
     while places.filter(F.col("up").isNotNull()).limit(1).count():
         jump = places.select(image, F.col("chain").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
         further = cut_lineage(
-            places.join(jump, [image, "up"], "left").select(
+            places.join(jump.hint("merge"), [image, "up"], "left").select(
                 image, "chain", "loop", F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")
             )
         )
         discard(places)
         places = further
-    placed = steps.join(places.select(image, "chain", "loop", "far"), [image, "chain"], "left").select(
+    found = places.select(image, "chain", "loop", "far").hint("merge")
+    placed = steps.join(found, [image, "chain"], "left").select(
         image,
         column,
         F.coalesce("loop", "chain").alias("loop"),
