@@ -40,9 +40,10 @@ def objects_table(
     levels, patterns, pairs = tiles.object_counts(
         pixels, filled, CHANNELS, texture.DISTANCES, texture.ANGLES, texture.LEVELS, obj, image
     )
-    intensity = texture.intensity_of_counts(levels, shapes, CHANNELS, obj, image)
+    entries = levels.count() // len(CHANNELS)  # a pixel has one level in each channel at most
+    intensity = texture.intensity_of_counts(levels, shapes, CHANNELS, obj, image, entries)
     textures = texture.texture_of_counts(patterns, pairs, CHANNELS, image, obj)
-    return shapes.join(intensity, [image, obj]).join(textures, [image, obj])
+    return shapes.join(intensity.hint("merge"), [image, obj]).join(textures.hint("merge"), [image, obj])
 
 
 def crop_chain(
