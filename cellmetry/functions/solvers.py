@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, ShortType, StructField, StructType
@@ -294,19 +295,19 @@ def _spans(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return ys[order][head], first[order][head], reach[tail] - ys[order][head] * wide + first.min()
 
 
-@F.pandas_udf(ArrayType(_struct(LongType(), "y", "first", "last")))
-def ring_spans(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Covered pixel spans of each ring."""
-
-    def spans(x, y):
-        if x is None or len(x) == 0:
-            return []
-        return [
-            {"y": a, "first": b, "last": c}
-            for a, b, c in zip(*(v.tolist() for v in _spans(np.asarray(x), np.asarray(y))))
-        ]
-
-    return pd.Series([spans(x, y) for x, y in zip(xs, ys)])
+@F.arrow_udf(ArrayType(_struct(LongType(), "y", "first", "last")))
+def ring_spans(xs: pa.Array, ys: pa.Array) -> pa.Array:
+    """Covered pixel spans of each ring, as flat arrays: no Python object per span is made."""
+    found, ends = [np.empty((3, 0), np.int64)], [0]
+    for x, y in zip(xs, ys):
+        if x.is_valid and len(x):
+            points = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+            found.append(np.stack(_spans(*points)).astype(np.int64))
+        else:
+            found.append(found[0])
+        ends.append(ends[-1] + found[-1].shape[1])
+    flat = pa.StructArray.from_arrays(list(np.concatenate(found, axis=1)), names=["y", "first", "last"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
 
 @F.pandas_udf(ArrayType(ShortType()))

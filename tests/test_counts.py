@@ -34,3 +34,23 @@ def test_partitions_grow_with_the_input(spark):
     rows = spark.range(1000)
     assert tiles.by_task(rows, "id", pixels=100 * tiles.TASK_PIXELS).rdd.getNumPartitions() == 100
     assert derived._spread(rows, 50 * derived.TASK_VECTORS, "id").rdd.getNumPartitions() == 50
+
+
+def test_spans_make_no_object_each():
+    """Spans of many rings in a batch take some bytes each, not a Python object."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cellmetry.functions.solvers import ring_spans
+
+    ring = pa.array([[0, 300, 300, 0]] * 200 + [[], None], pa.list_(pa.int64()))
+    across = pa.array([[0, 0, 300, 300]] * 200 + [[], None], pa.list_(pa.int64()))
+    tracemalloc.start()
+    spans = ring_spans.func(ring, across)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lengths = [len(s) for s in spans]
+    assert set(lengths[:200]) == {301} and lengths[200:] == [0, 0]
+    assert peak < 100 * sum(lengths) and np.all(np.asarray(spans.flatten().field("last")) == 300)
