@@ -54,3 +54,18 @@ def test_spans_make_no_object_each():
     lengths = [len(s) for s in spans]
     assert set(lengths[:200]) == {301} and lengths[200:] == [0, 0]
     assert peak < 100 * sum(lengths) and np.all(np.asarray(spans.flatten().field("last")) == 300)
+
+
+def test_distances_of_two_blocks_are_taken_once(spark, monkeypatch):
+    """Blocks are bounded, and more of them give the same silhouettes."""
+    from cellmetry.operators import ml
+
+    assert ml.LARGEST_BLOCK <= 1 << 14
+    df = derived.features(spark, SF)
+    features = ["nuc_area", "cyto_area", "cyto_ii"]
+    features = [f for f in features if f in df.columns] or [c for c, k in df.dtypes if k == "double"][:3]
+    want = sorted(map(tuple, ml.silhouette_feature_pairs(df, "vec_id", "label", features, 10**6).collect()))
+    monkeypatch.setattr(ml, "LARGEST_BLOCK", 60)
+    got = sorted(map(tuple, ml.silhouette_feature_pairs(df, "vec_id", "label", features).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-12 for g, w in zip(got, want))
