@@ -4,7 +4,9 @@ Documents are dealt by ranges of doc_id into shards.  A shard is one Arrow IPC f
 record batches hold fixed-size lists: ``tokens`` (uint16 or uint32) and ``mask`` (uint8,
 0 in the padding after a shard's last id).  All batches but the last have the same
 number of sequences, so sequence i is at a computed place and a memory map yields it as a
-view.  A second file per shard lists its documents (id, first position in the shard, ids).
+view.  Masks are dictionary-encoded: a shard has the full one and, if it ends in padding, one
+more, so they take a byte per sequence.  A second file per shard lists its documents (id,
+first position in the shard, ids).
 """
 
 from __future__ import annotations
@@ -116,10 +118,12 @@ class _ShardWriter:
         self.length, self.batch, self.total = length, batch, 0
         kind = pa.from_numpy_dtype(np.dtype(dtype))
         self.schema = pa.schema(
-            [("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))],
+            [("tokens", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))],
             {"sequence": str(length), "batch": str(batch)},
         )
-        self.writer = pa.ipc.new_file(self.out.stream, self.schema)
+        # The padded mask, known at the end only, is added to the full one by a delta.
+        deltas = pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True)
+        self.writer = pa.ipc.new_file(self.out.stream, self.schema, options=deltas)
         self.rest, self.held = [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -135,11 +139,13 @@ class _ShardWriter:
             self.rest, self.held = [ready[cut:]], len(ready) - cut
 
     def _write(self, ids: np.ndarray, size: int) -> None:
-        mask = (np.arange(size) < len(ids)).astype(np.uint8)
-        padded = ids if len(ids) == size else np.concatenate([ids, np.zeros(size - len(ids), ids.dtype)])
-        columns = [
-            pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (padded, mask)
-        ]
+        pad = size - len(ids)
+        padded = np.concatenate([ids, np.zeros(pad, ids.dtype)]) if pad else ids
+        masks, which = np.ones(self.length, np.uint8), np.zeros(size // self.length, np.int8)
+        if pad:
+            masks, which[-1] = np.concatenate([masks, np.arange(self.length) < self.length - pad]), 1
+        tokens, masks = (pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (padded, masks))
+        columns = [tokens, pa.DictionaryArray.from_arrays(pa.array(which), masks)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> str:
@@ -170,9 +176,9 @@ class SequenceFile:
         return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.file.get_batch(i // self.batch).slice(i % self.batch, 1)
-        tokens = rows.column(0).flatten().to_numpy(zero_copy_only=True)
-        return tokens, rows.column(1).flatten().to_numpy(zero_copy_only=True)
+        rows = self.file.get_batch(i // self.batch)
+        both = rows.column(0)[i % self.batch], rows.column(1)[i % self.batch].value
+        return tuple(v.values.to_numpy(zero_copy_only=True) for v in both)
 
 
 def write_tokens(

@@ -70,6 +70,24 @@ def test_random_access(spark):
     assert (tokens == files[1][0][0]).all()
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 2048, 2049, 4095])
+def test_masks_take_a_byte_per_sequence(tmp_path, n):
+    """Two bytes a token and little else, whether or not the shard ends in padding."""
+    writer = token_file._ShardWriter(str(tmp_path), 0, np.uint16, 64, 8)
+    for part in np.array_split(np.arange(n, dtype=np.uint16), 3):
+        writer.add(part)
+    path = writer.close()
+    file = token_file.SequenceFile(path)
+    assert len(file) == -(-n // 64)
+    got = [file[i] for i in range(len(file))]
+    assert np.concatenate([t[m == 1] for t, m in got]).tolist() == list(range(n))
+    masks = np.concatenate([m for _, m in got])
+    assert masks[:n].all() and not masks[n:].any()
+    held = sum(b.nbytes for b in map(file.file.get_batch, range(file.file.num_record_batches)))
+    held -= file.file.num_record_batches * 2 * 64  # the dictionary, counted with every batch
+    assert held <= len(got) * (2 * 64 + 1)
+
+
 def test_edges_of_the_input(spark):
     ship(spark)
     rows = [(5, None), (3, ""), (9, "long text " * 40000), (7, "twice"), (7, "twice"), (None, "no id")]
