@@ -8,31 +8,36 @@ is contracted to stars in rounds, and each round is written to the shared folder
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.operators.ranking import bucketed_row_number
-from cellmetry.operators.tiles import SIDE, Tile, key_type, over_tiles
+from cellmetry.operators.tiles import SIDE, Stack, key_type, listed, over_stacks
 from cellmetry.session import cut_lineage
 
 ROW = 1 << 31  # a region is named by its first pixel, y * ROW + x
 
 
 def _tile_regions(values: np.ndarray, full: bool) -> np.ndarray:
-    """Smallest flat index of the region of each cell of an array."""
-    h, w = values.shape
-    index = np.arange(h * w).reshape(h, w)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full else [])
+    """Smallest flat index of the region of each cell of arrays (..., row, column), -1 being empty."""
+    h, w = values.shape[-2:]
+    new = np.ones(values.shape, dtype=bool)
+    new[..., 1:] = values[..., 1:] != values[..., :-1]
+    starts = np.flatnonzero(new)
+    run = (np.cumsum(new.ravel()) - 1).reshape(values.shape)
     a, b = [], []
-    for dy, dx in steps:
-        here = (slice(0, h - dy), slice(max(0, -dx), w - max(0, dx)))
-        there = (slice(dy, h), slice(max(0, dx), w - max(0, -dx)))
-        same = values[here] == values[there]
-        a.append(index[here][same])
-        b.append(index[there][same])
+    for dx in (0, 1, -1) if full else (0,):
+        here = (..., slice(0, h - 1), slice(max(0, -dx), w - max(0, dx)))
+        there = (..., slice(1, h), slice(max(0, dx), w - max(0, -dx)))
+        same = (values[here] == values[there]) & (values[here] >= 0)
+        above, below = run[here][same], run[there][same]
+        # Runs of pixels touch in runs of equal pairs.
+        first = np.ones(len(above), dtype=bool)
+        first[1:] = (above[1:] != above[:-1]) | (below[1:] != below[:-1])
+        a.append(above[first])
+        b.append(below[first])
     a, b = np.concatenate(a), np.concatenate(b)
-    root = np.arange(h * w)
+    root = np.arange(len(starts))
     while True:
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -44,7 +49,7 @@ def _tile_regions(values: np.ndarray, full: bool) -> np.ndarray:
                 break
             root = jump
         if np.array_equal(root, before):
-            return root.reshape(h, w)
+            return starts[root][run]
 
 
 def _contract(edges: DataFrame, image: str) -> DataFrame:
@@ -95,41 +100,76 @@ def _contract(edges: DataFrame, image: str) -> DataFrame:
     )
 
 
-def pixel_regions(
+def twice_areas(stack: Stack, here: np.ndarray) -> np.ndarray:
+    """Twice the area of the contours of hole-free regions, in parts per pixel.
+
+    A square belongs to its upper left pixel or, where that one is missing, to the upper right.
+    """
+    east, south, west = (stack.core(here, *d) for d in ((0, 1), (1, 0), (0, -1)))
+    squares = east.astype(np.int64) + south + stack.core(here, 1, 1)
+    twice = np.where(squares == 3, 2, np.where(squares == 2, 1, 0))
+    return twice + (~west & south & stack.core(here, 1, -1))
+
+
+def region_rows(
     pixels: DataFrame,
     column: str,
     image: str = "image_id",
     full: bool = True,
     side: int = SIDE,
+    areas: bool = False,
 ) -> DataFrame:
-    """(image, y, x, column, root): root names the region by its first pixel."""
+    """A row per region and tile: (image, column, root, points, top, end, left, right, twice).
 
-    def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        values = tile.core(tile.grid(column, -1))
-        first = _tile_regions(values, full)
-        name = (first // tile.width + tile.top) * ROW + first % tile.width + tile.first
-        return tile.rows_out(keys, **{column: values, "region": name})
-
-    local = cut_lineage(
-        over_tiles(
-            pixels.filter(F.col(column) > 0),
-            work,
-            f"{key_type(pixels, image)}, y bigint, x bigint, {column} bigint, region bigint",
-            [column],
-            (0, 0, 0, 0),
-            image,
-            side,
-        )
-    )
-    on_border = F.pmod("y", F.lit(side)).isin(0, side - 1) | F.pmod("x", F.lit(side)).isin(
-        0, side - 1
+    ``points`` are its pixels as y * ROW + x; a tile bounds their number.  ``root`` names the whole
+    region by its first pixel, the four next are its extent in the tile, and ``twice``, with
+    ``areas`` and if all pixels have one value and regions no holes, its share of twice the area.
+    """
+
+    def work(stack: Stack) -> tuple[np.ndarray, dict]:
+        values = stack.core(stack.grid(column, -1))
+        own = np.flatnonzero(values >= 0)
+        first = _tile_regions(values, full).ravel()[own]
+        order = np.argsort(first, kind="stable")
+        own, first = own[order], first[order]
+        starts = np.flatnonzero(np.diff(first, prepend=-1))
+        tile, rows, cols = np.unravel_index(own, values.shape)
+        y, x = stack.place(tile, rows, cols)
+        points = y * ROW + x
+        edge = np.isin(y % side, (0, side - 1)) | np.isin(x % side, (0, side - 1))
+        per = np.concatenate([[0], np.cumsum(edge)])[starts]
+        twice = twice_areas(stack, stack.present).ravel()[own] if areas else np.zeros(len(own), np.int64)
+
+        def each(pick: np.ufunc, of: np.ndarray) -> np.ndarray:
+            return pick.reduceat(of, starts) if len(of) else of
+
+        return tile[starts], {
+            column: values.ravel()[own[starts]],
+            "region": points[starts],
+            "points": listed(points, starts),
+            "border": listed(points[edge], per),
+            "top": each(np.minimum, y),
+            "end": each(np.maximum, y),
+            "left": each(np.minimum, x),
+            "right": each(np.maximum, x),
+            "twice": each(np.add, twice),
+        }
+
+    numbers = "top bigint, end bigint, left bigint, right bigint, twice bigint"
+    lists = "points array<bigint>, border array<bigint>"
+    schema = f"{key_type(pixels, image)}, {column} bigint, region bigint, {lists}, {numbers}"
+    margin = (0, 1, 1, 1) if areas else (0, 0, 0, 0)
+    local = cut_lineage(over_stacks(pixels.filter(F.col(column) > 0), work, schema, [column], margin, image, side))
+    border = local.select(image, F.col(column), "region", F.explode("border").alias("_p")).select(
+        image, column, "region", *pixel_at("_p")
     )
-    border = local.filter(on_border)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if full else [])
     moved = border.select(
         image,
         F.col(column).alias("_from"),
         F.col("region").alias("a"),
+        F.floor(F.col("y") / side).alias("_ty"),
+        F.floor(F.col("x") / side).alias("_tx"),
         F.explode(
             F.array(
                 *[
@@ -138,20 +178,37 @@ def pixel_regions(
                 ]
             )
         ).alias("_to"),
-    ).select(image, "_from", "a", "_to.y", "_to.x")
+    ).filter((F.floor(F.col("_to.y") / side) != F.col("_ty")) | (F.floor(F.col("_to.x") / side) != F.col("_tx")))
     edges = (
-        moved.join(
-            border.select(image, "y", "x", column, F.col("region").alias("b")).hint("merge"), [image, "y", "x"]
-        )
+        moved.select(image, "_from", "a", "_to.y", "_to.x")
+        .join(border.select(image, "y", "x", column, F.col("region").alias("b")).hint("merge"), [image, "y", "x"])
         .filter((F.col("_from") == F.col(column)) & (F.col("a") != F.col("b")))
         .select(image, "a", "b")
     )
     roots = _contract(edges, image)
-    return local.join(roots, [image, "region"], "left").select(
-        image, "y", "x", column, F.coalesce("root", "region").alias("root")
+    return local.drop("border").join(roots.hint("merge"), [image, "region"], "left").select(
+        image, column, F.coalesce("root", "region").alias("root"), "points", "top", "end", "left", "right", "twice"
     )
 
 
+def pixel_at(point: str) -> list[Column]:
+    """y and x of a pixel named y * ROW + x."""
+    return [F.shiftright(point, 31).alias("y"), F.col(point).bitwiseAND(F.lit(ROW - 1)).alias("x")]
+
+
+def pixel_regions(
+    pixels: DataFrame,
+    column: str,
+    image: str = "image_id",
+    full: bool = True,
+    side: int = SIDE,
+) -> DataFrame:
+    """(image, y, x, column, root): root names the region by its first pixel."""
+    rows = region_rows(pixels, column, image, full, side)
+    opened = rows.select(image, column, "root", F.explode("points").alias("_p"))
+    return opened.select(image, *pixel_at("_p"), column, "root")
+
+
 def label_components(
     pixels: DataFrame,
     column: str,

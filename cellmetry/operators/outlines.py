@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellmetry.operators.components import ROW, _contract, pixel_regions
-from cellmetry.operators.tiles import RING, SIDE, Tile, key_type, over_tiles
+from cellmetry.operators.components import ROW, _contract, pixel_at, region_rows, twice_areas
+from cellmetry.operators.tiles import RING, SIDE, Stack, Tile, key_type, over_stacks, over_tiles
 from cellmetry.session import cut_lineage, discard
 
 
@@ -29,12 +29,12 @@ def outside_filled(
     """
     mask = F.coalesce(F.col(column), F.lit(0)) > 0
     empty = pixels.filter(~mask).select(image, "y", "x", F.lit(1).cast("bigint").alias("_v"))
-    rest = pixel_regions(empty, "_v", image, False, side)
+    rest = region_rows(empty, "_v", image, False, side)
     edge = pixels.groupBy(image).agg(
         F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
     )
     reach = rest.groupBy(image, "root").agg(
-        F.min("y").alias("_top"), F.max("y").alias("_end"), F.min("x").alias("_left"), F.max("x").alias("_right")
+        F.min("top").alias("_top"), F.max("end").alias("_end"), F.min("left").alias("_left"), F.max("right").alias("_right")
     )
     on_edge = (
         (F.col("_top") == F.col("_y0"))
@@ -43,8 +43,9 @@ def outside_filled(
         | (F.col("_right") == F.col("_x1"))
     )
     opened = reach.join(edge.hint("merge"), image).filter(on_edge).select(image, "root")
-    holes = rest.join(opened, [image, "root"], "left_anti")
-    return pixels.filter(mask).select(image, "y", "x").unionByName(holes.select(image, "y", "x"))
+    holes = rest.join(opened.hint("merge"), [image, "root"], "left_anti")
+    holes = holes.select(image, F.explode("points").alias("_p")).select(image, *pixel_at("_p"))
+    return pixels.filter(mask).select(image, "y", "x").unionByName(holes)
 
 
 def contour_areas(regions: DataFrame, image: str = "image_id", side: int = SIDE) -> DataFrame:
@@ -54,20 +55,19 @@ def contour_areas(regions: DataFrame, image: str = "image_id", side: int = SIDE)
     pixels and lines have area 0, as their contours enclose nothing.
     """
 
-    def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        root = tile.grid("root", -1)
-        here = root >= 0
-        east, south, west = (tile.core(here, *d) for d in ((0, 1), (1, 0), (0, -1)))
-        squares = east.astype(np.int64) + south + tile.core(here, 1, 1)
-        # A square belongs to its upper left pixel or, where that one is missing, to the upper right.
-        twice = np.where(squares == 3, 2, np.where(squares == 2, 1, 0))
-        twice += ~west & south & tile.core(here, 1, -1)
-        own = tile.core(here)
-        sums = pd.Series(twice[own]).groupby(tile.core(root)[own]).sum()
-        return pd.DataFrame({**{k: [v] * len(sums) for k, v in keys.items()}, "root": sums.index, "twice": sums.values})
+    def work(stack: Stack) -> tuple[np.ndarray, dict]:
+        root = stack.grid("root", -1)
+        here = stack.core(root)
+        own = np.flatnonzero(here >= 0)
+        tile, name = own // here[0].size, here.ravel()[own]
+        order = np.lexsort((name, tile))
+        own, tile, name = own[order], tile[order], name[order]
+        starts = np.flatnonzero((np.diff(tile, prepend=-1) != 0) | (np.diff(name, prepend=-1) != 0))
+        twice = twice_areas(stack, root >= 0).ravel()[own]
+        return tile[starts], {"root": name[starts], "twice": np.add.reduceat(twice, starts) if len(own) else twice}
 
     schema = f"{key_type(regions, image)}, root bigint, twice bigint"
-    parts = over_tiles(regions, work, schema, ["root"], (0, 1, 1, 1), image, side)
+    parts = over_stacks(regions, work, schema, ["root"], (0, 1, 1, 1), image, side)
     return parts.groupBy(image, "root").agg((F.sum("twice") / 2).alias("area"))
 
 
@@ -88,9 +88,11 @@ def component_size_filter(
     Images are dense; an empty table gives an empty result.
     """
     filled = outside_filled(pixels, column, image, side).withColumn("_v", F.lit(1).cast("bigint"))
-    regions = cut_lineage(pixel_regions(filled, "_v", image, True, side).select(image, "y", "x", "root"))
-    kept = contour_areas(regions, image, side).filter(F.col("area").between(smallest, largest))
-    inside = regions.join(kept.select(image, "root"), [image, "root"], "left_semi").select(image, "y", "x")
+    regions = region_rows(filled, "_v", image, True, side, areas=True)
+    sized = regions.groupBy(image, "root").agg((F.sum("twice") / 2).alias("area"))
+    kept = sized.filter(F.col("area").between(smallest, largest)).select(image, "root")
+    inside = regions.join(kept.hint("merge"), [image, "root"], "left_semi")
+    inside = inside.select(image, F.explode("points").alias("_p")).select(image, *pixel_at("_p"))
     if fill_holes:
         return inside
     return pixels.filter(F.col(column) > 0).select(image, "y", "x").join(inside.hint("merge"), [image, "y", "x"], "left_semi")

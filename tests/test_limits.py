@@ -1,11 +1,12 @@
 """Nothing is cut, dropped or capped: crops, masks, labels, matches, constant features."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cellmetry.operators import components, evaluate, pixels, relational, stats, tiles
+from cellmetry.operators import components, evaluate, outlines, pixels, relational, stats, tiles
 from cellmetry.session import shared_folder
 from cellmetry.sources import derived
 from conftest import SF
@@ -152,3 +153,31 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError):
         shared_folder(Session(), "x")
+
+
+def test_stacks_hold_whole_tiles(spark):
+    """Regions of small tiles, read in several parts of one partition, equal those of large tiles."""
+    mask = np.random.default_rng(11).integers(1, 3, (400, 410))
+    at = np.indices(mask.shape).reshape(2, -1)
+    frame = pd.DataFrame({"image_id": "a", "y": at[0], "x": at[1], "v": mask.ravel()})
+    frame = spark.createDataFrame(frame)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert mask.size > tiles.STACK_ROWS
+        small, large = (components.pixel_regions(frame, "v", side=side).toPandas() for side in (24, 256))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = ["y", "x"]
+    assert len(small) == mask.size
+    assert small.sort_values(order).reset_index(drop=True).equals(large.sort_values(order).reset_index(drop=True))
+
+
+def test_a_region_is_a_row_of_its_tile(spark):
+    """Many tiles are worked on at once, and regions are joined, not their pixels."""
+    frame = _table(spark, np.ones((60, 50), int)).withColumnRenamed("grayscale", "v")
+    rows = components.region_rows(frame, "v", side=20, areas=True).collect()
+    assert len(rows) == 9 and {r.root for r in rows} == {0}
+    assert sum(len(r.points) for r in rows) == 3000 and sum(r.twice for r in rows) == 2 * 59 * 49
+    areas = plan(outlines.contour_areas(components.pixel_regions(frame, "v"), side=20))
+    assert "MapInArrow" in areas and "FlatMapGroupsInPandas" not in areas
