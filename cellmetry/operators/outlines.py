@@ -10,12 +10,12 @@ a tile are joined, by doubling the distance to the start of the contour.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmetry.operators.components import ROW, _contract, pixel_at, region_rows, twice_areas
-from cellmetry.operators.tiles import RING, SIDE, Stack, Tile, key_type, over_stacks, over_tiles
+from cellmetry.operators.tiles import RING, SIDE, Stack, key_type, listed, over_stacks
 from cellmetry.session import cut_lineage, discard
 
 
@@ -117,62 +117,60 @@ def _ranked(before: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return up, far
 
 
-def _steps(labels: DataFrame, column: str, image: str, side: int) -> DataFrame:
-    """Steps along all borders: (image, column, y, x, step, chain, at, link).
+def _chains(labels: DataFrame, column: str, image: str, side: int) -> DataFrame:
+    """Steps along all borders, a row per chain in a tile: (image, column, chain, steps, link, turn).
 
-    A step is named by its pixel and the direction it leaves in; ``chain`` is the first
-    step of its chain in the tile, ``at`` the place in it.  ``link`` names the step of
-    another tile before a chain's first one.
+    A step is named by its pixel and the direction it leaves in, a chain by its first step;
+    ``steps`` are in order.  ``link`` names the step of another tile before the first one,
+    ``turn`` is the sum of the cross products of the points and those that follow them.
     """
 
-    def work(tile: Tile, keys: dict) -> pd.DataFrame:
-        grid = tile.grid(column, 0)
-        here = tile.core(grid)
-        same = np.stack([tile.core(grid, dy, dx) == here for dy, dx in RING])
+    def work(stack: Stack) -> tuple[np.ndarray, dict]:
+        grid = stack.grid(column, 0)
+        here = stack.core(grid)
+        same = np.stack([stack.core(grid, dy, dx) == here for dy, dx in RING])
         alone = ~same.any(0)
         found = []
         for empty in (0, 2, 4, 6):
-            rows, cols = np.nonzero((here > 0) & ~same[empty])
-            near = same[:, rows, cols]
+            tile, rows, cols = np.nonzero((here > 0) & ~same[empty])
+            near = same[:, tile, rows, cols]
             # First neighbour of the region after the empty side, and the last one before it.
             leave = (np.argmax(near[[(empty + k) % 8 for k in range(8)]], 0) + empty) % 8
             enter = (empty - np.argmax(near[[(empty - k) % 8 for k in range(8)]], 0)) % 8
-            found.append(np.stack([rows, cols, leave, enter]))
-        rows, cols, leave, enter = np.concatenate(found, axis=1)
-        single = alone[rows, cols]
+            found.append(np.stack([tile, rows, cols, leave, enter]))
+        tile, rows, cols, leave, enter = np.concatenate(found, axis=1)
+        single = alone[tile, rows, cols]
         leave[single] = 0
         dy, dx = np.array(RING).T
-        y, x = rows + tile.top, cols + tile.first
+        high, wide = here.shape[1] + 2, here.shape[2] + 2
+        code = (((tile * high + rows + 1) * wide + cols + 1) << 3) + leave
+        code, first = np.unique(code, return_index=True)
+        tile, rows, cols, leave, enter, single = (v[first] for v in (tile, rows, cols, leave, enter, single))
+        back = (enter + 4) % 8
+        earlier = (((tile * high + rows + 1 + dy[enter]) * wide + cols + 1 + dx[enter]) << 3) + back
+        earlier = np.where(single, code, earlier)
+        at = np.minimum(np.searchsorted(code, earlier), max(len(code) - 1, 0))
+        known = code[at] == earlier if len(code) else np.zeros(0, dtype=bool)
+        start, far = _ranked(np.where(known, at, -1), code)
+        y, x = stack.place(tile, rows, cols)
         name = ((y * ROW + x) << 4) + leave
-        earlier = (((y + dy[enter]) * ROW + x + dx[enter]) << 4) + (enter + 4) % 8
-        earlier = np.where(single, name, earlier)
-        name, first = np.unique(name, return_index=True)
-        earlier = earlier[first]
-        place = np.minimum(np.searchsorted(name, earlier), max(len(name) - 1, 0))
-        known = name[place] == earlier if len(name) else np.zeros(0, dtype=bool)
-        start, at = _ranked(np.where(known, place, -1), name)
-        link = pd.array(earlier, dtype="Int64")
-        link[known] = pd.NA
-        return pd.DataFrame(
-            {
-                **{k: [v] * len(name) for k, v in keys.items()},
-                column: here[rows[first], cols[first]],
-                "y": y[first],
-                "x": x[first],
-                "step": name,
-                "chain": name[start],
-                "at": at,
-                "link": link,
-            }
-        )
+        link = (((y + dy[enter]) * ROW + x + dx[enter]) << 4) + back
+        cross = np.where(single, 0, x * dy[leave] - y * dx[leave])
+        order = np.lexsort((far, start))
+        starts = np.flatnonzero(np.diff(start[order], prepend=-1))
+        chain = start[order][starts]
+        return tile[chain], {
+            column: here[tile[chain], rows[chain], cols[chain]],
+            "chain": name[chain],
+            "steps": listed(name[order], starts),
+            "link": pa.array(link[chain], mask=known[chain]),
+            "turn": np.add.reduceat(cross[order], starts) if len(order) else cross,
+        }
 
     schema = (
-        f"{key_type(labels, image)}, {column} bigint, y bigint, x bigint, step bigint, chain bigint,"
-        " at bigint, link bigint"
-    )
-    return over_tiles(
-        labels.filter(F.col(column) > 0), work, schema, [column], (1,) * 4, image, side
+        f"{key_type(labels, image)}, {column} bigint, chain bigint, steps array<bigint>, link bigint, turn bigint"
     )
+    return over_stacks(labels.filter(F.col(column) > 0), work, schema, [column], (1,) * 4, image, side)
 
 
 def mask_outlines(
@@ -184,9 +182,12 @@ def mask_outlines(
     passes them, beginning at the first pixel by row; a label in several pieces has several
     rows, told apart by ``part``.  Contours of holes are left out.  Background (0, null) has none.
     """
-    steps = cut_lineage(_steps(labels, column, image, side))
-    before = steps.filter(F.col("link").isNotNull()).select(image, "chain", F.col("link").alias("step"))
-    ends = steps.select(image, "step", F.col("chain").alias("up"), (F.col("at") + 1).alias("far"))
+    chains = cut_lineage(_chains(labels, column, image, side))
+    before = chains.filter(F.col("link").isNotNull()).select(image, "chain", F.col("link").alias("step"))
+    # The step before a chain leaves its own tile, so it is the last of its chain.
+    ends = chains.select(
+        image, F.element_at("steps", -1).alias("step"), F.col("chain").alias("up"), F.size("steps").cast("bigint").alias("far")
+    )
     joined = cut_lineage(before.join(ends.hint("merge"), [image, "step"]).select(image, "chain", "up", "far"))
     loops = _contract(joined.select(image, F.col("chain").alias("a"), F.col("up").alias("b")), image)
     loops = cut_lineage(
@@ -214,24 +215,26 @@ def mask_outlines(
         discard(places)
         places = further
     found = places.select(image, "chain", "loop", "far").hint("merge")
-    placed = steps.join(found, [image, "chain"], "left").select(
+    placed = chains.join(found, [image, "chain"], "left").select(
         image,
         column,
         F.coalesce("loop", "chain").alias("loop"),
-        F.struct((F.col("at") + F.coalesce("far", F.lit(0))).alias("rank"), "step", "x", "y").alias("point"),
+        "turn",
+        F.struct(F.coalesce("far", F.lit(0)).alias("rank"), "steps").alias("part"),
+    )
+    rings = placed.groupBy(image, column, "loop").agg(
+        F.sum("turn").alias("turn"), F.array_sort(F.collect_list("part")).alias("parts")
     )
-    rings = placed.groupBy(image, column, "loop").agg(F.array_sort(F.collect_list("point")).alias("points"))
-    following = "points[cast(if(i + 1 < size(points), i + 1, 0) as int)]"
     # Inner contours run the other way round their hole.
-    turn = f"""aggregate(transform(points, (p, i) -> p.x * {following}.y - p.y * {following}.x), 0L, (a, b) -> a + b)"""
-    begins = "array_min(transform(points, p -> named_struct('step', p.step, 'rank', cast(p.rank as int))))"
-    turned = rings.filter(F.expr(f"{turn} <= 0")).select(image, column, "points", F.expr(begins).alias("first"))
+    turned = rings.filter("turn <= 0").select(image, column, F.flatten("parts.steps").alias("steps"))
+    turned = turned.select(image, column, "steps", F.array_min("steps").alias("first"))
     return turned.select(
         image,
         column,
-        F.shiftrightunsigned("first.step", 4).alias("part"),
+        F.shiftrightunsigned("first", 4).alias("part"),
         F.expr(
-            """transform(concat(slice(points, first.rank + 1, size(points)), slice(points, 1, first.rank)),
-            p -> named_struct('x', p.x, 'y', p.y))"""
+            f"""transform(concat(slice(steps, cast(array_position(steps, first) as int), size(steps)),
+            slice(steps, 1, cast(array_position(steps, first) as int) - 1)),
+            p -> named_struct('x', shiftright(p, 4) & {ROW - 1}L, 'y', shiftright(p, 35)))"""
         ).alias("contour"),
     )

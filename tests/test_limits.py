@@ -181,3 +181,12 @@ def test_a_region_is_a_row_of_its_tile(spark):
     assert sum(len(r.points) for r in rows) == 3000 and sum(r.twice for r in rows) == 2 * 59 * 49
     areas = plan(outlines.contour_areas(components.pixel_regions(frame, "v"), side=20))
     assert "MapInArrow" in areas and "FlatMapGroupsInPandas" not in areas
+
+
+def test_a_chain_is_a_row_of_its_tile(spark):
+    frame = _table(spark, np.ones((60, 50), int)).withColumnRenamed("grayscale", "v")
+    chains = outlines._chains(frame, "v", "image_id", 20)
+    assert "MapInArrow" in plan(chains) and "FlatMapGroupsInPandas" not in plan(chains)
+    rows = chains.collect()
+    assert len(rows) == 8 and sum(len(r.steps) for r in rows) == 2 * (59 + 49)
+    assert sum(r.turn for r in rows) == -2 * 59 * 49
