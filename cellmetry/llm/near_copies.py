@@ -1,6 +1,10 @@
 """Near-copies by the Jaccard similarity of five-word shingles.
 
-Texts of equal shingle sets are one node.  Candidates share all five minima of one of 40
+Texts of equal shingle sets are one node.  SimHash comes first: the fingerprint of a set is
+filed and looked up under the Golay code words of its segments, as in ``simhash``, which finds
+all fingerprints within three bits.  Each node is compared with one of those near it, and what
+is verified forms the first components.  Sets of similarity 0.8 may lie further apart than
+these keys reach, so MinHash bands complete them.  Their candidates share all five minima of one of 40
 bands of MinHash values: a pair of similarity 0.8 shares none with probability
 (1 - 0.8 ** 5) ** 40 = 1.2e-7, a closer pair with less.  Every candidate is verified on the
 whole sets before it becomes a link, and linked nodes form components.
@@ -39,6 +43,7 @@ from cellmetry.llm.common import (
     small_side,
     text_hash,
 )
+from cellmetry.llm.simhash import fingerprint_links
 from cellmetry.session import cut_lineage, discard
 
 SHINGLE = 5
@@ -96,6 +101,15 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: the bits that over half of its hashes have, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
     """The batches in smaller parts, as their texts become larger arrays."""
     for batch in batches:
@@ -104,15 +118,16 @@ def _cut(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.Re
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, same, n, keys): same names the shingle set of the text, of size n."""
+    """(doc_id, text_hash, same, n, fp, keys): same names the shingle set of the text, of size n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _cut(batches):
-            same, sizes, keys = [], [], []
+            same, sizes, prints, keys = [], [], [], []
             for text in batch.column(2):
                 hashes = shingle_set(text.as_py())
                 same.append(xxhash.xxh3_128_digest(hashes.tobytes(), 42))
                 sizes.append(len(hashes))
+                prints.append(set_fingerprint(hashes))
                 keys.append(band_keys(hashes))
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             ends = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
@@ -122,15 +137,16 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     batch.column(1),
                     pa.array(same, pa.binary()),
                     pa.array(sizes, pa.int32()),
+                    pa.array(prints, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "text_hash", "same", "n", "keys"],
+                names=["doc_id", "text_hash", "same", "n", "fp", "keys"],
             )
 
     rows = docs.select(
         F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string")
     )
-    return rows.mapInArrow(run, "doc_id long, text_hash long, same binary, n int, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, same binary, n int, fp long, keys array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -193,6 +209,23 @@ def _named(u: str, v: str) -> list[Column]:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
+def _fuzzy_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of the nodes (node, n, fp) whose fingerprints differ in three bits at most.
+
+    A fingerprint is named by its first node.  Its other nodes are paired with that, and it with the
+    smallest fingerprint near it: the pairs are no more than the nodes, however large a group is.
+    """
+    prints = cut_lineage(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")).select("fp", "first.*"))
+    near = fingerprint_links(prints).groupBy(F.col("v").alias("fp")).agg(F.min("u").alias("u"))
+    side = lambda x: prints.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}"))
+    apart = near.withColumnRenamed("fp", "v").join(side("u"), "u").join(side("v"), "v")
+    first = prints.select(F.col("fp").alias("fp_v"), F.col("node").alias("node_v"), F.col("n").alias("n_v"))
+    same = nodes.select("fp", F.col("node").alias("node_u"), F.col("n").alias("n_u"))
+    same = same.join(first, (F.col("fp") == F.col("fp_v")) & (F.col("node_u") != F.col("node_v")))
+    columns = ("node_u", "n_u", "node_v", "n_v")
+    return apart.select(*columns).unionByName(same.select(*columns)).where(_sizes(least)).select(*_named("node_u", "node_v"))
+
+
 def _prefixes(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(h, c, node, n, group, at): the first shingles of each node by the number c of nodes having them.
 
@@ -234,11 +267,15 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(apart).select(*_named("node_u", "node_v")).distinct()
 
 
-def _components(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(node, component) of the nodes that are linked, from the rows (node, n, keys)."""
+def _components(nodes: DataFrame, sets: DataFrame, least: float, near: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that are linked, from the rows (node, n, keys).
+
+    ``near`` are pairs (u, v) that are compared before those of the bands.
+    """
     limit = PAIRS_PER_ROW * (nodes.agg(F.sum(F.size("keys"))).first()[0] or 0)
     before, turn = float("inf"), 0
-    links, named = None, nodes.select("node", F.col("node").alias("component")).limit(0)
+    links = cut_lineage(_verified(near, sets, least))
+    named = components(links)
     while True:
         sized = named.groupBy("component").agg(F.count("*").alias("mass"))
         known = named.join(sized, "component")
@@ -277,7 +314,7 @@ def _components(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             pairs = sides.select(*_named("node", "p")).distinct()
         pairs = cut_lineage(pairs)
         found = _verified(pairs, sets, least)
-        old, links = links, cut_lineage(found if links is None else links.union(found))
+        old, links = links, cut_lineage(links.union(found))
         linked = components(links)
         discard(old, pairs, pivots, placed, named)
         if last:
@@ -300,14 +337,16 @@ def near_copies_removed(docs: DataFrame, least: float = LEAST) -> DataFrame:
     judged = docs.where("doc_id IS NOT NULL")
     rows = cut_lineage(_sketches(judged))
     # Nodes are numbered once for all: the written numbers name the sets from here on.
-    first = rows.groupBy("same").agg(F.min(F.struct("doc_id", "text_hash", "n", "keys")).alias("first"))
+    first = rows.groupBy("same").agg(F.min(F.struct("doc_id", "text_hash", "n", "fp", "keys")).alias("first"))
     nodes = cut_lineage(first.select("same", "first.*").withColumn("node", F.monotonically_increasing_id()))
     listed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = listed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     met = listed.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys"))
     met = cut_lineage(met.join(nodes.drop("keys"), "node"))
+    near = cut_lineage(_fuzzy_pairs(nodes, least))
+    listed = met.select("node").union(near.select("u")).union(near.select("v")).distinct()
     wanted = cut_lineage(
-        met.select(
+        nodes.join(listed, "node").select(
             F.col("node").alias("__node"),
             F.col("doc_id").alias("__id"),
             F.col("text_hash").alias("__hash"),
@@ -320,9 +359,9 @@ def near_copies_removed(docs: DataFrame, least: float = LEAST) -> DataFrame:
         F.col("__node").alias("node"), judged["text"].cast("string").alias("text")
     )
     sets = cut_lineage(_sets(texts).dropDuplicates(["node"]))
-    named = _components(met.select("node", "n", "keys"), sets, least)
-    discard(sets, wanted, met)
-    placed = nodes.drop("keys", "n").join(named, "node", "left")
+    named = _components(met.select("node", "n", "keys"), sets, least, near)
+    discard(sets, wanted, met, near)
+    placed = nodes.drop("keys", "n", "fp").join(named, "node", "left")
     placed = cut_lineage(placed.withColumn("group", F.coalesce("component", "node")))
     kept = placed.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     kept = cut_lineage(placed.join(kept, "group").select("same", "kept"))

@@ -31,7 +31,7 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-copies."""
+    """One document of each component of near-copies: SimHash with Golay keys, MinHash bands for the rest."""
     ship(spark)
     return near_copies_removed(docs)
 

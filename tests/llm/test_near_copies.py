@@ -181,3 +181,31 @@ def test_prefixes_lose_no_similar_pair(spark, vocabulary):
             if 5 * both >= 4 * (len(a) + len(sets[j]) - both):
                 want.add((j, i))
     assert got == want and len(want) > 60
+
+
+def test_fingerprints_within_three_bits_are_compared(spark):
+    """Each node is paired by the Golay keys with one near it, and these pairs alone make links."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 40)
+    prints = [int(b) for b in base]
+    prints += [int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base[:30] for i, j in [rng.choice(62, 2, False)]]
+    prints += [int(b) for b in base[:5]]
+    nodes = spark.createDataFrame([(k, 10, p) for k, p in enumerate(prints)], "node long, n int, fp long")
+    got = {tuple(r) for r in near_copies._fuzzy_pairs(nodes, 0.8).collect()}
+    every = {
+        (a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 3
+    }
+    assert got <= every and {k for p in got for k in p} == {k for p in every for k in p}
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:199], "end"]), " ".join(f"x{i}" for i in range(50))]
+    sets = near_copies._sets(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))
+    bare = spark.createDataFrame([(k, 196, []) for k in range(3)], "node long, n int, keys array<long>")
+    near = spark.createDataFrame([(0, 1), (0, 2)], "u long, v long")
+    assert {tuple(r) for r in near_copies._components(bare, sets, 0.8, near).collect()} == {(1, 0)}
+
+
+def test_fingerprint_of_a_set():
+    hashes = near_copies.shingle_set("a b c d e f g h")
+    bits = [sum(int(h) >> i & 1 for h in hashes) * 2 > len(hashes) for i in range(64)]
+    assert near_copies.set_fingerprint(hashes) % (1 << 64) == sum(b << i for i, b in enumerate(bits))
+    assert near_copies.set_fingerprint(hashes[:0]) == 0
