@@ -1,5 +1,9 @@
 """Counts leave tiles packed and need one shuffle; partitions grow with the pixels."""
 
+import itertools
+
+import numpy as np
+
 from cellmetry.functions.names import CHANNELS
 from cellmetry.operators import texture, tiles
 from cellmetry.plans import images  # noqa: F401
@@ -69,3 +73,48 @@ def test_distances_of_two_blocks_are_taken_once(spark, monkeypatch):
     got = sorted(map(tuple, ml.silhouette_feature_pairs(df, "vec_id", "label", features).collect()))
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(abs(g[2] - w[2]) < 1e-12 for g, w in zip(got, want))
+
+
+def test_feature_pairs_leave_tasks_as_sums(spark):
+    """A task returns a row per subset whatever its points; blocks do not change what a missing feature does."""
+    from cellmetry.operators import ml
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, *rng.normal(size=3).tolist()) for i in range(90)]
+    rows += [(90, 1, None, 1.0, 2.0), (91, None, 0.5, 1.0, 2.0), (7, 2, 0.1, 0.2, 0.3), (None, 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k long, l int, a double, b double, c double")
+    one, many = (sorted(map(tuple, ml.silhouette_feature_pairs(df, "k", "l", list("abc"), b).collect())) for b in (1000, 9))
+    assert [r[:2] for r in one] == [("a", "b"), ("a", "c"), ("b", "c")] == [r[:2] for r in many]
+    assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(one, many))
+    pairs = ml.silhouette_feature_pairs(derived.features(spark, SF), "vec_id", "label", ml_features(spark))
+    assert exchanges(pairs) <= 2  # points once to their tasks, then sums per subset
+
+
+def ml_features(spark):
+    return [c for c, k in derived.features(spark, SF).dtypes if k == "double"][:4]
+
+
+def test_feature_pairs_keep_totals_of_one_class():
+    """Points and columns in numpy against all distances; memory does not follow columns or classes."""
+    import tracemalloc
+
+    from cellmetry.operators import ml
+
+    rng = np.random.default_rng(1)
+    points, labels = rng.normal(size=(1200, 4)), np.sort(rng.integers(0, 40, 1200))
+    mine = slice(300, 330)
+    tracemalloc.start()
+    scores = ml._PairScores(np.arange(30), labels[mine], np.ones(30, bool), points[mine])
+    for c in range(0, 1200, 100):
+        for label in np.unique(labels[c : c + 100]):
+            scores.add(label, points[c : c + 100][labels[c : c + 100] == label])
+    total, count = scores.scores()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 30 and peak < 3 * 2 * 4 * ml.ROWS * ml.COLUMNS * 8
+    for subset, (f, g) in enumerate(itertools.combinations(range(4), 2)):
+        far = np.hypot(*(points[mine, None, x] - points[None, :, x] for x in (f, g)))
+        sums = np.stack([far[:, labels == k].sum(1) for k in range(40)], 1)
+        n, own = np.bincount(labels, minlength=40), np.arange(40) == labels[mine][:, None]
+        a, b = (sums[own] / (n[labels[mine]] - 1)), np.where(own, np.inf, sums / n).min(1)
+        assert abs(total[subset] - ((b - a) / np.maximum(a, b)).sum()) < 1e-9
